@@ -2,13 +2,15 @@
 least one event.
 
 All forms first sum events into tiles of one slide. rolling_delta() then needs two change points for each
-tile, however many windows a tile is in, and a running sum over them; rolling_tiled() deals each tile to
-all its windows, for aggregates that cannot be taken back; rolling_native() is Spark's own window() and
+tile, however many windows a tile is in, and a running sum over them; rolling_tiled() merges two running
+aggregates for each window, for aggregates that cannot be taken back; rolling_native() is Spark's own window() and
 serves as a cross-check on small inputs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,10 +47,28 @@ def _features(rolled: DataFrame, key: str, window: int) -> DataFrame:
     return rolled.select(F.col(key), F.col("s").cast("double").alias("total_amount_30d"), F.col("n").cast("bigint").alias("tx_count_30d"), (F.col("window_end_ms") - window).alias("window_start_ms"), "window_end_ms")
 
 
-def rolling_tiled(tiled: DataFrame, aggregates: list[Column], key: str = "customer_id", window: int = WINDOW_MS, slide: int = HOUR_MS) -> DataFrame:
-    """Any mergeable aggregates of tiles, each tile dealt to all windows that hold it."""
-    dealt = tiled.withColumn("window_end_ms", F.explode(F.sequence(F.col("tile") + slide, F.col("tile") + window, F.lit(slide).cast("bigint"))))
-    return dealt.groupBy(key, "window_end_ms").agg(*aggregates)
+def rolling_tiled(tiled: DataFrame, merges: dict[str, Callable[[str], Column]], key: str = "customer_id", window: int = WINDOW_MS, slide: int = HOUR_MS) -> DataFrame:
+    """(key, window_end_ms, values): aggregates of tiles that can be merged but not taken back, like min.
+
+    Time is cut into blocks of one window. A window is the end of one block and the start of the next, so
+    running aggregates of each block, forwards and backwards, give every window by one merge. A running
+    aggregate holds from its tile to the next one and is repeated for the window ends in between.
+    """
+    if window % slide:
+        raise ValueError("the window is a multiple of the slide")
+    own = tiled.withColumn("block", F.col("tile") - F.pmod("tile", F.lit(window)))
+    step, forth, back = F.lit(slide).cast("bigint"), Window.partitionBy(key, "block").orderBy("tile"), Window.partitionBy(key, "block").orderBy(F.desc("tile"))
+    rows = own.select(
+        key,
+        *[F.struct(*[merge(v).over(w).alias(v) for v, merge in merges.items()]).alias(name) for name, w in (("start", forth), ("end", back))],
+        (F.col("tile") + slide).alias("start_from"),
+        F.coalesce(F.lead("tile").over(forth), F.col("block") + window).alias("start_to"),
+        (F.coalesce(F.lag("tile").over(forth), F.col("block")) + window + slide).alias("end_from"),
+        (F.col("tile") + window).alias("end_to"),
+    )
+    part = lambda name: F.struct(F.col(name).alias("v"), F.when(F.col(f"{name}_from") <= F.col(f"{name}_to"), F.sequence(f"{name}_from", f"{name}_to", step)).alias("ends"))
+    dealt = rows.select(key, F.explode(F.array(part("start"), part("end"))).alias("p")).select(key, "p.v.*", F.explode("p.ends").alias("window_end_ms"))
+    return dealt.groupBy(key, "window_end_ms").agg(*[merge(v).alias(v) for v, merge in merges.items()])
 
 
 def rolling_native(events: DataFrame, key: str = "customer_id", window: int = WINDOW_MS, slide: int = HOUR_MS, kind: str = EXACT) -> DataFrame:
@@ -59,10 +79,9 @@ def rolling_native(events: DataFrame, key: str = "customer_id", window: int = WI
 
 def rolling_sum_count(events: DataFrame, key: str = "customer_id", window: int = WINDOW_MS, slide: int = HOUR_MS, kind: str | None = EXACT) -> DataFrame:
     """Rolling sum and count of events. `kind` is an exact type that all amounts fit; None sums doubles,
-    which cannot be subtracted again, by dealing tiles to windows."""
+    which cannot be subtracted again exactly, by merging tiles."""
     if kind is None:
-        sums = [F.sum("s").alias("s"), F.sum("n").alias("n")]
-        return _features(rolling_tiled(tiles(events, key, slide, "double"), sums, key, window, slide), key, window)
+        return _features(rolling_tiled(tiles(events, key, slide, "double"), {"s": F.sum, "n": F.sum}, key, window, slide), key, window)
     return rolling_delta(tiles(events, key, slide, kind), key, window, slide)
 
 

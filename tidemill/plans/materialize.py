@@ -22,7 +22,7 @@ def compute(view: FeatureView, events: DataFrame, exact: bool = True) -> DataFra
     """The aggregates of a view for each window, named and typed by its output_schema(): (key, window_end_ms, ...).
 
     sum and count go by change points if `exact` (amounts are money); count_distinct by intervals; min, max
-    and avg by dealing tiles to windows. All aggregations of a view share one window and slide.
+    and avg by merging tiles. All aggregations of a view share one window and slide.
     """
     key, kinds = view.entity.join_key, dict(view.output_schema())
     if len({(a.window, a.slide) for a in view.aggregations}) != 1:
@@ -39,8 +39,8 @@ def compute(view: FeatureView, events: DataFrame, exact: bool = True) -> DataFra
             rows, value = rolling_distinct(events, a.column, key, window, slide), F.col("n")
         elif a.function in ("min", "max", "avg"):
             tiled = tiles(own, key, slide, "double").join(own.groupBy(key, (F.col("event_timestamp_ms") - F.pmod("event_timestamp_ms", F.lit(slide))).alias("tile")).agg(F.min("amount").alias("lo"), F.max("amount").alias("hi")), [key, "tile"])
-            merged = {"min": F.min("lo"), "max": F.max("hi"), "avg": F.sum("s") / F.sum("n")}[a.function]
-            rows, value = rolling_tiled(tiled, [merged.alias("v")], key, window, slide), F.col("v")
+            merges, value = {"min": ({"lo": F.min}, F.col("lo")), "max": ({"hi": F.max}, F.col("hi")), "avg": ({"s": F.sum, "n": F.sum}, F.col("s") / F.col("n"))}[a.function]
+            rows = rolling_tiled(tiled, merges, key, window, slide)
         else:
             raise ValueError(f"unknown aggregate function: {a.function}")
         parts.append(rows.select(key, "window_end_ms", value.cast(kinds[name]).alias(name)))
