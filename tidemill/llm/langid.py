@@ -70,15 +70,20 @@ def train(texts: dict[str, list[str]]) -> Model:
     often = [x for x in np.argsort(-seen, kind="stable")[: SYMBOLS - 1].tolist() if seen[x]]
     symbol = np.full(256, SYMBOLS - 1, np.uint8)
     symbol[often] = np.arange(len(often))
-    counts: list[list[np.ndarray]] = []  # for each language and order, counts of (context, symbol)
+    # for each language and order: the (context, symbol) seen, in order, their counts and each context's total
+    counts: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = []
     for x in languages:
         s, context, _ = _symbols(pa.array(texts[x], pa.large_string()), symbol)
-        counts.append([np.bincount((context & ((1 << 6 * k) - 1)) * SYMBOLS + s, minlength=SYMBOLS ** (k + 1)).reshape(-1, SYMBOLS) for k in range(ORDER + 1)])
+        own = []
+        for k in range(ORDER + 1):
+            seen_here, n = np.unique((context & ((1 << 6 * k) - 1)) * SYMBOLS + s, return_counts=True)
+            own.append((seen_here, n, np.bincount(seen_here // SYMBOLS, n, SYMBOLS**k).astype(np.int64)))
+        counts.append(own)
     # the deepest context of any tree for each three symbols
     every = np.arange(1 << 6 * ORDER)
     deep = np.zeros(len(every), np.int64)
     for k in range(1, ORDER + 1):
-        frequent = sum((c[k].sum(axis=1) >= NODE_MIN).astype(np.int64) for c in counts) > 0
+        frequent = np.any([c[k][2] >= NODE_MIN for c in counts], axis=0)
         deep[frequent[every & ((1 << 6 * k) - 1)]] = k
     name = (deep << 20) | (every & ((1 << 6 * deep) - 1))
     names, node = np.unique(name, return_inverse=True)
@@ -87,7 +92,9 @@ def train(texts: dict[str, list[str]]) -> Model:
     for i, c in enumerate(counts):
         p = np.full((len(names), SYMBOLS), 1 / SYMBOLS)
         for k in range(ORDER + 1):
-            row = c[k][own & ((1 << 6 * k) - 1)].astype(np.float64)
+            code = ((own & ((1 << 6 * k) - 1)) * SYMBOLS)[:, None] + np.arange(SYMBOLS)
+            at = np.minimum(np.searchsorted(c[k][0], code), len(c[k][0]) - 1) if len(c[k][0]) else np.zeros_like(code)
+            row = np.where(c[k][0][at] == code, c[k][1][at], 0).astype(np.float64) if len(c[k][0]) else np.zeros(code.shape)
             total, distinct = row.sum(axis=1, keepdims=True), (row > 0).sum(axis=1, keepdims=True)
             use = (order[:, None] >= k) & (total >= (NODE_MIN if k else 1))
             # what a shorter context says of bytes that this one has seen is excluded from the escape
