@@ -1,0 +1,150 @@
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from tidemill.llm import langid, licences, quality, queries
+
+
+def test_language_accuracy(spark, medium):
+    out = queries.op7_language_id(spark, medium).join(spark.read.parquet(f"{medium}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
+    held = out[out.held_out]
+    assert len(held) > 100 and (held.lang_pred == held.lang).mean() > 0.98
+    assert out.score.between(0, 1).all()
+
+
+def test_language_score_is_the_code_length():
+    """The table's code lengths equal a plain walk down the orders, and a context's chances add up to 1."""
+    texts = {"a": ["the cat sat on the mat and the hat " * 30], "b": ["der hund und die katze und der hut " * 30]}
+    m = langid.train(texts)
+    p = np.exp2(-m.bits.astype(float).reshape(-1, langid.SYMBOLS, 2))
+    assert np.allclose(p.sum(axis=1), 1, atol=1e-3)
+    s = [int(m.symbol[b]) for b in b"the dog"]
+    space = int(m.symbol[32])
+    train = [int(m.symbol[b]) for b in texts["a"][0].encode()]
+    padded = [space] * 3 + train
+
+    def chance(context, x):
+        orders = [padded[i] for i in range(3, len(padded)) if padded[i - len(context) : i] == context] if context else train
+        if len(orders) < (langid.NODE_MIN if context else 1):
+            return chance(context[1:], x)
+        lower = (lambda y: chance(context[1:], y)) if context else (lambda y: 1 / langid.SYMBOLS)
+        seen = set(orders)
+        rest = sum(lower(y) for y in range(langid.SYMBOLS) if y not in seen)
+        escape = len(seen) if rest > 0 else 0
+        if x in seen:
+            return orders.count(x) / (len(orders) + escape)
+        return escape / (len(orders) + escape) * lower(x) / rest
+
+    want = sum(-np.log2(chance(([space] * 3 + s)[i : i + 3], x)) for i, x in enumerate(s))
+    sym, context, _ = langid._symbols(pa.array(["the dog"]), m.symbol)
+    got = m.bits[:, 0][m.node[context] * langid.SYMBOLS + sym].sum()
+    assert abs(got - want) < 0.01
+
+
+def test_language_edges(spark):
+    rows = [(1, "hello there my friend", "en", "x"), (2, None, "en", "x"), (3, "", None, "x"), (4, "12 34 !?", "en", "x"), (None, "ça va", None, "x"), (1, "hello there my friend", "en", "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    out = langid.identify(df.select("doc_id", "text"), df).collect()
+    assert sorted((r.doc_id or 0, r.lang_pred) for r in out) == [(0, "en"), (1, "en"), (1, "en"), (2, "und"), (3, "und"), (4, "und")]
+    nothing = langid.identify(df.select("doc_id", "text"), df.limit(0)).collect()
+    assert {(r.lang_pred, r.score) for r in nothing} == {("und", 0.0)}
+    assert langid.identify(df.select("doc_id", "text").limit(0), df).count() == 0
+
+
+def test_score_depends_on_its_text_only():
+    m = langid.train({"a": ["one two three " * 50], "b": ["uno dos tres " * 50]})
+    column = pa.array(["one two", None, "", "tres", "long " * 100])
+    lang, value = langid.score(m, column)
+    for i in range(len(column)):
+        a, v = langid.score(m, column.slice(i, 1))
+        assert (a[0], v[0]) == (lang[i], value[i])
+    stats = quality.statistics(column)
+    for i in range(len(column)):
+        assert np.allclose(quality.statistics(column.slice(i, 1))[0], stats[i])
+
+
+def test_quality_held_out(spark, medium):
+    labels = spark.read.parquet(f"{medium}/labels.parquet")
+    out = queries.op10_quality(spark, medium).join(labels, "doc_id").toPandas()
+    held = out[out.held_out]
+    assert len(held) > 30 and (held.predicted == held.quality).mean() > 0.95
+    assert (out.predicted == (out.score >= 0.3)).all()
+
+
+def test_quality_is_a_density_ratio():
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(0, 1, (500, 3)), rng.normal(1.5, 2, (500, 3))])
+    y = np.repeat([0, 1], 500)
+    m = quality.fit(x, y, 0.5)
+    z = (x - m.centre) / m.scale
+    log = []
+    for k in (0, 1):
+        cov = np.linalg.inv(m.factors[k].T @ m.factors[k])
+        d = z - m.means[k]
+        log.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d) - 0.5 * np.linalg.slogdet(cov)[1])
+    assert np.allclose(m.score(x), 1 / (1 + np.exp(np.clip(log[0] - log[1], -30, 30))))
+    assert ((m.score(x) > 0.5) == y).mean() > 0.8
+    assert quality.fit(x, np.zeros(1000, int), 0.5) is None
+
+
+def test_quality_edges(spark):
+    docs = spark.createDataFrame([(1, "good text here", 7), (2, None, 7), (None, "", 7), (1, "good text here", 7)], "doc_id bigint, text string, score int")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 5), (None, 1)], "doc_id bigint, quality int")
+    out = quality.score(docs, labels, names=("s", "p")).collect()
+    assert len(out) == 4 and all(0 <= r.s <= 1 and r.p == (r.s >= 0.3) for r in out)
+    assert {r.s for r in quality.score(docs, labels.limit(0), names=("s", "p")).collect()} == {0.5}
+    assert quality.score(docs.limit(0), labels, names=("s", "p")).count() == 0
+
+
+def brute_licences(text):
+    m = licences.model()
+    out = []
+    for i, line in enumerate((text or "").split("\n")):
+        if not any(c in line.lower() for c in licences.CUES):
+            continue
+        p = m.chances(line)
+        family = m.classes[int(p.argmax())]
+        if family == licences.UNKNOWN or p.max() < licences.LEAST:
+            continue
+        like = max(len(licences.pairs(n) & licences.pairs(line)) / len(licences.pairs(n)) for n in licences.NOTICES[family])
+        if like >= licences.CONFIRM:
+            out.append((i, family))
+    return out
+
+
+def test_licences(spark, medium):
+    docs = spark.read.parquet(f"{medium}/documents.parquet")
+    got = sorted((r.doc_id, r.paragraph, r.family) for r in licences.paragraphs(docs).collect())
+    want = sorted((r.doc_id, *x) for r in docs.collect() for x in brute_licences(r.text))
+    assert want and got == want
+    known = docs.where("text RLIKE 'MIT License|Apache License|General Public License|CC BY-NC'").count()
+    assert licences.scan(docs).select("doc_id").distinct().count() == known
+
+
+def test_every_notice_is_known():
+    for family, notices in licences.NOTICES.items():
+        for n in notices:
+            assert brute_licences(f"x\n  {n.upper()} ") == [(1, family)], n
+    for other in licences.OTHERS:
+        assert brute_licences(other) == []
+
+
+def test_licence_edges(spark):
+    line = "Released under the MIT License."
+    rows = [(1, line, 1), (1, line, 1), (None, f"a\n{line}\n{line}", 1), (2, None, 1), (3, "", 1), (4, "license", 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, line int")
+    got = sorted((r.doc_id or 0, r.family, r.paragraphs, r.first_paragraph) for r in licences.scan(df).collect())
+    assert got == [(0, "mit", 2, 1), (1, "mit", 2, 0)]
+    assert licences.scan(df.limit(0)).count() == 0
+
+
+def test_licence_plan_is_native(spark, medium):
+    plan = licences.scan(spark.read.parquet(f"{medium}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_folds(spark):
+    import zlib
+
+    df = spark.range(50).select(F.col("id").alias("doc_id"), queries.held_out().alias("h"))
+    assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in df.collect())

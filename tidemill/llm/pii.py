@@ -11,6 +11,7 @@ import bisect
 import hashlib
 import re
 from collections.abc import Iterator
+from datetime import date
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -107,8 +108,11 @@ def _ssn_ok(text: str) -> bool:
 
 def _birth_ok(text: str) -> bool:
     part = [int(x) for x in re.split(r"[-./]", text)]
-    year, month, day = part if len(str(part[0])) == 4 else (part[2], part[1], part[0])
-    return 1900 <= year <= 2025 and 1 <= day <= 31 and 1 <= min(month, day) <= 12 and month <= 31
+    year, month, day = part if part[0] > 31 else (part[2], part[1], part[0])
+    try:
+        return 1900 <= date(year, month, day).year <= 2025
+    except ValueError:
+        return False
 
 
 def score(text: str, kind: str, start: int, end: int) -> float:
