@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemill.functions.validation import validated
-from tidemill.sources.contracts import RAW, RAW_FIELDS
+from tidemill.sources.contracts import RAW_FIELDS
 from tidemill.streaming.processors import deduplicated, features
 from tidemill.streaming.runs import use_rocksdb
 from tidemill.streaming.sinks import split_by_kind
@@ -16,20 +15,10 @@ FEATURE_COLUMNS = ["customer_id", "total_amount_30d", "tx_count_30d", "window_st
 FEATURE_DDL = "customer_id string, total_amount_30d double, tx_count_30d bigint, window_start_ms bigint, window_end_ms bigint"
 
 
-def malformed(payloads: DataFrame) -> DataFrame:
-    """kind invalid for the payloads that are not valid, in the form of the de-duplication's output."""
-    checked = validated(payloads)
-    message = F.concat("error", F.lit("; payload="), F.coalesce("value", F.lit("null")))
-    nothing = [F.lit(None).cast(kind).alias(name) for name, kind in (x.split() for x in RAW.split(", "))]
-    return checked.where("error IS NOT NULL").select(F.lit("invalid").alias("kind"), *nothing, message.alias("value"))
-
-
 def ingest(spark: SparkSession, payloads: DataFrame, base: str, checkpoint: str, every: str = "10 seconds") -> StreamingQuery:
     """Payloads (value) to base/valid and base/invalid."""
     use_rocksdb(spark)
-    checked = validated(payloads).where("error IS NULL").select(*RAW_FIELDS)
-    out = deduplicated(checked).unionByName(malformed(payloads))
-    return out.writeStream.queryName("ingest").option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime=every).foreachBatch(split_by_kind(base, {"valid": list(RAW_FIELDS), "invalid": ["value"]})).start()
+    return deduplicated(validated(payloads)).writeStream.queryName("ingest").option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime=every).foreachBatch(split_by_kind(base, {"valid": list(RAW_FIELDS), "invalid": ["value"]})).start()
 
 
 def rolling(spark: SparkSession, events: DataFrame, base: str, checkpoint: str, every: str | None = None) -> StreamingQuery:

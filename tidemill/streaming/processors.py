@@ -36,7 +36,9 @@ class Deduplicate(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         stored = self.seen.get()[0] if self.seen.exists() else None
         for r in rows:
-            if stored is None:
+            if r["message"] is not None:
+                yield Row(kind="invalid", **dict.fromkeys(RAW_FIELDS), value=r["message"])
+            elif stored is None:
                 stored = r["print"]
                 self.seen.update((stored,))
                 yield Row(kind="valid", **{c: r[c] for c in RAW_FIELDS}, value=None)
@@ -120,9 +122,13 @@ class RollingFeatures(StatefulProcessor):
         pass
 
 
-def deduplicated(valid: DataFrame) -> DataFrame:
-    """kind valid or invalid for a stream of valid events."""
-    return valid.select(*RAW_FIELDS, fingerprint().alias("print")).groupBy("event_id").transformWithState(Deduplicate(), DEDUP_OUT, "Append", "ProcessingTime")
+def deduplicated(checked: DataFrame, value: str = "value") -> DataFrame:
+    """kind valid or invalid for a stream of validated payloads (with `error`). One source feeds both: what
+    is malformed passes through beside the ids, dealt out by its hash."""
+    message = F.when(F.col("error").isNotNull(), F.concat("error", F.lit("; payload="), F.coalesce(F.col(value), F.lit("null"))))
+    route = F.when(F.col("error").isNull(), F.concat(F.lit("id:"), "event_id")).otherwise(F.concat(F.lit("invalid:"), F.xxhash64(value).cast("string")))
+    rows = checked.select(*RAW_FIELDS, fingerprint().alias("print"), message.alias("message"), route.alias("route"))
+    return rows.groupBy("route").transformWithState(Deduplicate(), DEDUP_OUT, "Append", "ProcessingTime")
 
 
 def features(events: DataFrame, window: int = WINDOW_MS, slide: int = HOUR_MS) -> DataFrame:
