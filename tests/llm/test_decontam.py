@@ -65,3 +65,10 @@ def test_multi_index_is_complete():
         prints[i, rng.choice(128, i % 60, replace=False)] ^= True
     near = {tuple(x) for x in items.near(prints, 8).tolist()}
     assert near == {(i, j) for i in range(300) for j in (0, 1) if (prints[i] != items.prints[j]).sum() <= decontam.RADIUS}
+
+
+def test_blocks_of_items_change_nothing(spark, small, monkeypatch):
+    docs, items = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
+    whole = sorted(map(tuple, decontam.contaminated(docs, items).collect()))
+    monkeypatch.setattr(decontam, "ITEM_BLOCK", 9)
+    assert sorted(map(tuple, decontam.contaminated(docs, items).collect())) == whole

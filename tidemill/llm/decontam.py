@@ -27,8 +27,9 @@ from tidemill.llm.common import chunks
 RADIUS = 35
 _WIDTHS = (11,) * 8 + (10,) * 4
 _NEAR = RADIUS // len(_WIDTHS)
-#: Items that are searched for in one pass over the texts; what a worker keeps for one is under 20 kB.
+#: Items, and bytes of their texts, that are searched for in one pass over the documents.
 ITEM_BLOCK = 8192
+BLOCK_BYTES = 4 << 20
 _GATE_BITS = 22
 
 
@@ -181,19 +182,29 @@ def _matcher(block: tuple, threshold: float, schema: pa.Schema):
     return run
 
 
+def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different shingles of each item."""
+    for b in chunks(batches, "text"):
+        s = textops.shingles(textops.words(b.column("text")))
+        yield pa.RecordBatch.from_arrays([pa.array(s.hashes[textops.occurrences(s.text, s.hashes) == 0].view(np.int64))], names=["shingle"])
+
+
 def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple]:
-    """Blocks of at most about ITEM_BLOCK items with the weights of their shingles: 16 times
-    ln(1 + items / items that hold it), counted within the block."""
-    n = benchmark.count()
-    pieces = -(-n // ITEM_BLOCK)
+    """Blocks of items, of about ITEM_BLOCK items and BLOCK_BYTES bytes at most, with the weights of their
+    shingles: 16 times ln(1 + items / items that hold it), counted over all items."""
+    items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    n, size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    pieces = max(-(-n // ITEM_BLOCK), -(-(size or 0) // BLOCK_BYTES))
+    holders = items.select("text").mapInArrow(_item_shingles, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n"))
     for i in range(pieces):
-        rows = benchmark.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(pieces)) == i).select(id_col, text_col).where(F.col(text_col).isNotNull()).collect()
-        ids, texts = [r[0] for r in rows], [r[1] for r in rows]
-        if not ids:
+        own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(pieces)) == i)
+        rows = own.collect()
+        if not rows:
             continue
-        s = textops.shingles(textops.words(pa.array(texts, pa.large_string())))
-        holds = Counter(h for h, _ in {(h, t) for h, t in zip(s.hashes.tolist(), s.text.tolist(), strict=True)})
-        yield ids, texts, {h: max(1, round(16 * float(np.log1p(len(ids) / k)))) for h, k in holds.items()}, max(1, round(16 * float(np.log1p(len(ids)))))
+        mine = own.select("text").mapInArrow(_item_shingles, "shingle bigint").distinct()
+        counts = holders.join(mine, "shingle", "left_semi").toArrow()
+        weights = np.maximum(1, np.round(16 * np.log1p(n / counts["n"].to_numpy()))).astype(int).tolist()
+        yield [r["id"] for r in rows], [r["text"] for r in rows], dict(zip(counts["shingle"].to_numpy().view(np.uint64).tolist(), weights, strict=True)), max(1, round(16 * float(np.log1p(n))))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
