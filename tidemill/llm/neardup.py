@@ -33,6 +33,8 @@ BANDS = COORDINATES // ROWS
 BUCKET_CHUNK = 240
 #: Members that all chunks of a split bucket share, each the first of a hashed eighth of the bucket.
 ANCHORS = 8
+#: Parts into which a group's texts are dealt when they learn its class.
+SALTS = 16
 #: Closest partners that are candidates besides the forest.
 PARTNERS = 3
 #: Agreement, below the threshold by over four standard deviations, from which a pair is a candidate.
@@ -212,9 +214,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         pairs = found.join(units.select(F.col("key").alias("a"), F.col("units").alias("ua")), "a").join(units.select(F.col("key").alias("b"), F.col("units").alias("ub")), "b")
         links = pairs.select("a", "b", "ua", "ub").mapInArrow(_confirm(threshold), "a binary, b binary")
         roots = components(links)
-        slim = texts.select("key", "id", "n").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "id", "n", F.coalesce("root", "key").alias("root"))
-        groups = slim.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_rows"), F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias("first"))
-        return cut(slim.join(groups, "root").select("key", "class_id", "class_rows", (F.col("first.key") == F.col("key")).alias("first_key")))
+        slim = texts.select("key", "id", "n").join(roots.withColumnRenamed("node", "key"), "key", "left")
+        alone = slim.where("root IS NULL").select("key", F.col("id").alias("class_id"), F.col("n").alias("class_rows"), F.lit(True).alias("first_key"))
+        # a group may hold a large part of all texts: its row is dealt out with a salt
+        linked = slim.where("root IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+        groups = linked.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_rows"), F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias("first"))
+        groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        linked = linked.join(groups, ["root", "salt"]).select("key", "class_id", "class_rows", (F.col("first.key") == F.col("key")).alias("first_key"))
+        return cut(alone.unionByName(linked))
     finally:
         work.drop()
 
