@@ -10,7 +10,8 @@ coordinates, about k (ln k + 2), however long it is.
 Signatures are joined by bands. Within a bucket (split into chunks of bounded size when it is large)
 a maximum spanning forest over the signatures' agreement, and each member's closest partners, are
 the candidates; an exact weighted Jaccard of the stored units confirms each. Components of the
-confirmed links are the groups.
+confirmed links are the groups. In a second round, texts that are left alone in large buckets are
+compared with all of their members.
 """
 
 from __future__ import annotations
@@ -35,9 +36,13 @@ BUCKET_CHUNK = 240
 ANCHORS = 8
 #: Parts into which a group's texts are dealt when they learn its class.
 SALTS = 16
+#: Strays of a split bucket that meet all of its chunks in the second round.
+STRAYS = 960
 #: Closest partners that are candidates besides the forest.
 PARTNERS = 3
-#: Agreement, below the threshold by over four standard deviations, from which a pair is a candidate.
+#: The same for strays, of each chunk that they meet.
+STRAY_PARTNERS = 12
+#: How far, in over four standard deviations, agreement may be from similarity.
 SLACK = 0.14
 
 
@@ -107,35 +112,40 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _forest(sig: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Edges (i, j, agreement) of a maximum spanning forest and of each member's closest partners."""
+def _forest(sig: np.ndarray, least: int, sure: int) -> list[tuple[int, int, int]]:
+    """Candidates (i, j, agreement): a maximum spanning forest, which connects whatever is connected by pairs
+    that agree as much; and, since close to the threshold agreement only estimates similarity, each
+    member's closest partners among those that pairs over `sure` don't connect it to."""
     m = len(sig)
     agree = np.zeros((m, m), np.int16)
     for at in range(0, m, 64):
         agree[at : at + 64] = (sig[at : at + 64, None, :] == sig[None, :, :]).sum(axis=2)
     np.fill_diagonal(agree, -1)
-    out = set()
-    if m > PARTNERS + 1:
-        near = np.argpartition(-agree, PARTNERS, axis=1)[:, :PARTNERS]
-        out.update((min(i, j), max(i, j)) for i, row in enumerate(near.tolist()) for j in row)
+    out, label = set(), np.zeros(m, np.int64)
     best, via, inside = agree[0].copy(), np.zeros(m, np.int64), np.zeros(m, bool)
     inside[0] = True
     for _ in range(m - 1):
         j = int(np.argmax(np.where(inside, -2, best)))
         out.add((min(j, int(via[j])), max(j, int(via[j]))))
+        label[j] = label[via[j]] if best[j] >= sure else label.max() + 1
         inside[j] = True
         closer = agree[j] > best
         best[closer], via[closer] = agree[j][closer], j
+    if label.max():
+        other = np.where(label[:, None] != label[None, :], agree, -1)
+        near = np.argsort(-other, axis=1, kind="stable")[:, :PARTNERS]
+        out.update((min(i, j), max(i, j)) for i, row in enumerate(near.tolist()) for j in row if other[i, j] >= least)
     return [(i, j, int(agree[i, j])) for i, j in sorted(out) if agree[i, j] >= least]
 
 
-def _edges(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(rows: list[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int32())], names=["a", "b", "agree"])
+def _edge_batch(rows: list[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int32())], names=["a", "b", "agree"])
+
 
+def _edges(least: int, sure: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def group(keys: list[bytes], sigs: list[bytes]) -> list[tuple[bytes, bytes, int]]:
-            own = dict(zip(keys, sigs, strict=True))  # an anchor may also be a member
+            own = dict(sorted(zip(keys, sigs, strict=True)))  # an anchor may also be a member
             keys = list(own)
             if len(keys) < 2:
                 return []
@@ -143,7 +153,7 @@ def _edges(least: int):
             if len(keys) == 2:
                 n = int((sig[0] == sig[1]).sum())
                 return [(*sorted(keys), n)] if n >= least else []
-            return [(*sorted((keys[i], keys[j])), n) for i, j, n in _forest(sig, least)]
+            return [(*sorted((keys[i], keys[j])), n) for i, j, n in _forest(sig, least, sure)]
 
         last, keys, sigs = None, [], []
         for b in batches:
@@ -155,9 +165,40 @@ def _edges(least: int):
                 keys.append(k)
                 sigs.append(s)
             if out:
-                yield made(out)
+                yield _edge_batch(out)
         if out := group(keys, sigs):
-            yield made(out)
+            yield _edge_batch(out)
+
+    return run
+
+
+def _strays(least: int):
+    """Candidates of a chunk's strays: each one's closest partners of other groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(rows: list[tuple[bytes, bytes, bytes, bool]]) -> list[tuple[bytes, bytes, int]]:
+            rows = sorted(set(rows))
+            sig = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), COORDINATES)
+            root = np.unique([r[2] for r in rows], return_inverse=True)[1]
+            out = set()
+            for i in [i for i, r in enumerate(rows) if r[3]]:
+                agree = np.where(root != root[i], (sig == sig[i]).sum(axis=1), -1)
+                near = np.argsort(-agree, kind="stable")[:STRAY_PARTNERS]
+                out.update((*sorted((rows[i][0], rows[j][0])), int(agree[j])) for j in near.tolist() if agree[j] >= least)
+            return sorted(out)
+
+        last, rows = None, []
+        for b in batches:
+            out = []
+            for g, c, *row in zip(*(b.column(x).to_pylist() for x in ("bucket", "chunk", "key", "sig", "root", "stray")), strict=True):
+                if (g, c) != last:
+                    out += pairs(rows) if rows else []
+                    last, rows = (g, c), []
+                rows.append(tuple(row))
+            if out:
+                yield _edge_batch(out)
+        if rows and (out := pairs(rows)):
+            yield _edge_batch(out)
 
     return run
 
@@ -206,14 +247,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         anchors = anchors.select("bucket", "pieces", F.explode("at").alias("at")).where("at IS NOT NULL").select("bucket", "at.key", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("chunk"))
         chunked = members.select("bucket", "key", F.pmod(F.xxhash64("key", "bucket"), F.col("pieces")).cast("int").alias("chunk")).unionByName(anchors)
         chunked = chunked.join(texts.select("key", "sig"), "key")
-        least = int(np.floor(COORDINATES * (threshold - SLACK)))
-        found = chunked.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk").mapInArrow(_edges(least), "a binary, b binary, agree int")
+        least, sure = int(np.floor(COORDINATES * (threshold - SLACK))), int(np.ceil(COORDINATES * min(1, threshold + SLACK)))
+        found = chunked.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk").mapInArrow(_edges(least, sure), "a binary, b binary, agree int")
         found = cut(found.groupBy("a", "b").agg(F.max("agree").alias("agree")))
-        ends = found.select(F.col("a").alias("key")).unionByName(found.select(F.col("b").alias("key"))).distinct()
-        units = cut(texts.select("key", "units").join(ends, "key", "left_semi"))
-        pairs = found.join(units.select(F.col("key").alias("a"), F.col("units").alias("ua")), "a").join(units.select(F.col("key").alias("b"), F.col("units").alias("ub")), "b")
-        links = pairs.select("a", "b", "ua", "ub").mapInArrow(_confirm(threshold), "a binary, b binary")
-        roots = components(links)
+        wanted = found.select(F.col("a").alias("key")).unionByName(found.select(F.col("b").alias("key"))).unionByName(members.where("pieces > 1").select("key")).distinct()
+        units = cut(texts.select("key", "sig", "units").join(wanted, "key", "left_semi"))
+        roots = cut(components(_links(found, units, threshold)))
+        roots = _second_round(members, units, found, roots, least, threshold)
         slim = texts.select("key", "id", "n").join(roots.withColumnRenamed("node", "key"), "key", "left")
         alone = slim.where("root IS NULL").select("key", F.col("id").alias("class_id"), F.col("n").alias("class_rows"), F.lit(True).alias("first_key"))
         # a group may hold a large part of all texts: its row is dealt out with a salt
@@ -226,6 +266,42 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         work.drop()
 
 
+def _links(found: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of `found` whose units are similar enough."""
+    pairs = found.join(units.select(F.col("key").alias("a"), F.col("units").alias("ua")), "a").join(units.select(F.col("key").alias("b"), F.col("units").alias("ub")), "b")
+    return pairs.select("a", "b", "ua", "ub").mapInArrow(_confirm(threshold), "a binary, b binary")
+
+
+def _second_round(members: DataFrame, units: DataFrame, found: DataFrame, roots: DataFrame, least: int, threshold: float) -> DataFrame:
+    """`roots` after a second look at split buckets, where a text may have missed its only partners.
+
+    A bucket's strays are the members outside of its largest group. They meet all chunks of the bucket if
+    there are at most STRAYS of them, so the work is in proportion to the bucket; if there are more, the
+    bucket has no group that holds most of it, and all members are dealt into other chunks once more.
+    """
+    split = members.where("pieces > 1").join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "pieces", F.coalesce("root", "key").alias("root"))
+    split = cut(split)
+    if split.isEmpty():
+        return roots
+    sizes = split.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), (F.sum("n") - F.max("n")).alias("strays")).where("strays > 0")
+    split = split.join(sizes, "bucket").withColumn("stray", F.col("root") != F.col("largest"))
+    everywhere = F.col("stray") & (F.col("strays") <= STRAYS)
+    dealt = F.array(F.pmod(F.xxhash64("bucket", "key"), F.col("pieces")).cast("int"))
+    split = split.select("bucket", "key", "root", "stray", F.explode(F.when(everywhere, F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(dealt)).alias("chunk"))
+    split = split.join(units.select("key", "sig"), "key")
+    more = split.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk").mapInArrow(_strays(least), "a binary, b binary, agree int")
+    more = cut(more.groupBy("a", "b").agg(F.max("agree").alias("agree")).join(found, ["a", "b"], "left_anti"))
+    if more.isEmpty():
+        return roots
+    links = _links(more, units, threshold)
+    # groups take the place of their texts
+    for end in ("a", "b"):
+        links = links.join(roots.select(F.col("node").alias(end), "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    joined = cut(components(links))
+    old = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("newer")), "root", "left").select("node", F.coalesce("newer", "root").alias("root"))
+    return cut(old.unionByName(joined.join(roots, "node", "left_anti").select("node", "root")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """One row for each row of `docs`: its id, class_id (the smallest id of its group), class_rows (rows
     of the group) and kept (whether its id is class_id).
