@@ -39,7 +39,7 @@ SALTS = 16
 #: Strays of a split bucket that meet all of its chunks in the second round.
 STRAYS = 960
 #: Closest partners that are candidates besides the forest.
-PARTNERS = 3
+PARTNERS = 6
 #: The same for strays, of each chunk that they meet.
 STRAY_PARTNERS = 12
 #: How far, in over four standard deviations, agreement may be from similarity.
