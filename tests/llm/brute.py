@@ -42,19 +42,26 @@ def classes(rows, threshold=0.8):
 
 
 def leaks(rows, items, threshold=0.8):
-    """(id, item_id) with a window of the item's size of that similarity (plain counts as weights)."""
+    """(id, item_id) with a window of the item's size of that similarity (plain counts as weights).
+
+    A window without a shingle of the item has similarity 0, so only the others are compared.
+    """
     out = set()
+    texts = []
+    for i, t in rows:
+        w = words(t)
+        texts.append((i, w, [tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))]))
     for item, text in items:
         own, n = shingles(text), len(words(text))
-        for i, t in rows:
-            w = words(t)
+        for i, w, grams in texts:
             if not w or not n:
                 continue
             if n < 5:
                 hit = w == words(text)
             else:
-                grams = [tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))]
-                hit = any(similarity(own, Counter(grams[k : k + n - 4])) >= threshold for k in range(max(1, len(grams) - (n - 4) + 1)))
+                size, last = n - 4, max(0, len(grams) - (n - 4))
+                starts = {k for at, g in enumerate(grams) if g in own for k in range(max(0, at - size + 1), min(at, last) + 1)}
+                hit = any(similarity(own, Counter(grams[k : k + size])) >= threshold for k in starts)
             if hit:
                 out.add((i, item))
     return out
