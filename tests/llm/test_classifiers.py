@@ -1,3 +1,5 @@
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -23,8 +25,9 @@ def test_language_score_is_the_code_length():
     train = [int(m.symbol[b]) for b in texts["a"][0].encode()]
     padded = [space] * 3 + train
 
+    @cache
     def chance(context, x):
-        orders = [padded[i] for i in range(3, len(padded)) if padded[i - len(context) : i] == context] if context else train
+        orders = [padded[i] for i in range(3, len(padded)) if padded[i - len(context) : i] == list(context)] if context else train
         if len(orders) < (langid.NODE_MIN if context else 1):
             return chance(context[1:], x)
         lower = (lambda y: chance(context[1:], y)) if context else (lambda y: 1 / langid.SYMBOLS)
@@ -35,7 +38,7 @@ def test_language_score_is_the_code_length():
             return orders.count(x) / (len(orders) + escape)
         return escape / (len(orders) + escape) * lower(x) / rest
 
-    want = sum(-np.log2(chance(([space] * 3 + s)[i : i + 3], x)) for i, x in enumerate(s))
+    want = sum(-np.log2(chance(tuple(([space] * 3 + s)[i : i + 3]), x)) for i, x in enumerate(s))
     sym, context, _ = langid._symbols(pa.array(["the dog"]), m.symbol)
     got = m.bits[:, 0][m.node[context] * langid.SYMBOLS + sym].sum()
     assert abs(got - want) < 0.01
