@@ -27,6 +27,8 @@ CASES = [
     ("<p>1 < 2</p>", "1 < 2"),
     ("<nav>only a menu</nav>", ""),
     (f"<table><tr><td>{P}</td></tr></table>", T),
+    (f"<div class='layout has-sidebar'><div class=content>{P}</div><div class=sidebar>{P}{P}</div></div>", T),
+    (f"<div class='noAds wide'>{P}<div class='ads no-border'>no</div></div>", T),
 ]
 
 

@@ -42,6 +42,8 @@ _MARK = re.compile(r"\b(class|id|role|style|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+#: What follows these in a class says what the element has beside it or lacks, not what it is: has-sidebar, no-ads.
+_ABOUT = frozenset("has have with no without".split())
 
 
 class Node:
@@ -54,6 +56,17 @@ class Node:
         self.length = self.linked = 0
 
 
+def _names(value: str) -> set[str]:
+    """The words of an id or class that say what the element is."""
+    out: set[str] = set()
+    for name in value.split():
+        for word in _SPLIT.split(_CAMEL.sub("-", name).lower()):
+            if word in _ABOUT:
+                break
+            out.add(word)
+    return out
+
+
 def _is_noise(tag: str, attrs: str) -> bool:
     if tag in NEVER:
         return True
@@ -72,7 +85,7 @@ def _is_noise(tag: str, attrs: str) -> bool:
         elif name == "aria-hidden":
             if value.strip().lower() == "true":
                 return True
-        elif tag not in ("body", "html", "article", "main") and not NOISE.isdisjoint(_SPLIT.split(_CAMEL.sub("-", value).lower())):
+        elif tag not in ("body", "html", "article", "main") and not NOISE.isdisjoint(_names(value)):
             return True
         elif tag == "article" and not {"comment", "comments", "reply", "ad", "advert", "related", "promo", "sponsored"}.isdisjoint(_SPLIT.split(value.lower())):
             return True
