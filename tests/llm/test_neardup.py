@@ -92,3 +92,16 @@ def test_components(spark):
     out = {r.node: r.root for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
     assert {out[i] for i in range(101)} == {0} and out[201] == out[200] == 200
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def family(n, shared, own, same):
+    """n texts with a passage of `shared` shingles and `own` of their own, `same` of them like those of the next text."""
+    passage = [f"p{i}" for i in range(shared + 4)]
+    return [(i, " ".join([*passage, *(f"s{i // 2}x{j}" for j in range(same)), *(f"o{i}x{j}" for j in range(own - same))])) for i in range(n)]
+
+
+def test_pairs_in_a_family_below_the_threshold(spark):
+    """200 texts at 0.77 to each other, 100 pairs at 0.82, in buckets of one chunk: none outranks the true partner."""
+    rows = family(200, 300, 45, 11)
+    assert brute.classes(rows) == {i: i // 2 * 2 for i, _ in rows}
+    assert got(neardup.near_duplicates(table(spark, rows))) == {i: i // 2 * 2 for i, _ in rows}

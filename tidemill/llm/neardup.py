@@ -10,8 +10,8 @@ coordinates, about k (ln k + 2), however long it is.
 Signatures are joined by bands. Within a bucket (split into chunks of bounded size when it is large)
 a maximum spanning forest over the signatures' agreement, and each member's closest partners, are
 the candidates; an exact weighted Jaccard of the stored units confirms each. Components of the
-confirmed links are the groups. In a second round, texts that are left alone in large buckets are
-compared with all of their members.
+confirmed links are the groups. In a second round, all pairs of a bucket that these links don't connect
+are compared, without a limit on their number.
 """
 
 from __future__ import annotations
@@ -40,8 +40,6 @@ SALTS = 16
 STRAYS = 960
 #: Closest partners that are candidates besides the forest.
 PARTNERS = 6
-#: The same for strays, of each chunk that they meet.
-STRAY_PARTNERS = 12
 #: How far, in over four standard deviations, agreement may be from similarity.
 SLACK = 0.14
 
@@ -172,33 +170,75 @@ def _edges(least: int, sure: int):
     return run
 
 
-def _strays(least: int):
-    """Candidates of a chunk's strays: each one's closest partners of other groups."""
+def _blocks(batches: Iterator[pa.RecordBatch], fields: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """The rows (`fields`, key first) of each bucket's chunk, in the order of their keys."""
+    last, rows = None, []
+    for b in batches:
+        for g, c, *row in zip(*(b.column(x).to_pylist() for x in ("bucket", "chunk", *fields)), strict=True):
+            if (g, c) != last:
+                if rows:
+                    yield sorted(rows)
+                last, rows = (g, c), []
+            rows.append(tuple(row))
+    if rows:
+        yield sorted(rows)
+
+
+def _partners(sig: np.ndarray, root: np.ndarray, stray: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each stray i of a chunk and all j of other groups that agree as much; two strays meet once. Groups
+    that are joined in `root` meanwhile count as one."""
+    at = np.arange(len(sig))
+    for i in np.flatnonzero(stray).tolist():
+        other = np.flatnonzero((root != root[i]) & (~stray | (at > i)))
+        other = other[(sig[other] == sig[i]).sum(axis=1) >= least]
+        if len(other):
+            yield i, other
+
+
+def _block_arrays(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sig = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), COORDINATES)
+    return sig, np.unique([r[2] for r in rows], return_inverse=True)[1], np.array([r[3] for r in rows], bool)
+
+
+def _open(least: int):
+    """The rows that have a partner in another group, so that their units are needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows: list[tuple[bytes, bytes, bytes, bool]]) -> list[tuple[bytes, bytes, int]]:
-            rows = sorted(set(rows))
-            sig = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), COORDINATES)
-            root = np.unique([r[2] for r in rows], return_inverse=True)[1]
-            out = set()
-            for i in [i for i, r in enumerate(rows) if r[3]]:
-                agree = np.where(root != root[i], (sig == sig[i]).sum(axis=1), -1)
-                near = np.argsort(-agree, kind="stable")[:STRAY_PARTNERS]
-                out.update((*sorted((rows[i][0], rows[j][0])), int(agree[j])) for j in near.tolist() if agree[j] >= least)
-            return sorted(out)
-
-        last, rows = None, []
-        for b in batches:
-            out = []
-            for g, c, *row in zip(*(b.column(x).to_pylist() for x in ("bucket", "chunk", "key", "sig", "root", "stray")), strict=True):
-                if (g, c) != last:
-                    out += pairs(rows) if rows else []
-                    last, rows = (g, c), []
-                rows.append(tuple(row))
+        for rows in _blocks(batches, ("key", "sig", "root", "stray", "bucket", "chunk")):
+            wanted = set()
+            for i, other in _partners(*_block_arrays(rows), least):
+                wanted.add(i)
+                wanted.update(other.tolist())
+            if wanted:
+                keys, _, roots, strays, buckets, parts = zip(*(rows[i] for i in sorted(wanted)), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(parts, pa.int32()), pa.array(keys, pa.binary()), pa.array(roots, pa.binary()), pa.array(strays, pa.bool_())], names=["bucket", "chunk", "key", "root", "stray"])
+
+    return run
+
+
+def _exact(least: int, threshold: float):
+    """Links (a, b) between groups of a chunk: every pair of partners is compared by its units, unless links connect it already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks(batches, ("key", "sig", "root", "stray", "units")):
+            sig, root, stray = _block_arrays(rows)
+            units = [np.frombuffer(r[4], np.uint32) for r in rows]
+            size = np.array([len(u) for u in units])
+            known, place = np.unique(np.concatenate(units), return_inverse=True)
+            place = np.split(place.astype(np.int32), np.cumsum(size)[:-1])
+            mark, out = np.zeros(len(known), np.uint8), []
+            for i, other in _partners(sig, root, stray, least):
+                mark[place[i]] = 1
+                for at in range(0, len(other), 256):
+                    js = other[at : at + 256]
+                    both = np.add.reduceat(mark[np.concatenate([place[j] for j in js])], np.cumsum(size[js]) - size[js], dtype=np.int64)
+                    for j in js[both >= threshold * (size[i] + size[js] - both)].tolist():
+                        if root[j] != root[i]:
+                            out.append((rows[i][0], rows[j][0]))
+                            root[root == root[j]] = root[i]
+                mark[place[i]] = 0
             if out:
-                yield _edge_batch(out)
-        if rows and (out := pairs(rows)):
-            yield _edge_batch(out)
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -253,7 +293,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         wanted = found.select(F.col("a").alias("key")).unionByName(found.select(F.col("b").alias("key"))).unionByName(members.where("pieces > 1").select("key")).distinct()
         units = cut(texts.select("key", "sig", "units").join(wanted, "key", "left_semi"))
         roots = cut(components(_links(found, units, threshold)))
-        roots = _second_round(members, units, found, roots, least, threshold)
+        roots = _second_round(members, units, roots, least, threshold)
         slim = texts.select("key", "id", "n").join(roots.withColumnRenamed("node", "key"), "key", "left")
         alone = slim.where("root IS NULL").select("key", F.col("id").alias("class_id"), F.col("n").alias("class_rows"), F.lit(True).alias("first_key"))
         # a group may hold a large part of all texts: its row is dealt out with a salt
@@ -272,28 +312,27 @@ def _links(found: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "ua", "ub").mapInArrow(_confirm(threshold), "a binary, b binary")
 
 
-def _second_round(members: DataFrame, units: DataFrame, found: DataFrame, roots: DataFrame, least: int, threshold: float) -> DataFrame:
-    """`roots` after a second look at split buckets, where a text may have missed its only partners.
+def _second_round(members: DataFrame, units: DataFrame, roots: DataFrame, least: int, threshold: float) -> DataFrame:
+    """`roots` after a look at all pairs of a bucket that are still in different groups.
 
-    A bucket's strays are the members outside of its largest group. They meet all chunks of the bucket if
-    there are at most STRAYS of them, so the work is in proportion to the bucket; if there are more, the
-    bucket has no group that holds most of it, and all members are dealt into other chunks once more.
+    A bucket's strays are the members outside of its largest group; they are compared with all members of
+    a chunk, first by agreement, then, what agrees enough, by units that only these texts bring along. In a
+    split bucket they meet all chunks if there are at most STRAYS of them, so the work is in proportion to
+    the bucket; if there are more, all members are dealt into other chunks once more.
     """
-    split = members.where("pieces > 1").join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "pieces", F.coalesce("root", "key").alias("root"))
+    split = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "pieces", F.coalesce("root", "key").alias("root"))
     split = cut(split)
-    if split.isEmpty():
-        return roots
     sizes = split.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), (F.sum("n") - F.max("n")).alias("strays")).where("strays > 0")
     split = split.join(sizes, "bucket").withColumn("stray", F.col("root") != F.col("largest"))
     everywhere = F.col("stray") & (F.col("strays") <= STRAYS)
     dealt = F.array(F.pmod(F.xxhash64("bucket", "key"), F.col("pieces")).cast("int"))
     split = split.select("bucket", "key", "root", "stray", F.explode(F.when(everywhere, F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(dealt)).alias("chunk"))
     split = split.join(units.select("key", "sig"), "key")
-    more = split.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk").mapInArrow(_strays(least), "a binary, b binary, agree int")
-    more = cut(more.groupBy("a", "b").agg(F.max("agree").alias("agree")).join(found, ["a", "b"], "left_anti"))
-    if more.isEmpty():
+    split = split.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk").mapInArrow(_open(least), "bucket bigint, chunk int, key binary, root binary, stray boolean")
+    split = split.join(units.select("key", "sig", "units"), "key")
+    links = cut(split.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk").mapInArrow(_exact(least, threshold), "a binary, b binary").distinct())
+    if links.isEmpty():
         return roots
-    links = _links(more, units, threshold)
     # groups take the place of their texts
     for end in ("a", "b"):
         links = links.join(roots.select(F.col("node").alias(end), "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
