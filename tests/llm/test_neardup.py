@@ -105,3 +105,10 @@ def test_pairs_in_a_family_below_the_threshold(spark):
     rows = family(200, 300, 45, 11)
     assert brute.classes(rows) == {i: i // 2 * 2 for i, _ in rows}
     assert got(neardup.near_duplicates(table(spark, rows))) == {i: i // 2 * 2 for i, _ in rows}
+
+
+def test_many_pairs_in_split_buckets(spark):
+    """2,400 texts at 0.77 to each other, 1,200 pairs at 0.82: more strays in a bucket than meet a chunk together."""
+    rows = family(2400, 60, 9, 2)
+    assert brute.classes(rows[:40]) == {i: i // 2 * 2 for i in range(40)}
+    assert got(neardup.near_duplicates(table(spark, rows))) == {i: i // 2 * 2 for i, _ in rows}

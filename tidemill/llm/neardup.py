@@ -36,7 +36,7 @@ BUCKET_CHUNK = 240
 ANCHORS = 8
 #: Parts into which a group's texts are dealt when they learn its class.
 SALTS = 16
-#: Strays of a split bucket that meet all of its chunks in the second round.
+#: Strays of a bucket that meet a chunk together in the second round; more are dealt into parts.
 STRAYS = 960
 #: Closest partners that are candidates besides the forest.
 PARTNERS = 6
@@ -171,63 +171,69 @@ def _edges(least: int, sure: int):
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], fields: tuple[str, ...]) -> Iterator[list[tuple]]:
-    """The rows (`fields`, key first) of each bucket's chunk, in the order of their keys."""
+    """The rows (`fields`, key first) of each block, a part of a bucket's strays and one of its chunks, in the order of their keys."""
     last, rows = None, []
     for b in batches:
-        for g, c, *row in zip(*(b.column(x).to_pylist() for x in ("bucket", "chunk", *fields)), strict=True):
-            if (g, c) != last:
+        for g, p, c, *row in zip(*(b.column(x).to_pylist() for x in ("bucket", "part", "chunk", *fields)), strict=True):
+            if (g, p, c) != last:
                 if rows:
                     yield sorted(rows)
-                last, rows = (g, c), []
+                last, rows = (g, p, c), []
             rows.append(tuple(row))
     if rows:
         yield sorted(rows)
 
 
-def _partners(sig: np.ndarray, root: np.ndarray, stray: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each stray i of a chunk and all j of other groups that agree as much; two strays meet once. Groups
-    that are joined in `root` meanwhile count as one."""
-    at = np.arange(len(sig))
-    for i in np.flatnonzero(stray).tolist():
-        other = np.flatnonzero((root != root[i]) & (~stray | (at > i)))
+def _partners(rows: list[tuple], root: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each stray i of a block's part and all j of its chunk that are of other groups and agree as much; two
+    strays meet in one of their two blocks. Groups that are joined in `root` meanwhile count as one."""
+    sig = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), COORDINATES)
+    stray, asks, asked = (np.array([r[k] for r in rows], bool) for k in (3, 4, 5))
+    at = np.arange(len(rows))
+    for i in np.flatnonzero(asks).tolist():
+        other = np.flatnonzero(asked & (root != root[i]) & (~stray | (at > i)))
         other = other[(sig[other] == sig[i]).sum(axis=1) >= least]
         if len(other):
             yield i, other
 
 
-def _block_arrays(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sig = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), COORDINATES)
-    return sig, np.unique([r[2] for r in rows], return_inverse=True)[1], np.array([r[3] for r in rows], bool)
+def _groups(rows: list[tuple]) -> np.ndarray:
+    return np.unique([r[2] for r in rows], return_inverse=True)[1]
+
+
+#: A text in a block: whether it is a stray, of the block's part, of the block's chunk.
+ROLES = ("stray", "asks", "asked")
 
 
 def _open(least: int):
     """The rows that have a partner in another group, so that their units are needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _blocks(batches, ("key", "sig", "root", "stray", "bucket", "chunk")):
+        for rows in _blocks(batches, ("key", "sig", "root", *ROLES, "bucket", "part", "chunk")):
             wanted = set()
-            for i, other in _partners(*_block_arrays(rows), least):
+            for i, other in _partners(rows, _groups(rows), least):
                 wanted.add(i)
                 wanted.update(other.tolist())
             if wanted:
-                keys, _, roots, strays, buckets, parts = zip(*(rows[i] for i in sorted(wanted)), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(parts, pa.int32()), pa.array(keys, pa.binary()), pa.array(roots, pa.binary()), pa.array(strays, pa.bool_())], names=["bucket", "chunk", "key", "root", "stray"])
+                keys, _, roots, *rest = zip(*(rows[i] for i in sorted(wanted)), strict=True)
+                kinds = [pa.binary(), pa.binary(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip((keys, roots, *rest), kinds, strict=True)], names=["key", "root", *ROLES, "bucket", "part", "chunk"])
 
     return run
 
 
 def _exact(least: int, threshold: float):
-    """Links (a, b) between groups of a chunk: every pair of partners is compared by its units, unless links connect it already."""
+    """Links (a, b) between groups of a block: every pair of partners is compared by its units, unless links connect it already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _blocks(batches, ("key", "sig", "root", "stray", "units")):
-            sig, root, stray = _block_arrays(rows)
-            units = [np.frombuffer(r[4], np.uint32) for r in rows]
+        for rows in _blocks(batches, ("key", "sig", "root", *ROLES, "units")):
+            root = _groups(rows)
+            units = [np.frombuffer(r[-1], np.uint32) for r in rows]
             size = np.array([len(u) for u in units])
             known, place = np.unique(np.concatenate(units), return_inverse=True)
             place = np.split(place.astype(np.int32), np.cumsum(size)[:-1])
             mark, out = np.zeros(len(known), np.uint8), []
-            for i, other in _partners(sig, root, stray, least):
+            for i, other in _partners(rows, root, least):
                 mark[place[i]] = 1
                 for at in range(0, len(other), 256):
                     js = other[at : at + 256]
@@ -315,22 +321,25 @@ def _links(found: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
 def _second_round(members: DataFrame, units: DataFrame, roots: DataFrame, least: int, threshold: float) -> DataFrame:
     """`roots` after a look at all pairs of a bucket that are still in different groups.
 
-    A bucket's strays are the members outside of its largest group; they are compared with all members of
-    a chunk, first by agreement, then, what agrees enough, by units that only these texts bring along. In a
-    split bucket they meet all chunks if there are at most STRAYS of them, so the work is in proportion to
-    the bucket; if there are more, all members are dealt into other chunks once more.
+    A bucket's strays are the members outside of its largest group. They are dealt into parts of STRAYS, all
+    members into chunks, and each part meets each chunk in a block: first by agreement, then, what agrees
+    enough, by units that only these texts bring along. So any two members of different groups meet, and the
+    work is in proportion to the strays times the members.
     """
     split = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "pieces", F.coalesce("root", "key").alias("root"))
     split = cut(split)
     sizes = split.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), (F.sum("n") - F.max("n")).alias("strays")).where("strays > 0")
-    split = split.join(sizes, "bucket").withColumn("stray", F.col("root") != F.col("largest"))
-    everywhere = F.col("stray") & (F.col("strays") <= STRAYS)
-    dealt = F.array(F.pmod(F.xxhash64("bucket", "key"), F.col("pieces")).cast("int"))
-    split = split.select("bucket", "key", "root", "stray", F.explode(F.when(everywhere, F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(dealt)).alias("chunk"))
+    split = split.join(sizes, "bucket").withColumns({"stray": F.col("root") != F.col("largest"), "parts": F.ceil(F.col("strays") / STRAYS).cast("int")})
+    split = split.withColumns({"own_part": F.pmod(F.xxhash64("key", F.lit("part")), "parts").cast("int"), "own_chunk": F.pmod(F.xxhash64("bucket", "key"), "pieces").cast("int")})
+    as_asked = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), F.col("own_chunk").alias("chunk")))
+    as_stray = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda c: F.struct(F.col("own_part").alias("part"), c.alias("chunk")))
+    split = split.withColumn("block", F.explode(F.when(F.col("stray"), F.array_union(as_asked, as_stray)).otherwise(as_asked)))
+    split = split.select("bucket", "block.part", "block.chunk", "key", "root", "stray", (F.col("stray") & (F.col("block.part") == F.col("own_part"))).alias("asks"), (F.col("block.chunk") == F.col("own_chunk")).alias("asked"))
     split = split.join(units.select("key", "sig"), "key")
-    split = split.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk").mapInArrow(_open(least), "bucket bigint, chunk int, key binary, root binary, stray boolean")
+    block = ("bucket", "part", "chunk")
+    split = split.repartition(*block).sortWithinPartitions(*block).mapInArrow(_open(least), "key binary, root binary, stray boolean, asks boolean, asked boolean, bucket bigint, part int, chunk int")
     split = split.join(units.select("key", "sig", "units"), "key")
-    links = cut(split.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk").mapInArrow(_exact(least, threshold), "a binary, b binary").distinct())
+    links = cut(split.repartition(*block).sortWithinPartitions(*block).mapInArrow(_exact(least, threshold), "a binary, b binary").distinct())
     if links.isEmpty():
         return roots
     # groups take the place of their texts
