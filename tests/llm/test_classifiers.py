@@ -132,6 +132,22 @@ def test_every_notice_is_known():
         assert brute_licences(other) == []
 
 
+def test_all_rights_reserved(spark, medium):
+    docs = spark.read.parquet(f"{medium}/documents.parquet").where("text LIKE '%All rights reserved.%'")
+    found = licences.scan(docs).where("family = 'proprietary'").select("doc_id").distinct().count()
+    assert found == docs.count() > 0
+    assert brute_licences("Copyright 2024 Acme. All rights reserved.") == [(0, "proprietary")]
+
+
+def test_cues_drop_nothing_that_a_notice_confirms(spark):
+    for notice in (n for ns in licences.NOTICES.values() for n in ns):
+        own = licences.pairs(notice)
+        without = {p for p in own if not any(c in w for c in licences.CUES for w in p.split()) and tuple(p.split()) not in licences.CUE_PAIRS}
+        assert len(without) / len(own) < licences.CONFIRM, notice
+    lines = [(1, "Available under CC BY 4.0.")]
+    assert [r.family for r in licences.scan(spark.createDataFrame(lines, "doc_id bigint, text string")).collect()] == ["cc-by"]
+
+
 def test_licence_edges(spark):
     line = "Released under the MIT License."
     rows = [(1, line, 1), (1, line, 1), (None, f"a\n{line}\n{line}", 1), (2, None, 1), (3, "", 1), (4, "license", 1)]

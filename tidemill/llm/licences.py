@@ -6,8 +6,8 @@ notices below and on sentences that only sound like them; its temperature is set
 not seen. A prediction counts if its calibrated chance is at least LEAST and a notice of that family
 confirms it: at least CONFIRM of the notice's word pairs stand in the paragraph.
 
-A paragraph without any of CUES, pieces of words of which every notice holds one, names no licence and is
-not looked at.
+A paragraph without any of CUES and CUE_PAIRS is not looked at: it lacks so many pairs of every notice that none could
+confirm it.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ NOTICES = {
     "lgpl": ("This library is licensed under the GNU Lesser General Public License, version 3.", "Released under the LGPL license, version 2.1."),
     "mit": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.", "SPDX License Identifier MIT"),
     "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.", "Licensed under the Mozilla Public License 2.0."),
-    "proprietary": ("Copyright, all rights reserved. No part of this work may be reproduced without written permission of the copyright owner.", "This software is proprietary and licensed under a commercial license only."),
+    "proprietary": ("Copyright, all rights reserved. No part of this work may be reproduced without written permission of the copyright owner.", "This software is proprietary and licensed under a commercial license only.", "All rights reserved.", "Copyright, all rights reserved."),
     "unlicense": ("This is free and unencumbered software released into the public domain.", "Released under the Unlicense license."),
 }
 UNKNOWN = "unknown"
@@ -52,7 +52,6 @@ OTHERS = (
 )
 LEAST = 0.5
 CONFIRM = 0.7
-CUES = ("licen", "copyright", "permi", "redistrib", "spdx", "public", "software")
 _WORD = "[a-z0-9]+"
 
 
@@ -65,6 +64,24 @@ def pairs(text: str) -> set[str]:
     return {g for g in grams(text) if " " in g}
 
 
+CUES = ("licen", "copyright", "permi", "redistrib", "spdx", "public", "software", "reserved")
+
+
+def _cue_pairs() -> tuple[tuple[str, str], ...]:
+    """Word pairs of notices that CUES take besides them, so that whatever CONFIRM accepts holds one: a text
+    without any lacks more of each notice's pairs than may be missing."""
+    out = []
+    for own in (pairs(n) for ns in NOTICES.values() for n in ns):
+        spare = len(own) - next(k for k in range(len(own) + 1) if k / len(own) >= CONFIRM)
+        held = {p for p in own if any(c in w for c in CUES for w in p.split()) or tuple(p.split()) in out}
+        rest = sorted(own - held, key=lambda p: (-len(p), p))
+        out += [tuple(p.split()) for p in rest[: max(0, spare + 1 - len(held))]]
+    return tuple(out)
+
+
+CUE_PAIRS = _cue_pairs()
+
+
 @dataclass
 class Model:
     classes: list[str]  # UNKNOWN is the last
@@ -136,6 +153,8 @@ def _has_cue(text: F.Column) -> F.Column:
     cond = F.lit(False)
     for cue in CUES:
         cond = cond | F.contains(text, F.lit(cue))
+    for a, b in CUE_PAIRS:
+        cond = cond | (F.contains(text, F.lit(a)) & F.contains(text, F.lit(b)))
     return cond
 
 
