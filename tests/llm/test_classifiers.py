@@ -148,6 +148,16 @@ def test_cues_drop_nothing_that_a_notice_confirms(spark):
     assert [r.family for r in licences.scan(spark.createDataFrame(lines, "doc_id bigint, text string")).collect()] == ["cc-by"]
 
 
+def test_wrapped_licences(spark):
+    mit = "x y\n# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files.\nend"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met."
+    words = "\n".join(bsd.split())
+    apart = bsd.replace("\n", "\n\n")
+    df = spark.createDataFrame([(1, mit), (2, bsd), (3, words), (4, apart)], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.family, r.paragraphs) for r in licences.scan(df).collect())
+    assert got == [(1, "mit", 1), (2, "bsd", 1), (3, "bsd", 1)]
+
+
 def test_licence_edges(spark):
     line = "Released under the MIT License."
     rows = [(1, line, 1), (1, line, 1), (None, f"a\n{line}\n{line}", 1), (2, None, 1), (3, "", 1), (4, "license", 1)]

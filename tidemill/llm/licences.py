@@ -1,6 +1,7 @@
 """Licence scan: a trained paragraph classifier in DataFrame operations only.
 
-A multinomial logistic regression over the words and word pairs of a paragraph (a line of the text) knows
+A paragraph is a line of the text or a run of lines without a blank one between them, as far as the longest
+notice may be wrapped. A multinomial logistic regression over its words and word pairs knows
 one class for each licence family and one for anything else. It is trained here, on variants of the
 notices below and on sentences that only sound like them; its temperature is set on variants that it has
 not seen. A prediction counts if its calibrated chance is at least LEAST and a notice of that family
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import cut
@@ -149,6 +150,28 @@ def model() -> Model:
     return Model(classes, {g: w[i] for g, i in vocabulary.items()}, w[-1], temperature)
 
 
+#: Words of the longest notice, twice: what may stand between the first and the last line of a run.
+REACH = 2 * max(len(re.findall(_WORD, n.lower())) for ns in NOTICES.values() for n in ns)
+
+
+def _runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, paragraph, last, words) of each line, and of each run of lines from `paragraph` to `last`."""
+    line = F.transform(F.split(F.lower(text_col), "\n"), lambda x: F.array_join(F.regexp_extract_all(x, F.lit(_WORD), F.lit(0)), " "))
+    lines = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), line.alias("lines"))
+    # a line between others has a word at least, so no run has more than REACH of them
+    starts = F.transform(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.struct(i.alias("at"), F.slice("lines", i + 1, REACH + 1).alias("next")))
+    starts = lines.select("row", "id", F.explode(starts).alias("s")).select("row", "id", F.col("s.at").alias("paragraph"), F.col("s.next").alias("next"))
+
+    def joined(k: F.Column) -> F.Column:
+        between = F.array_join(F.slice("next", 2, F.greatest(k - 1, F.lit(0))), " ")
+        return (k == 0) | (~F.array_contains(F.slice("next", 1, k + 1), "") & (F.size(F.split(between, " ")) < REACH))
+
+    more = F.filter(F.sequence(F.lit(0), F.size("next") - 1), joined)
+    more = F.transform(more, lambda k: F.struct(k.alias("k"), F.array_join(F.slice("next", 1, k + 1), " ").alias("words")))
+    runs = starts.select("row", "id", "paragraph", F.explode(more).alias("r"))
+    return runs.select("row", "id", "paragraph", (F.col("paragraph") + F.col("r.k")).alias("last"), F.col("r.words").alias("words"))
+
+
 def _has_cue(text: F.Column) -> F.Column:
     cond = F.lit(False)
     for cue in CUES:
@@ -159,13 +182,12 @@ def _has_cue(text: F.Column) -> F.Column:
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, paragraph, family, chance, similarity) for each paragraph (a line, counted from 0) that holds a
-    confirmed licence notice. Repeated rows give repeated rows; null and empty texts give none."""
+    """(id, paragraph, family, chance, similarity) for each paragraph (its first line, counted from 0) that
+    holds a confirmed licence notice, and no shorter one of the family does; runs that overlap are one. Repeated rows give repeated rows; null and empty texts give none."""
     m = model()
     spark = docs.sparkSession
-    lines = docs.where(_has_cue(F.lower(text_col))).select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("paragraph", "line"))
-    lines = lines.select("id", "paragraph", F.lower("line").alias("line")).where(_has_cue(F.col("line")))
-    lines = cut(lines.select("id", "paragraph", F.array_join(F.regexp_extract_all("line", F.lit(_WORD), F.lit(0)), " ").alias("words")))
+    # word by word as in a run, a pair's words may stand on two lines: the whole text is looked at first
+    lines = cut(_runs(docs.where(_has_cue(F.lower(text_col))), id_col, text_col).where(_has_cue(F.col("words"))))
     # each different paragraph is judged once
     texts = lines.select("words").distinct().select("words", F.split("words", " ").alias("w"))
     two = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
@@ -182,7 +204,14 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     notices = F.broadcast(spark.createDataFrame([(f, sorted(pairs(s))) for f, ns in NOTICES.items() for s in ns], "family string, pairs array<string>"))
     judged = judged.join(texts, "words").join(notices, "family").select("words", "family", "chance", (F.size(F.array_intersect("pairs", "grams")) / F.size("pairs")).alias("similarity"))
     judged = judged.groupBy("words").agg(F.first("family").alias("family"), F.first("chance").alias("chance"), F.max("similarity").alias("similarity")).where(F.col("similarity") >= CONFIRM)
-    return lines.join(judged, "words").select(F.col("id").alias(id_col), "paragraph", "family", "chance", "similarity")
+    found = lines.join(judged, "words")
+    of = Window.partitionBy("row", "family")
+    inner = F.min("last").over(of.orderBy(F.desc("paragraph"), "last").rowsBetween(Window.unboundedPreceding, -1))
+    found = found.withColumn("inner", inner).where("inner IS NULL OR inner > last")
+    found = found.withColumn("new", (F.col("paragraph") > F.coalesce(F.lag("last").over(of.orderBy("paragraph")), F.lit(-1))).cast("int"))
+    found = found.withColumn("nth", F.sum("new").over(of.orderBy("paragraph")))
+    found = found.groupBy("row", "id", "family", "nth").agg(F.min("paragraph").alias("paragraph"), F.max("chance").alias("chance"), F.max("similarity").alias("similarity"))
+    return found.select(F.col("id").alias(id_col), "paragraph", "family", "chance", "similarity")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
