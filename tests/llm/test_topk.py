@@ -54,6 +54,31 @@ def test_large_values_and_blocks(spark, monkeypatch):
     assert run(spark, rows, 5) == brute(rows, 5)
 
 
+def exact(rows, k, every=3):
+    """Like brute(), in Python's integers; scores are cut to 64 bits after ranking."""
+    own = [(i, [int(np.floor(np.float64(x) * 1024)) for x in v]) for i, v in rows]
+    out = []
+    for q, v in own:
+        if q % every == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in own if i != q)[:k]
+            out += [(q, r + 1, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def test_scores_beyond_64_bits(spark, monkeypatch):
+    rng = random.Random(8)
+    kind = "vec_id bigint, embedding array<double>, id int"
+    find = lambda rows, k: sorted(tuple(r) for r in topk.search(spark.createDataFrame([(*r, 1) for r in rows], kind), F.col("vec_id") % 3 == 0, k=k).collect())
+    rows = [(0, [3e16, 1.0]), (1, [3e16, 0.0]), (2, [1.0, 1.0])]
+    assert find(rows, 10) == exact(rows, 10) and len(exact(rows, 10)) == 2
+    monkeypatch.setattr(topk, "_ROWS", 16)  # small and large slices side by side
+    rows = [(i, [rng.choice((-1, 1)) * 10.0 ** rng.uniform(-3, 3 if i < 60 else 30) for _ in range(3)]) for i in range(90)]
+    for k in (1, 5):
+        assert find(rows, k) == exact(rows, k)
+    rows += [(200, [1.7e308, 1.0, 1.0]), (201, [float("inf"), 0.0, 0.0])]  # not finite once scaled: no part
+    assert find(rows, 5) == exact(rows[:90], 5)
+
+
 def test_sql(spark, medium):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{medium}/embeddings.parquet'")
