@@ -54,6 +54,35 @@ def test_hot_groups(spark):
     assert all(out[i] == i for i in range(2000, 2040))
 
 
+def test_heavy_keys_are_dealt(spark, monkeypatch):
+    """With a low bar for heavy keys, texts, buckets, units and nodes of all kinds are salted."""
+    monkeypatch.setattr("tidemill.llm.common.HEAVY_ROWS", 20)
+    monkeypatch.setattr("tidemill.llm.common.HEAVY", 8)
+    monkeypatch.setattr(neardup, "BUCKET_CHUNK", 30)
+    rows = family(120, 300, 45, 11) + [(1000 + i, "one text that many rows have in common, all of them") for i in range(100)]
+    want = brute.classes(rows[:120]) | {i: 1000 for i in range(1000, 1100)}
+    assert got(neardup.near_duplicates(table(spark, rows))) == want
+    star = [(0, i) for i in range(1, 300)] + [(i, 1000) for i in range(400, 500)] + [(500, 501)]
+    out = {r.node: r.root for r in components(spark.createDataFrame(star, "a bigint, b bigint")).collect()}
+    assert {out[i] for i in range(300)} == {0} and {out[i] for i in (*range(400, 500), 1000)} == {400} and out[501] == 500
+
+
+def test_prefix_join_in_large_buckets(spark, monkeypatch):
+    """Families just below the threshold in split buckets, with texts of unequal sizes: the groups are the brute-force ones."""
+    monkeypatch.setattr(neardup, "BUCKET_CHUNK", 20)
+    monkeypatch.setattr(neardup, "STRAYS", 7)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows, base = [], [word() for _ in range(260)]
+    for i in range(130):
+        own = base + [word() for _ in range(rng.randint(40, 70))]
+        rows.append((2 * i, " ".join(own)))
+        rows.append((2 * i + 1, " ".join(own[: len(own) - rng.randint(0, 30)] + [word() for _ in range(rng.randint(0, 25))])))
+    want = brute.classes(rows)
+    assert 60 < len(set(want.values())) < 260
+    assert got(neardup.near_duplicates(table(spark, rows))) == want
+
+
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b c d e f", "x", 2, [1], "r")], "doc_id bigint, text string, text_key string, key int, row array<int>, sig string")
     assert neardup.deduplicate(df).columns == df.columns

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that a vectorised step looks at together; one longer text stands alone.
 CHUNK_BYTES = 1 << 21
@@ -71,6 +72,29 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             at = end
 
 
+#: A key that meets over this part of all rows of a join is heavy, so there are at most so many, and the
+#: least rows that count.
+HEAVY, HEAVY_ROWS = 512, 10_000
+#: Tasks that share the rows of a heavy key.
+SALTS = 64
+
+
+def join_skewed(left: DataFrame, right: DataFrame, on: str, weight: str, only: str | None = None) -> DataFrame:
+    """left join right by `on`; `right` (stored, one row for each key) says in `weight` how many rows of `left` have
+    the key. Heavy keys are dealt out with a salt. Only rows of `right` that fulfil `only` are joined. `weight`
+    stays a column."""
+    bound = right.agg(F.sum(weight)).first()[0] or 0
+    heavy = [r[0] for r in right.where(F.col(weight) >= max(HEAVY_ROWS, bound / HEAVY)).select(on).collect()]
+    right = right.where(only) if only else right
+    if not heavy:
+        return left.join(right, on)
+    salt = free_name([*left.columns, *right.columns], "salt")
+    hot = F.col(on).isin(heavy)
+    left = left.withColumn(salt, F.when(hot, F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    right = right.withColumn(salt, F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [on, salt]).drop(salt)
+
+
 def free_name(columns: list[str], name: str) -> str:
     """`name`, with underscores before it until no column is called so (case is ignored)."""
     taken = {c.lower() for c in columns}

@@ -11,11 +11,12 @@ Signatures are joined by bands. Within a bucket (split into chunks of bounded si
 a maximum spanning forest over the signatures' agreement, and each member's closest partners, are
 the candidates; an exact weighted Jaccard of the stored units confirms each. Components of the
 confirmed links are the groups. In a second round, all pairs of a bucket that these links don't connect
-are compared, without a limit on their number.
+are looked at, without a limit on their number: one by one in a small bucket, by an exact prefix join in others.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm import textops
-from tidemill.llm.common import Work, chunks, cut, free_name
+from tidemill.llm.common import Work, chunks, cut, free_name, join_skewed
 from tidemill.llm.graph import components
 
 COORDINATES = 128
@@ -36,8 +37,10 @@ BUCKET_CHUNK = 240
 ANCHORS = 8
 #: Parts into which a group's texts are dealt when they learn its class.
 SALTS = 16
-#: Strays of a bucket that meet a chunk together in the second round; more are dealt into parts.
+#: Strays of a unit that meet a chunk together in the second round; more are dealt into parts.
 STRAYS = 960
+#: Counters by which the second round tells rare units from frequent ones.
+SLOTS = 1 << 18
 #: Closest partners that are candidates besides the forest.
 PARTNERS = 6
 #: How far, in over four standard deviations, agreement may be from similarity.
@@ -80,8 +83,6 @@ def _units(column: pa.Array) -> tuple[textops.Words, np.ndarray, np.ndarray]:
 
 def _keys(w: textops.Words, ids: list[str]) -> list[bytes]:
     """16 bytes for each text; a text without words is known by its id."""
-    import hashlib
-
     raw = textops.text_keys(w).tobytes()
     return [raw[16 * i : 16 * i + 16] if n else hashlib.blake2b(str(x).encode(), digest_size=16).digest() for i, (n, x) in enumerate(zip(w.counts.tolist(), ids, strict=True))]
 
@@ -170,78 +171,72 @@ def _edges(least: int, sure: int):
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], fields: tuple[str, ...]) -> Iterator[list[tuple]]:
-    """The rows (`fields`, key first) of each block, a part of a bucket's strays and one of its chunks, in the order of their keys."""
+def _groups(rows: list[tuple], at: int) -> np.ndarray:
+    return np.unique([r[at] for r in rows], return_inverse=True)[1]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], by: tuple[str, ...], fields: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """The rows (`fields`) of each run of equal values of `by`, in their own order."""
     last, rows = None, []
     for b in batches:
-        for g, p, c, *row in zip(*(b.column(x).to_pylist() for x in ("bucket", "part", "chunk", *fields)), strict=True):
-            if (g, p, c) != last:
+        for at, row in zip(zip(*(b.column(x).to_pylist() for x in by), strict=True), zip(*(b.column(x).to_pylist() for x in fields), strict=True), strict=True):
+            if at != last:
                 if rows:
                     yield sorted(rows)
-                last, rows = (g, p, c), []
-            rows.append(tuple(row))
+                last, rows = at, []
+            rows.append(row)
     if rows:
         yield sorted(rows)
 
 
-def _partners(rows: list[tuple], root: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each stray i of a block's part and all j of its chunk that are of other groups and agree as much; two
-    strays meet in one of their two blocks. Groups that are joined in `root` meanwhile count as one."""
-    sig = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), COORDINATES)
-    stray, asks, asked = (np.array([r[k] for r in rows], bool) for k in (3, 4, 5))
-    at = np.arange(len(rows))
-    for i in np.flatnonzero(asks).tolist():
-        other = np.flatnonzero(asked & (root != root[i]) & (~stray | (at > i)))
+def _signatures(rows: list[tuple], at: int) -> np.ndarray:
+    return np.frombuffer(b"".join(r[at] for r in rows), np.uint8).reshape(len(rows), COORDINATES)
+
+
+def _partners(sig: np.ndarray, root: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each text i of a bucket and all later ones of other groups that agree as much. Groups that are joined in `root` meanwhile count as one."""
+    at = np.arange(len(sig))
+    for i in range(len(sig) - 1):
+        other = np.flatnonzero((root != root[i]) & (at > i))
         other = other[(sig[other] == sig[i]).sum(axis=1) >= least]
         if len(other):
             yield i, other
 
 
-def _groups(rows: list[tuple]) -> np.ndarray:
-    return np.unique([r[2] for r in rows], return_inverse=True)[1]
-
-
-#: A text in a block: whether it is a stray, of the block's part, of the block's chunk.
-ROLES = ("stray", "asks", "asked")
-
-
 def _open(least: int):
-    """The rows that have a partner in another group, so that their units are needed."""
+    """The rows of a bucket that have a partner in another group, so that their units are needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _blocks(batches, ("key", "sig", "root", *ROLES, "bucket", "part", "chunk")):
+        for rows in _runs(batches, ("bucket",), ("key", "sig", "root", "bucket")):
             wanted = set()
-            for i, other in _partners(rows, _groups(rows), least):
+            for i, other in _partners(_signatures(rows, 1), _groups(rows, 2), least):
                 wanted.add(i)
                 wanted.update(other.tolist())
             if wanted:
-                keys, _, roots, *rest = zip(*(rows[i] for i in sorted(wanted)), strict=True)
-                kinds = [pa.binary(), pa.binary(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip((keys, roots, *rest), kinds, strict=True)], names=["key", "root", *ROLES, "bucket", "part", "chunk"])
+                key, _, root, bucket = zip(*(rows[i] for i in sorted(wanted)), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(root, pa.binary()), pa.array(bucket, pa.int64())], names=["key", "root", "bucket"])
 
     return run
 
 
 def _exact(least: int, threshold: float):
-    """Links (a, b) between groups of a block: every pair of partners is compared by its units, unless links connect it already."""
+    """Links (a, b) between groups of a bucket: every pair of partners is compared by its units, unless links connect it already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _blocks(batches, ("key", "sig", "root", *ROLES, "units")):
-            root = _groups(rows)
-            units = [np.frombuffer(r[-1], np.uint32) for r in rows]
+        for rows in _runs(batches, ("bucket",), ("key", "sig", "root", "units")):
+            root = _groups(rows, 2)
+            units = [np.frombuffer(r[3], np.uint32) for r in rows]
             size = np.array([len(u) for u in units])
             known, place = np.unique(np.concatenate(units), return_inverse=True)
             place = np.split(place.astype(np.int32), np.cumsum(size)[:-1])
             mark, out = np.zeros(len(known), np.uint8), []
-            for i, other in _partners(rows, root, least):
+            for i, js in _partners(_signatures(rows, 1), root, least):
                 mark[place[i]] = 1
-                for at in range(0, len(other), 256):
-                    js = other[at : at + 256]
-                    both = np.add.reduceat(mark[np.concatenate([place[j] for j in js])], np.cumsum(size[js]) - size[js], dtype=np.int64)
-                    for j in js[both >= threshold * (size[i] + size[js] - both)].tolist():
-                        if root[j] != root[i]:
-                            out.append((rows[i][0], rows[j][0]))
-                            root[root == root[j]] = root[i]
+                both = np.add.reduceat(mark[np.concatenate([place[j] for j in js])], np.cumsum(size[js]) - size[js], dtype=np.int64)
+                for j in js[both >= threshold * (size[i] + size[js] - both)].tolist():
+                    if root[j] != root[i]:
+                        out.append((rows[i][0], rows[j][0]))
+                        root[root == root[j]] = root[i]
                 mark[place[i]] = 0
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
@@ -249,6 +244,57 @@ def _exact(least: int, threshold: float):
     return run
 
 
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often units fall into each of the SLOTS."""
+    total = np.zeros(SLOTS, np.int64)
+    for b in batches:
+        for u in b.column("units").to_pylist():
+            total += np.bincount(np.frombuffer(u, np.uint32) // np.uint32((1 << 32) // SLOTS), minlength=SLOTS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "n"])
+
+
+def _postings(often, threshold: float):
+    """(unit, key, root, words, first) for the rarest units of each text, as many as a text of the same size or a
+    smaller one must share one of; `first`: those of which a text of the same size or a larger one must share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = often.value
+        for b in chunks(batches, "units"):
+            units = [np.frombuffer(u, np.uint32) for u in b.column("units").to_pylist()]
+            size = np.array([len(u) for u in units])
+            unit, text = np.concatenate(units), np.repeat(np.arange(len(units)), size)
+            unit = unit[np.lexsort((unit, slots[unit // np.uint32((1 << 32) // SLOTS)], text))]
+            rank = np.arange(len(unit)) - np.repeat(np.cumsum(size) - size, size)
+            least = lambda share: (size - np.ceil(share * size - 1e-9).astype(np.int64) + 1)[text]  # noqa: B023, E731
+            own = rank < least(threshold)
+            first = (rank < least(2 * threshold / (1 + threshold)))[own]
+            text = text[own]
+            yield pa.RecordBatch.from_arrays([pa.array(unit[own].astype(np.int64)), b.column("key").take(pa.array(text)), b.column("root").take(pa.array(text)), pa.array(size[text].astype(np.int32)), pa.array(first)], names=["unit", "key", "root", "words", "first"])
+
+    return run
+
+
+def _candidates(least: int, threshold: float):
+    """Pairs (a, b) of a block, a part of a unit's strays and a chunk of all texts that hold it: of different groups, of
+    sizes that can be similar enough, agreeing as much, and with the unit among the first ones of the smaller."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, ("unit", "part", "chunk"), ("key", "sig", "root", "words", "first", "stray", "asks", "asked")):
+            sig, root = _signatures(rows, 1), _groups(rows, 2)
+            size, first, stray, asks, asked = (np.array([r[k] for r in rows]) for k in range(3, 8))
+            at, out = np.arange(len(rows)), []
+            for i in np.flatnonzero(asks).tolist():
+                ok = asked & (root != root[i]) & (~stray | (at > i)) & (np.minimum(size, size[i]) >= threshold * np.maximum(size, size[i]))
+                other = np.flatnonzero(ok & ((first & (size <= size[i])) | (first[i] & (size[i] <= size))))
+                other = other[(sig[other] == sig[i]).sum(axis=1) >= least]
+                out += [(min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0])) for j in other.tolist()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
 def _confirm(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -277,16 +323,16 @@ def with_key(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str =
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """One row for each different word sequence: key, class_id (smallest id of its group), class_rows
-    (rows of the group) and first_key (whether it is the text that stands for the group)."""
+    """One row for each different word sequence: key, rows (that have it), class_id (smallest id of its group),
+    class_rows (rows of the group) and first_key (whether it is the text that stands for the group)."""
     spark = docs.sparkSession
     work = Work(spark)
     try:
         sketches = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_sketch, f"id {docs.schema[id_col].dataType.simpleString()}, key binary, sig binary, bands array<bigint>, units binary")
         texts = work.store(sketches.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("units").alias("units")), "texts")
         bands = texts.select(F.explode("bands").alias("bucket"), "key", "id")
-        shared = bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-        members = bands.join(shared, "bucket")
+        shared = cut(bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+        members = join_skewed(bands, shared, "bucket", "size")
         members = cut(members.withColumn("pieces", F.ceil(F.col("size") / BUCKET_CHUNK).cast("int")).drop("size"))
         anchor = [F.min(F.when(F.pmod(F.xxhash64("key"), F.lit(ANCHORS)) == i, F.struct("id", "key"))) for i in range(ANCHORS)]
         anchors = members.where("pieces > 1").groupBy("bucket").agg(F.first("pieces").alias("pieces"), F.array(*anchor).alias("at"))
@@ -301,12 +347,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         roots = cut(components(_links(found, units, threshold)))
         roots = _second_round(members, units, roots, least, threshold)
         slim = texts.select("key", "id", "n").join(roots.withColumnRenamed("node", "key"), "key", "left")
-        alone = slim.where("root IS NULL").select("key", F.col("id").alias("class_id"), F.col("n").alias("class_rows"), F.lit(True).alias("first_key"))
+        alone = slim.where("root IS NULL").select("key", F.col("n").alias("rows"), F.col("id").alias("class_id"), F.col("n").alias("class_rows"), F.lit(True).alias("first_key"))
         # a group may hold a large part of all texts: its row is dealt out with a salt
         linked = slim.where("root IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
         groups = linked.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_rows"), F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias("first"))
         groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        linked = linked.join(groups, ["root", "salt"]).select("key", "class_id", "class_rows", (F.col("first.key") == F.col("key")).alias("first_key"))
+        linked = linked.join(groups, ["root", "salt"]).select("key", F.col("n").alias("rows"), "class_id", "class_rows", (F.col("first.key") == F.col("key")).alias("first_key"))
         return cut(alone.unionByName(linked))
     finally:
         work.drop()
@@ -319,27 +365,21 @@ def _links(found: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
 
 
 def _second_round(members: DataFrame, units: DataFrame, roots: DataFrame, least: int, threshold: float) -> DataFrame:
-    """`roots` after a look at all pairs of a bucket that are still in different groups.
+    """`roots` after a look at all pairs of a bucket that are still in different groups, so that no link is lost.
 
-    A bucket's strays are the members outside of its largest group. They are dealt into parts of STRAYS, all
-    members into chunks, and each part meets each chunk in a block: first by agreement, then, what agrees
-    enough, by units that only these texts bring along. So any two members of different groups meet, and the
-    work is in proportion to the strays times the members.
+    In a bucket of one chunk they are compared one by one. The members of larger buckets are joined by prefixes: of two
+    similar texts, the smaller one's rarest units (a ninth, for 0.8) and the larger one's (a fifth) must have one
+    in common, whatever order of units is taken for that of rareness. What many texts share is not rare, so a
+    page template of any number of texts costs each text a list of its own units only.
     """
-    split = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "pieces", F.coalesce("root", "key").alias("root"))
-    split = cut(split)
-    sizes = split.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), (F.sum("n") - F.max("n")).alias("strays")).where("strays > 0")
-    split = split.join(sizes, "bucket").withColumns({"stray": F.col("root") != F.col("largest"), "parts": F.ceil(F.col("strays") / STRAYS).cast("int")})
-    split = split.withColumns({"own_part": F.pmod(F.xxhash64("key", F.lit("part")), "parts").cast("int"), "own_chunk": F.pmod(F.xxhash64("bucket", "key"), "pieces").cast("int")})
-    as_asked = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), F.col("own_chunk").alias("chunk")))
-    as_stray = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda c: F.struct(F.col("own_part").alias("part"), c.alias("chunk")))
-    split = split.withColumn("block", F.explode(F.when(F.col("stray"), F.array_union(as_asked, as_stray)).otherwise(as_asked)))
-    split = split.select("bucket", "block.part", "block.chunk", "key", "root", "stray", (F.col("stray") & (F.col("block.part") == F.col("own_part"))).alias("asks"), (F.col("block.chunk") == F.col("own_chunk")).alias("asked"))
-    split = split.join(units.select("key", "sig"), "key")
-    block = ("bucket", "part", "chunk")
-    split = split.repartition(*block).sortWithinPartitions(*block).mapInArrow(_open(least), "key binary, root binary, stray boolean, asks boolean, asked boolean, bucket bigint, part int, chunk int")
-    split = split.join(units.select("key", "sig", "units"), "key")
-    links = cut(split.repartition(*block).sortWithinPartitions(*block).mapInArrow(_exact(least, threshold), "a binary, b binary").distinct())
+    rooted = cut(members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "pieces", F.coalesce("root", "key").alias("root")))
+    several = cut(rooted.groupBy("bucket").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("open")))
+    rooted = join_skewed(rooted, several, "bucket", "n").where("open").select("bucket", "key", "root", "pieces")
+    rooted = cut(rooted)
+    cold = rooted.where("pieces = 1").join(units.select("key", "sig"), "key")
+    cold = cold.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_open(least), "key binary, root binary, bucket bigint")
+    cold = cold.join(units, "key").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_exact(least, threshold), "a binary, b binary")
+    links = cut(cold.unionByName(_prefix_links(rooted.where("pieces > 1").select("key", "root").distinct(), units, least, threshold)).distinct())
     if links.isEmpty():
         return roots
     # groups take the place of their texts
@@ -350,6 +390,34 @@ def _second_round(members: DataFrame, units: DataFrame, roots: DataFrame, least:
     return cut(old.unionByName(joined.join(roots, "node", "left_anti").select("node", "root")))
 
 
+def _prefix_links(texts: DataFrame, units: DataFrame, least: int, threshold: float) -> DataFrame:
+    """The links (a, b) between texts (key, root) of different groups.
+
+    A unit's strays are the texts outside of the largest group that holds it. They are dealt into parts of STRAYS, all
+    texts of the unit into chunks, and each part meets each chunk in a block.
+    """
+    spark = texts.sparkSession
+    own = cut(texts.join(units.select("key", "units"), "key"))
+    # SLOTS numbers, whatever the size of the corpus
+    often = np.zeros(SLOTS, np.int64)
+    for r in own.select("units").mapInArrow(_slots, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        often[r.column("slot").to_numpy()] = r.column("n").to_numpy()
+    postings = cut(own.mapInArrow(_postings(spark.sparkContext.broadcast(often), threshold), "unit bigint, key binary, root binary, words int, first boolean"))
+    groups = postings.groupBy("unit", "root").agg(F.count("*").alias("n"), F.max("first").alias("first"))
+    units_ = groups.groupBy("unit").agg(F.sum("n").alias("size"), F.max_by("root", F.struct("n", "root")).alias("largest"), (F.sum("n") - F.max("n")).alias("strays"), F.max("first").alias("first"))
+    units_ = cut(units_.withColumn("live", F.col("first") & (F.col("strays") > 0)).drop("first"))
+    rows = join_skewed(postings, units_, "unit", "size", only="live").drop("live")
+    rows = rows.withColumns({"stray": F.col("root") != F.col("largest"), "parts": F.ceil(F.col("strays") / STRAYS).cast("int"), "pieces": F.ceil(F.col("size") / BUCKET_CHUNK).cast("int")})
+    rows = rows.withColumns({"own_part": F.pmod(F.xxhash64("key", F.lit("part")), "parts").cast("int"), "own_chunk": F.pmod(F.xxhash64("unit", "key"), "pieces").cast("int")})
+    as_asked = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), F.col("own_chunk").alias("chunk")))
+    as_stray = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda c: F.struct(F.col("own_part").alias("part"), c.alias("chunk")))
+    rows = rows.withColumn("block", F.explode(F.when(F.col("stray"), F.array_union(as_asked, as_stray)).otherwise(as_asked)))
+    rows = rows.select("unit", "block.part", "block.chunk", "key", "root", "words", "first", "stray", (F.col("stray") & (F.col("block.part") == F.col("own_part"))).alias("asks"), (F.col("block.chunk") == F.col("own_chunk")).alias("asked"))
+    block = ("unit", "part", "chunk")
+    pairs = rows.join(units.select("key", "sig"), "key").repartition(*block).sortWithinPartitions(*block).mapInArrow(_candidates(least, threshold), "a binary, b binary")
+    return _links(cut(pairs.distinct()), units, threshold)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """One row for each row of `docs`: its id, class_id (the smallest id of its group), class_rows (rows
     of the group) and kept (whether its id is class_id).
@@ -358,9 +426,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their five-word shingles is at least `threshold`; groups are connected components. A text without
     words (or null) is a group by itself. Repeated rows share a group. An empty table gives none.
     """
-    key = free_name(docs.columns, "text_key")
-    rows = with_key(docs.select(id_col, text_col), key, id_col, text_col).select(F.col(id_col), F.col(key).alias("key"))
-    return rows.join(classes(docs, id_col, text_col, threshold), "key").select(id_col, "class_id", "class_rows", F.col(id_col).eqNullSafe(F.col("class_id")).alias("kept"))
+    rows = with_key(docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text")), "key", "own_id").select("own_id", "key")
+    joined = join_skewed(rows, classes(docs, id_col, text_col, threshold), "key", "rows")
+    return joined.select(F.col("own_id").alias(id_col), "class_id", "class_rows", F.col("own_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
