@@ -1,10 +1,12 @@
 """Main text of HTML pages by tree scoring.
 
-A tolerant parser builds a small tree. Elements that are never article text (menus, forms, scripts and
-so on, by tag, role or class) are set aside. Every paragraph passes points, for its length and its commas
+A tolerant parser builds a small tree in one pass. Every paragraph passes points, for its length and its commas
 and discounted by the share of its text that is in links, to its ancestors: all to the parent, half to the
-next, a third to the one above, and so on. The container with the most points and those of its siblings
-that look alike are the article; if it lies in an article or main element, that is taken as a whole.
+next, a third to the one above, and so on. Tags, roles and class words that speak of menus, adverts, comments and
+the like are evidence, not a verdict: they discount the points of all paragraphs below. The container with the
+most points is the article, whatever is written on it and around it; siblings that look alike belong to it, up to
+the article or main element that holds it, if there is one. Inside, elements with such marks are left out, unless most
+of the text is in them.
 """
 
 from __future__ import annotations
@@ -22,88 +24,124 @@ from tidemill.llm.common import chunks
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe xmp noscript noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-NEVER = frozenset("head script style noscript template nav footer aside form button select option textarea input label fieldset iframe object embed svg canvas audio video map menu dialog title noframes xmp".split())
+NEVER = frozenset("nav footer aside head script style noscript template button select option optgroup textarea input label fieldset iframe object embed svg canvas audio video map menu dialog title noframes xmp".split())
+ASIDE = frozenset("form header".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist note".split())
 NOISE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored sponsors promo promos promotion promoted banner banners nav navbar navigation menu menus topbar toolbar breadcrumb breadcrumbs pagination pager sidebar sidebars aside rail widget widgets footer foot masthead header "
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adsbygoogle adbox adslot sponsor sponsored sponsors promo promos promotion promoted banner banners nav navbar navigation menu menus topbar toolbar breadcrumb breadcrumbs pagination pager sidebar sidebars aside rail widget widgets footer foot masthead header "
     "comment comments commentlist respond reply replies disqus discussion notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations form search skip hidden".split()
 )
+#: Words that say where or how large an element is; they don't change what it is.
+PLACES = frozenset("left right top bottom upper lower main primary secondary inner outer wrapper wrap container box block section area list item items group col column row bar buttons button links icons post posts page site global text title body side first last small large sticky fixed".split())
+UNSEEN = frozenset("visually-hidden visuallyhidden sr-only screen-reader-text screen-reader-only d-none".split())
 _CLOSED_BY = {  # an open element: the tags whose start ends it
-    "p": BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"},
+    "p": BLOCK - {"body", "html"},
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
     "tr": frozenset(["tr", "tbody", "tfoot", "thead"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]),
-    "option": frozenset(["option", "optgroup"]), "head": frozenset(["body"]),
 }
+_CLOSERS = frozenset().union(*_CLOSED_BY.values())
+_TABLE = frozenset("table tbody thead tfoot tr td th caption".split())
+_CELLS = frozenset("td th caption".split())
 _LISTS = frozenset("ul ol menu dir dl table td th".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_TITLES = frozenset("h1 h2 h3 hgroup".split())
+_PARAGRAPHS = frozenset("p pre blockquote td".split())
+_WHOLE = frozenset("article main".split())
+_TOP = frozenset("#root html body".split())
+
+#: What marks make of an element: nothing, a hint, something beside the article, nothing to be read.
+PLAIN, HINT, BESIDE, OUT = range(4)
+DISCOUNT = (1.0, 0.5, 0.1, 0.0)
+#: How many levels a paragraph's points go up.
+LEVELS = 5
 
 _TOKEN = re.compile(r"<(?:!--.*?(?:-->|\Z)|(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(?P<odd>/?[a-zA-Z][^>]*>)|[!?/][^>]*>)", re.S)
-_MARK = re.compile(r"\b(class|id|role|style|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_MARK = re.compile(r"(?<![\w-])(class|id|role|style|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_UNSTYLED = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
-#: What follows these in a class says what the element has beside it or lacks, not what it is: has-sidebar, no-ads.
-_ABOUT = frozenset("has have with no without".split())
+_SIZE = re.compile(r"[0-9]+(?:x[0-9]+)?")
+#: What follows these in a class says what the element has beside it or lacks, not what it is: has-sidebar, no-ads; and what comes before these, too: ad-free.
+_ABOUT, _WITHOUT = frozenset("has have with no without".split()), frozenset("free less".split())
+_COMMAS = str.maketrans(dict.fromkeys("،、，", ","))
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "noise", "points", "length", "linked")
+    __slots__ = ("tag", "parent", "kids", "mark", "points", "length", "linked", "commas", "clean", "worth", "written")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False):
-        self.tag, self.parent, self.noise = tag, parent, noise
+    def __init__(self, tag: str, parent: Node | None, mark: int = PLAIN):
+        self.tag, self.parent, self.mark = tag, parent, mark
         self.kids: list[Node | str] = []
-        self.points = 0.0
-        self.length = self.linked = 0
+        self.points, self.worth = 0.0, 1.0
+        # code points of its text, of those in links and outside of marked elements; whether it holds a paragraph tag
+        self.length = self.linked = self.commas = self.clean = 0
+        self.written = False
 
 
-def _names(value: str) -> set[str]:
-    """The words of an id or class that say what the element is."""
-    out: set[str] = set()
+def _of_names(value: str) -> int:
+    """What the names in a class or id say."""
+    out = PLAIN
     for name in value.split():
-        for word in _SPLIT.split(_CAMEL.sub("-", name).lower()):
+        if name.lower() in UNSEEN:
+            return OUT
+        words = [w for w in _SPLIT.split(_CAMEL.sub("-", name).lower()) if w]
+        for i, word in enumerate(words):
             if word in _ABOUT:
+                words = words[:i]
                 break
-            out.add(word)
+        words = [w for i, w in enumerate(words) if not (w in _WITHOUT or (i + 1 < len(words) and words[i + 1] in _WITHOUT))]
+        noise = [w for w in words if w in NOISE]
+        if noise:
+            other = [w for w in words if w not in NOISE and w not in PLACES and not _SIZE.fullmatch(w)]
+            out = max(out, HINT if other and len(noise) < 2 else BESIDE)
     return out
 
 
-def _is_noise(tag: str, attrs: str) -> bool:
+def _mark_of(tag: str, attrs: str) -> int:
     if tag in NEVER:
-        return True
+        return OUT
+    out = BESIDE if tag in ASIDE else PLAIN
     if not attrs or attrs.isspace():
-        return False
-    if _HIDDEN.search(re.sub(r"\"[^\"]*\"|'[^']*'", "", attrs)):
-        return True
+        return out
+    if _HIDDEN.search(_QUOTED.sub("", attrs)):
+        return OUT
     for name, *values in _MARK.findall(attrs):
         value, name = "".join(values), name.lower()
         if name == "role":
-            if value.strip().lower() in ROLES:
-                return True
+            out = max(out, BESIDE if value.strip().lower() in ROLES else PLAIN)
         elif name == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
+            out = OUT if _UNSTYLED.search(value) else out
         elif name == "aria-hidden":
-            if value.strip().lower() == "true":
-                return True
-        elif tag not in ("body", "html", "article", "main") and not NOISE.isdisjoint(_names(value)):
-            return True
-        elif tag == "article" and not {"comment", "comments", "reply", "ad", "advert", "related", "promo", "sponsored"}.isdisjoint(_SPLIT.split(value.lower())):
-            return True
-    return False
+            out = OUT if value.strip().lower() == "true" else out
+        elif tag not in ("body", "html", "main"):
+            out = max(out, _of_names(value))
+    return out
 
 
 def parse(page: str) -> Node:
+    """The tree of a page; time and memory in proportion to its length."""
     root = Node("#root", None)
-    at, end, here, last = 0, len(page), root, page.rfind(">")
+    path, blocks, cells = [root], [], []  # open elements; the depths of blocks and cells among them
+    depths: dict[str, list[int]] = {}
+
+    def leave(depth: int) -> None:
+        while len(path) > depth:
+            depths[path.pop().tag].pop()
+            for kind in (blocks, cells):
+                if kind and kind[-1] == len(path):
+                    kind.pop()
+
+    at, end, last = 0, len(page), page.rfind(">")
     while at < end:
         m = _TOKEN.search(page, at) if at <= last else None
         stop = m.start() if m else end
         if stop > at:
-            here.kids.append(page[at:stop])
+            path[-1].kids.append(page[at:stop])
         if not m:
             break
-        at = m.end()
-        tag = m["tag"]
+        at, tag = m.end(), m["tag"]
         if tag is None:
             if m["odd"] is None:
                 continue
@@ -113,131 +151,174 @@ def parse(page: str) -> Node:
             closing, attrs = m["end"], m["attrs"]
         tag = tag.lower()
         if closing:
-            node = here
-            while node is not root and node.tag != tag:
-                # a stray end tag inside a table cell or the like doesn't reach out of it
-                node = node.parent
-            if node is not root:
-                here = node.parent
-            elif tag == "p" or tag == "br":
-                here.kids.append(Node("br", here))
+            depth = depths[tag][-1] if depths.get(tag) else None
+            if depth is None:
+                if tag in ("p", "br"):
+                    path[-1].kids.append(Node("br", path[-1]))
+            # the end of an inline element doesn't reach out of a block, nor any other out of a cell
+            elif not (tag not in BLOCK and tag != "a" and blocks and blocks[-1] > depth) and not (tag not in _TABLE and cells and cells[-1] > depth):
+                leave(depth)
             continue
-        node = here
-        while node is not root:  # ends that the start of this tag implies
-            if tag in _CLOSED_BY.get(node.tag, ()):
-                here = node.parent
-                break
-            if node.tag in BLOCK and not (node.tag == "p"):
-                break
-            node = node.parent
-        new = Node(tag, here, _is_noise(tag, attrs))
-        here.kids.append(new)
+        if tag in _CLOSERS:
+            while blocks and tag in _CLOSED_BY.get(path[blocks[-1]].tag, ()):
+                leave(blocks[-1])
+        elif tag == "a" and depths.get("a") and not (cells and cells[-1] > depths["a"][-1]):
+            leave(depths["a"][-1])
+        elif tag == "body" and depths.get("head"):
+            leave(depths["head"][-1])
+        new = Node(tag, path[-1], _mark_of(tag, attrs))
+        path[-1].kids.append(new)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = close.end() if close else end
-        elif tag not in VOID and not attrs.endswith("/"):
-            here = new
-        elif tag not in VOID and tag not in ("svg", "path"):
-            here = new  # a slash doesn't close an element of HTML
+        elif tag not in VOID and not (attrs.endswith("/") and tag in ("svg", "path")):  # a slash doesn't close an element of HTML
+            depths.setdefault(tag, []).append(len(path))
+            if tag in BLOCK:
+                blocks.append(len(path))
+            if tag in _CELLS:
+                cells.append(len(path))
+            path.append(new)
     return root
 
 
-def _measure(root: Node) -> list[Node]:
-    """Sets each element's text length and length in links, outside noise; returns the elements that hold own paragraphs."""
-    order, stack = [], [root]
+def _in_order(root: Node) -> list[Node]:
+    """All elements that can be read, each before its kids, in page order."""
+    out, stack = [], [root]
     while stack:
         node = stack.pop()
-        order.append(node)
-        stack.extend(k for k in node.kids if not isinstance(k, str) and not k.noise)
-    paragraphs = []
-    for node in reversed(order):
-        own = sum(len(k.strip()) for k in node.kids if isinstance(k, str))
-        kids = [k for k in node.kids if not isinstance(k, str) and not k.noise]
-        node.length = own + sum(k.length for k in kids)
-        node.linked = node.length if node.tag == "a" else sum(k.linked for k in kids)
-        if node.tag in ("p", "pre", "blockquote", "td") or (own and node.tag in BLOCK and node.tag not in _HEADINGS and node.tag not in ("li", "html", "body")):
-            paragraphs.append(node)
-    return paragraphs
+        out.append(node)
+        stack.extend(k for k in reversed(node.kids) if not isinstance(k, str) and k.mark != OUT)
+    return out
 
 
-def _commas(node: Node) -> int:
-    n, stack = 0, [node]
-    while stack:
-        for k in stack.pop().kids:
+def _measure(order: list[Node]) -> list[Node]:
+    """Sets lengths, commas and what the marks above leave of a paragraph's worth; returns the elements that hold own paragraphs."""
+    for node in order:
+        node.worth = (node.parent.worth if node.parent else 1.0) * DISCOUNT[node.mark]
+    out = []
+    for node in reversed(order):
+        own = 0
+        for k in node.kids:
             if isinstance(k, str):
-                n += k.count(",") + k.count("،") + k.count("、") + k.count("，")
-            elif not k.noise:
-                stack.append(k)
-    return n
+                own += len(k.strip())
+                node.commas += k.translate(_COMMAS).count(",")
+            elif k.mark != OUT:
+                node.length += k.length
+                node.linked += k.linked
+                node.commas += k.commas
+                node.written = node.written or k.written
+                node.clean += k.clean if k.mark < BESIDE else 0
+        node.length += own
+        node.clean += own
+        if node.tag == "a":
+            node.linked = node.length
+        node.written = node.written or (node.tag in _PARAGRAPHS and node.length > 0)
+        if node.tag in _PARAGRAPHS or (own and node.tag in BLOCK and node.tag not in _HEADINGS and node.tag not in ("li", "html", "body")):
+            out.append(node)
+    return out
 
 
-def _score(root: Node) -> Node | None:
-    scored: dict[int, Node] = {}
-    for p in _measure(root):
+def _density(node: Node) -> float:
+    return node.linked / node.length if node.length else 0.0
+
+
+def _best(order: list[Node], paragraphs: list[Node]) -> Node | None:
+    scored = set()
+    for p in paragraphs:
         if not p.length:
             continue
-        points = (0.2 + min(p.length / 100, 3) + _commas(p)) * (1 - p.linked / p.length)
-        node, level = (p if p.tag not in ("p", "pre", "blockquote", "td") else p.parent), 1
-        while node is not None and node is not root and level <= 5:
+        points = (0.2 + min(p.length / 100, 3) + p.commas) * (1 - _density(p)) * p.worth
+        node, level = (p if p.tag not in _PARAGRAPHS else p.parent), 1
+        while node is not None and node.tag != "#root" and level <= LEVELS:
             node.points += points / level
-            scored[id(node)] = node
+            scored.add(node)
             node, level = node.parent, level + 1
-    for node in scored.values():
-        node.points *= 1 - (node.linked / node.length if node.length else 0)
-        if node.tag in ("article", "main"):
-            node.points = node.points * 1.25 + 5
+    for node in scored:
+        node.points *= 1 - _density(node)
+        if node.tag in _WHOLE:
+            node.points = node.points * 1.25 + 5 * node.worth
         elif node.tag in _LISTS:
             node.points *= 0.5
-        elif node.tag in ("body", "html"):
+        elif node.tag in _TOP:
             node.points *= 0.6
-    return max(scored.values(), key=lambda n: n.points, default=None)
-
-
-def _blocks(node: Node) -> list[str]:
-    out: list[str] = []
-    now: list[str] = []
+    return max((n for n in order if n in scored), key=lambda n: n.points, default=None)
 
-    def end() -> None:
-        text = " ".join(html.unescape("".join(now)).split())
-        if text:
-            out.append(text)
-        now.clear()
 
-    stack: list[tuple[Node | str | None, bool]] = [(node, False)]
+def _settle(node: Node) -> None:
+    """Takes marks away from elements below `node` that hold most of its text."""
+    stack = [node]
     while stack:
-        item, leave = stack.pop()
-        if leave:
-            end()
-        elif isinstance(item, str):
-            now.append(item)
-        elif item.noise:
-            now.append(" ")
-        elif item.tag == "br":
-            now.append(" ")
-        else:
-            if item.tag in BLOCK:
-                end()
-                stack.append((None, True))
-            stack.extend((k, False) for k in reversed(item.kids))
-    end()
-    return out
-
-
-def _settle_headers(root: Node) -> None:
-    """A header element is noise, but for the first heading of one that belongs to an article."""
-    stack = [(root, False)]
-    while stack:
-        node, inside = stack.pop()
-        inside = inside or node.tag in ("article", "main")
-        for k in node.kids:
-            if isinstance(k, str):
-                continue
-            if k.tag == "header" and not k.noise:
-                if inside:
-                    k.kids = [x for x in k.kids if not isinstance(x, str) and x.tag in ("h1", "h2", "hgroup")]
-                else:
-                    k.noise = True
-            stack.append((k, inside))
+        node = stack.pop()
+        if node.length and node.clean < 0.25 * node.length:
+            for k in node.kids:
+                if not isinstance(k, str) and k.mark == BESIDE and k.length >= 0.25 * node.length:
+                    k.mark = PLAIN
+        stack.extend(k for k in node.kids if not isinstance(k, str) and k.mark < BESIDE and k.length >= 0.25 * node.length)
+
+
+
+def _kept(node: Node) -> str:
+    """What of an element inside the article is read: all, titles or nothing."""
+    if node.mark == OUT:
+        return "nothing"
+    if node.tag == "header":
+        return "titles"
+    if node.mark == BESIDE:
+        return "nothing"
+    if node.mark == HINT and node.tag not in _HEADINGS:
+        if node.tag in BLOCK and node.tag not in _PARAGRAPHS and not node.written and node.length < 80:
+            return "titles"
+        return "all" if _density(node) < 0.3 else "titles"
+    return "all"
+
+
+def _belongs(node: Node, best: Node, whole: bool) -> str:
+    """What of a sibling of the article, or of what holds it, is read. `whole`: inside of an article or main element."""
+    kept = _kept(node)
+    if kept != "all" or not node.length:
+        return kept if whole or node.parent.tag not in _TOP else "nothing"
+    density = _density(node)
+    if whole:
+        return "all" if density < 0.5 else "nothing"
+    if node.tag in _HEADINGS:
+        return "all" if density < 0.5 else "nothing"
+    if node.tag in ("p", "pre", "blockquote") or node.written:
+        return "all" if density < 0.25 else "nothing"
+    return "all" if density < 0.25 and node.points >= 0.2 * best.points else "nothing"
+
+
+class _Writer:
+    """Blocks of text, white space inside of them made one space."""
+
+    def __init__(self):
+        self.blocks: list[str] = []
+        self.now: list[str] = []
+
+    def end(self) -> None:
+        if text := " ".join(html.unescape("".join(self.now)).split()):
+            self.blocks.append(text)
+        self.now.clear()
+
+    def write(self, node: Node, titles: bool = False) -> None:
+        """All of an element, or its titles only."""
+        stack: list[tuple[Node | str | None, bool]] = [(node, titles)]
+        while stack:
+            item, only = stack.pop()
+            if item is None:
+                self.end()
+            elif isinstance(item, str):
+                if not only:
+                    self.now.append(item)
+            else:
+                kept = "all" if item is node else _kept(item)
+                only = (only or kept == "titles") and item.tag not in _TITLES
+                if item.tag == "br" or kept == "nothing":
+                    self.now.append(" ")
+                    continue
+                if item.tag in BLOCK:
+                    self.end()
+                    stack.append((None, only))
+                stack.extend((k, only) for k in reversed(item.kids))
 
 
 def main_text(page: str | None) -> str:
@@ -245,26 +326,51 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    _settle_headers(root)
-    best = _score(root)
+    order = _in_order(root)
+    best, out = _best(order, _measure(order)), _Writer()
     if best is None:
-        return "\n\n".join(_blocks(root))
-    node = best
-    while node is not None:
-        if node.tag in ("article", "main"):
-            return "\n\n".join(_blocks(node))
-        node = node.parent
-    if best.parent is None or best.tag in ("body", "html"):
-        return "\n\n".join(_blocks(best))
-    out: list[str] = []
-    for k in best.parent.kids:  # siblings that look like parts of the article
-        if k is best:
-            out += _blocks(k)
-        elif not isinstance(k, str) and not k.noise and k.length:
-            density = k.linked / k.length
-            if k.points >= max(5, 0.2 * best.points) or (k.tag in _HEADINGS and density < 0.5) or (k.tag in ("p", "pre", "blockquote") and density < 0.25):
-                out += _blocks(k)
-    return "\n\n".join(out)
+        out.write(root)
+        out.end()
+        return "\n\n".join(out.blocks)
+    chain, whole = [best], None  # from the article up
+    while chain[-1].parent is not None:
+        chain.append(chain[-1].parent)
+    for i, node in enumerate(chain):
+        node.mark = PLAIN
+        if node.tag in _WHOLE and whole is None:
+            whole = i
+    _settle(best)
+    if whole is not None:
+        top = whole
+    else:
+        # one level up, and further while there is nothing else
+        top = 0
+        while best.tag not in _TOP and top + 1 < len(chain):
+            top += 1
+            if chain[top].length > chain[top - 1].length or chain[top].tag in _TOP:
+                break
+    inside = set(chain[:top])
+    stack: list[Node | str | None] = [chain[top]]
+    while stack:
+        item = stack.pop()
+        if item is None:
+            out.end()
+        elif isinstance(item, str):
+            out.now.append(item)
+        elif item is best:
+            out.write(best)
+        elif item is chain[top] or item in inside:
+            if item.tag in BLOCK:
+                out.end()
+                stack.append(None)
+            stack.extend(k for k in reversed(item.kids) if not isinstance(k, str) or whole is not None)
+        else:
+            kept = _belongs(item, best, whole is not None)
+            if kept != "nothing":
+                out.write(item, kept == "titles")
+            out.now.append(" ")
+    out.end()
+    return "\n\n".join(out.blocks)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
