@@ -1,3 +1,5 @@
+import random
+import re
 from functools import cache
 
 import numpy as np
@@ -99,20 +101,43 @@ def test_quality_edges(spark):
     assert quality.score(docs.limit(0), labels, names=("s", "p")).count() == 0
 
 
+ALL_PAIRS = {p for ns in licences.NOTICES.values() for n in ns for p in licences.pairs(n)}
+
+
+def judged(words):
+    """(family, similarity) of a paragraph by the model and the notices, or None."""
+    p = licences.model().chances(words)
+    family = licences.model().classes[int(p.argmax())]
+    if family == licences.UNKNOWN or p.max() < licences.LEAST:
+        return None
+    like = max(len(licences.pairs(n) & licences.pairs(words)) / len(licences.pairs(n)) for n in licences.NOTICES[family])
+    return (family, like) if like >= licences.CONFIRM else None
+
+
 def brute_licences(text):
-    m = licences.model()
+    """(first line, family): all runs of lines are judged, without any gate; the shortest count, and those that overlap are one."""
+    lines = [re.findall("[a-z0-9]+", x) for x in (text or "").lower().split("\n")]
+    found = []
+    for i, first in enumerate(lines):
+        for j in range(i, len(lines)):
+            if not lines[j] or sum(map(len, lines[i + 1 : j])) >= licences.REACH:
+                break
+            begins = [*first, *(lines[i + 1][:1] if i + 1 < len(lines) else [])]
+            ends = [*(lines[j - 1][-1:] if j else []), *lines[j]]
+            if not first or not all(ALL_PAIRS & licences.pairs(" ".join(x)) for x in (begins, ends)):
+                continue
+            if got := judged(" ".join(w for x in lines[i : j + 1] for w in x)):
+                found.append((got[0], i, j))
     out = []
-    for i, line in enumerate((text or "").split("\n")):
-        if not any(c in line.lower() for c in licences.CUES):
-            continue
-        p = m.chances(line)
-        family = m.classes[int(p.argmax())]
-        if family == licences.UNKNOWN or p.max() < licences.LEAST:
-            continue
-        like = max(len(licences.pairs(n) & licences.pairs(line)) / len(licences.pairs(n)) for n in licences.NOTICES[family])
-        if like >= licences.CONFIRM:
-            out.append((i, family))
-    return out
+    for family in sorted({f for f, _, _ in found}):
+        own = [(i, j) for f, i, j in found if f == family]
+        own = sorted(x for x in own if not any(y != x and x[0] <= y[0] and y[1] <= x[1] for y in own))
+        end = -1
+        for i, j in own:
+            if i > end:
+                out.append((i, family))
+            end = j
+    return sorted(out)
 
 
 def test_licences(spark, medium):
@@ -120,10 +145,45 @@ def test_licences(spark, medium):
     got = sorted((r.doc_id, r.paragraph, r.family) for r in licences.paragraphs(docs).collect())
     want = sorted((r.doc_id, *x) for r in docs.collect() for x in brute_licences(r.text))
     assert want and got == want
-    known = docs.where("text RLIKE 'MIT License|Apache License|General Public License|CC BY-NC'").count()
+    known = docs.where("text RLIKE 'MIT License|Apache License|General Public License|CC BY-NC|All rights reserved'").count()
     assert licences.scan(docs).select("doc_id").distinct().count() == known
 
 
+def test_temperature_is_set_inside_its_range():
+    assert min(licences.TEMPERATURES) * 2 < licences.model().temperature < max(licences.TEMPERATURES) / 2
+    right = [licences.model().classes[int(licences.model().chances(t).argmax())] == f for f, t in licences.CALIBRATION]
+    assert sum(right) >= 0.95 * len(right)
+
+
+def test_other_wordings(spark):
+    texts = {
+        "Released under the MIT": "mit", "This work is released under CC BY 4.0": "cc-by", "The code is available under MIT License": "mit", "Licensed under the GNU GPL v3 or later": "gpl-3.0",
+        "MIT License\n\nCopyright (c) 2020 A B\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the Software), to deal": "mit",
+        "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.": "gpl-3.0",
+        "# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.": "apache-2.0",
+    }
+    df = spark.createDataFrame(list(enumerate([*texts, *licences.OTHERS])), "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.family) for r in licences.scan(df).collect())
+    assert got == list(enumerate(texts.values()))
+    for text, family in texts.items():
+        assert {f for _, f in brute_licences(text)} == {family}
+
+
+def test_runs_equal_brute_force(spark):
+    """Notices cut into lines at random among other words, blank lines and odd signs."""
+    rng = random.Random(9)
+    notices = [n for ns in licences.NOTICES.values() for n in ns]
+    rows = []
+    for i in range(60):
+        words = []
+        for _ in range(rng.randint(1, 3)):
+            words += rng.choices("the lake under a version of software and license is free 2 0 --- ***".split(), k=rng.randint(0, 12)) + rng.choice(notices).split()
+        rows.append((i, "".join(w + rng.choice([" ", " ", " ", "\n", "\n# ", "\n\n" if rng.random() < 0.2 else " "]) for w in words)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.paragraph, r.family) for r in licences.paragraphs(df).collect())
+    assert got == sorted((i, *x) for i, t in rows for x in brute_licences(t)) and len(got) > 40
+
+
 def test_every_notice_is_known():
     for family, notices in licences.NOTICES.items():
         for n in notices:
@@ -144,8 +204,8 @@ def test_cues_drop_nothing_that_a_notice_confirms(spark):
         own = licences.pairs(notice)
         without = {p for p in own if not any(c in w for c in licences.CUES for w in p.split()) and tuple(p.split()) not in licences.CUE_PAIRS}
         assert len(without) / len(own) < licences.CONFIRM, notice
-    lines = [(1, "Available under CC BY 4.0.")]
-    assert [r.family for r in licences.scan(spark.createDataFrame(lines, "doc_id bigint, text string")).collect()] == ["cc-by"]
+    lines = [(1, "Available under CC BY 4.0."), (2, "under\n\n-- CC by 4 0"), (3, "under CC\n\nby 4 0")]
+    assert sorted((r.doc_id, r.family) for r in licences.scan(spark.createDataFrame(lines, "doc_id bigint, text string")).collect()) == [(1, "cc-by"), (2, "cc-by")]
 
 
 def test_wrapped_licences(spark):

@@ -1,14 +1,15 @@
 """Licence scan: a trained paragraph classifier in DataFrame operations only.
 
 A paragraph is a line of the text or a run of lines without a blank one between them, as far as the longest
-notice may be wrapped. A multinomial logistic regression over its words and word pairs knows
-one class for each licence family and one for anything else. It is trained here, on variants of the
-notices below and on sentences that only sound like them; its temperature is set on variants that it has
-not seen. A prediction counts if its calibrated chance is at least LEAST and a notice of that family
-confirms it: at least CONFIRM of the notice's word pairs stand in the paragraph.
-
-A paragraph without any of CUES and CUE_PAIRS is not looked at: it lacks so many pairs of every notice that none could
-confirm it.
+notice may be wrapped; it starts and ends at a line that has to do with a word pair of a notice. A multinomial
+logistic regression over its words and word pairs knows one class for each licence family and one for anything
+else. It is trained here, on variants of the notices below and on sentences that only sound like them; its
+temperature is set on the notices and sentences of CALIBRATION, which are worded in other ways. A prediction counts if its
+calibrated chance is at least LEAST and a notice of that family confirms it: at least CONFIRM of the notice's word
+pairs stand in the paragraph.
+
+What no notice can confirm is left out early, which changes no result: texts without any of CUES and CUE_PAIRS lack too
+many pairs of every notice, and so do blocks of lines that hold less than CONFIRM of the pairs of each.
 """
 
 from __future__ import annotations
@@ -26,23 +27,23 @@ from tidemill.llm.common import cut
 
 # fixed values: notices by licence family
 NOTICES = {
-    "agpl-3.0": ("This program is licensed under the GNU Affero General Public License, version 3.", "Released under the AGPL license, version 3."),
-    "apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "Released under the Apache 2.0 license.", "SPDX License Identifier Apache 2.0"),
-    "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Released under the BSD 3 Clause License.", "Licensed under the BSD 2 Clause License.", "SPDX License Identifier BSD 3 Clause"),
-    "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    "agpl-3.0": ("This program is licensed under the GNU Affero General Public License, version 3.", "Released under the AGPL license, version 3.", "GNU Affero General Public License version 3", "SPDX License Identifier AGPL 3.0"),
+    "apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "Released under the Apache 2.0 license.", "SPDX License Identifier Apache 2.0", "Apache License Version 2.0"),
+    "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Released under the BSD 3 Clause License.", "Licensed under the BSD 2 Clause License.", "SPDX License Identifier BSD 3 Clause", "BSD 3 Clause License", "BSD 2 Clause License", "under the BSD license"),
+    "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "under CC BY 4.0"),
     "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License."),
     "cc-by-nc-nd": ("Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution NonCommercial NoDerivatives 4.0 International License."),
     "cc-by-nc-sa": ("Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution NonCommercial ShareAlike 4.0 International License."),
     "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License."),
-    "cc0": ("Licensed under CC0 1.0 Universal, a public domain dedication.", "This work is dedicated to the public domain under the CC0 license."),
-    "gpl-2.0": ("This work is licensed under the GNU General Public License, version 2.", "Released under the GPL license, version 2.", "SPDX License Identifier GPL 2.0"),
-    "gpl-3.0": ("This work is licensed under the GNU General Public License, version 3.", "Released under the GPL license, version 3.", "This program is free software: you can redistribute it and modify it under the terms of the GNU General Public License as published by the Free Software Foundation.", "SPDX License Identifier GPL 3.0"),
-    "isc": ("Released under the ISC License.", "Permission to use, copy, modify and distribute this software for any purpose with or without fee is hereby granted."),
-    "lgpl": ("This library is licensed under the GNU Lesser General Public License, version 3.", "Released under the LGPL license, version 2.1."),
-    "mit": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.", "SPDX License Identifier MIT"),
-    "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.", "Licensed under the Mozilla Public License 2.0."),
+    "cc0": ("Licensed under CC0 1.0 Universal, a public domain dedication.", "This work is dedicated to the public domain under the CC0 license.", "CC0 1.0 Universal"),
+    "gpl-2.0": ("This work is licensed under the GNU General Public License, version 2.", "Released under the GPL license, version 2.", "SPDX License Identifier GPL 2.0", "Licensed under the GNU GPL v2.", "GNU General Public License version 2"),
+    "gpl-3.0": ("This work is licensed under the GNU General Public License, version 3.", "Released under the GPL license, version 3.", "This program is free software: you can redistribute it and modify it under the terms of the GNU General Public License as published by the Free Software Foundation.", "SPDX License Identifier GPL 3.0", "Licensed under the GNU GPL v3.", "GNU General Public License version 3"),
+    "isc": ("Released under the ISC License.", "Permission to use, copy, modify and distribute this software for any purpose with or without fee is hereby granted.", "ISC License"),
+    "lgpl": ("This library is licensed under the GNU Lesser General Public License, version 3.", "Released under the LGPL license, version 2.1.", "GNU Lesser General Public License version 3", "SPDX License Identifier LGPL 3.0"),
+    "mit": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.", "SPDX License Identifier MIT", "MIT License", "MIT licensed"),
+    "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.", "Licensed under the Mozilla Public License 2.0.", "Mozilla Public License version 2.0"),
     "proprietary": ("Copyright, all rights reserved. No part of this work may be reproduced without written permission of the copyright owner.", "This software is proprietary and licensed under a commercial license only.", "All rights reserved.", "Copyright, all rights reserved."),
-    "unlicense": ("This is free and unencumbered software released into the public domain.", "Released under the Unlicense license."),
+    "unlicense": ("This is free and unencumbered software released into the public domain.", "Released under the Unlicense license.", "under the Unlicense"),
 }
 UNKNOWN = "unknown"
 #: Sentences of the class for anything else.
@@ -51,6 +52,19 @@ OTHERS = (
     "The museum is open to the public on Sunday.", "A version of the story was released in spring.", "The apache helicopter landed near the base.", "Students at the university use the library for free.", "The fishing license is valid for one year.",
     "The permission of the owner is needed to enter the field.", "He wrote the copy and the source of the text is unknown.", "The general met the public in the town hall.", "The terms of the contract are the following.", "Copyright law is a hard subject.", "This file is part of the report.", "The new creative team works in common rooms.", "Software is written by people and used by others.",
 )
+#: Other wordings, by which the temperature is set: (family, text).
+CALIBRATION = (
+    ("mit", "The code is available under MIT License"), ("mit", "Distributed under the terms of the MIT License, see the file LICENSE for details"), ("mit", "this package is MIT licensed"), ("mit", "Released under the MIT"),
+    ("apache-2.0", "The project is made available under the Apache License Version 2.0 by its authors"), ("apache-2.0", "Apache License, Version 2.0, January 2004"), ("bsd", "You can use it under the BSD license of the university"), ("bsd", "This module has a BSD 3 Clause License"),
+    ("gpl-3.0", "Licensed under the GNU GPL v3 or later"), ("gpl-3.0", "you may copy it under the terms of the GNU General Public License version 3 or any later version"), ("gpl-2.0", "The kernel is under the GNU General Public License version 2 only"), ("agpl-3.0", "The server is covered by the GNU Affero General Public License version 3"),
+    ("lgpl", "linked as allowed by the GNU Lesser General Public License version 3"), ("mpl-2.0", "If a copy of the Mozilla Public License version 2.0 was not distributed you can obtain one"), ("isc", "The tool is given away under the ISC License"), ("cc-by", "This work is released under CC BY 4.0"), ("cc-by", "Text and pictures are available under CC BY 4.0 unless noted"),
+    ("cc-by-sa", "Content is available under CC BY SA 4.0 unless otherwise noted"), ("cc-by-nc", "photos may be shared under CC BY NC 4.0"), ("cc-by-nc-sa", "slides under CC BY NC SA 4.0"), ("cc-by-nc-nd", "the film is under CC BY NC ND 4.0"), ("cc0", "the data set is published under CC0 1.0 Universal"),
+    ("proprietary", "Copyright 2024 Acme Inc. All rights reserved."), ("proprietary", "Unauthorised copying is forbidden, all rights reserved"), ("unlicense", "given to the world under the Unlicense"),
+    ("unknown", "The dog license must be renewed in the town hall"), ("unknown", "He studied at MIT and lives in Boston"), ("unknown", "The apache tribe lived in the south west"), ("unknown", "A version of the license was shown to the public"), ("unknown", "She holds a license to teach and a commercial license to fly"), ("unknown", "The software was released in May, version 2.0 in June"),
+    ("unknown", "You may not use the pool without permission"), ("unknown", "the general public is free to enter the park"), ("unknown", "All seats are reserved for members"), ("unknown", "The rights of the authors are discussed in the next part"), ("unknown", "The foundation published a report on free software"), ("unknown", "Terms and conditions apply to the use of this card"), ("unknown", "The weather was warm and the streets were empty"),
+)
+#: What is tried as temperature, from a twentieth to twenty.
+TEMPERATURES = tuple(20.0 ** (i / 40) for i in range(-40, 41))
 LEAST = 0.5
 CONFIRM = 0.7
 _WORD = "[a-z0-9]+"
@@ -65,7 +79,7 @@ def pairs(text: str) -> set[str]:
     return {g for g in grams(text) if " " in g}
 
 
-CUES = ("licen", "copyright", "permi", "redistrib", "spdx", "public", "software", "reserved")
+CUES = ("licen", "copyright", "permi", "redistrib", "spdx", "public", "software", "reserved", "gnu", "mozilla", "commons", "unencumbered")
 
 
 def _cue_pairs() -> tuple[tuple[str, str], ...]:
@@ -119,7 +133,7 @@ def _variants(rng: random.Random, n: int) -> list[tuple[str, int]]:
 @lru_cache(maxsize=1)
 def model() -> Model:
     rng = random.Random(5)
-    rows, held = _variants(rng, 60), _variants(rng, 15)
+    rows = _variants(rng, 60)
     vocabulary = {g: i for i, g in enumerate(sorted({g for ns in NOTICES.values() for s in ns for g in grams(s)}))}
     classes = [*NOTICES, UNKNOWN]
 
@@ -139,14 +153,14 @@ def model() -> Model:
         p /= p.sum(axis=1, keepdims=True)
         speed = 0.9 * speed - 0.3 * (x.T @ (p - target) / len(x) + 1e-4 * w)
         w = w + speed
-    hx, hy = matrix(held)
+    hx, hy = matrix([(text, classes.index(family)) for family, text in CALIBRATION])
 
     def loss(t: float) -> float:
         logits = hx @ w / t
         logits -= logits.max(axis=1, keepdims=True)
         return float(-(logits[np.arange(len(hy)), hy] - np.log(np.exp(logits).sum(axis=1))).mean())
 
-    temperature = min((0.4 + 0.1 * i for i in range(27)), key=loss)
+    temperature = min(TEMPERATURES, key=loss)
     return Model(classes, {g: w[i] for g, i in vocabulary.items()}, w[-1], temperature)
 
 
@@ -154,22 +168,54 @@ def model() -> Model:
 REACH = 2 * max(len(re.findall(_WORD, n.lower())) for ns in NOTICES.values() for n in ns)
 
 
-def _runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, paragraph, last, words) of each line, and of each run of lines from `paragraph` to `last`."""
-    line = F.transform(F.split(F.lower(text_col), "\n"), lambda x: F.array_join(F.regexp_extract_all(x, F.lit(_WORD), F.lit(0)), " "))
-    lines = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), line.alias("lines"))
-    # a line between others has a word at least, so no run has more than REACH of them
-    starts = F.transform(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.struct(i.alias("at"), F.slice("lines", i + 1, REACH + 1).alias("next")))
-    starts = lines.select("row", "id", F.explode(starts).alias("s")).select("row", "id", F.col("s.at").alias("paragraph"), F.col("s.next").alias("next"))
+def _once(x: F.Column, f) -> F.Column:
+    """f(x), with `x` worked out once however often f looks at it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _enough() -> F.Column:
+    """For each notice its word pairs, as " a b ", and how many of them CONFIRM asks for."""
+    notices = [sorted(pairs(n)) for ns in NOTICES.values() for n in ns]
+    need = [next(k for k in range(len(p) + 1) if k / len(p) >= CONFIRM) for p in notices]
+    return F.array(*[F.struct(F.array(*[F.lit(f" {x} ") for x in p]).alias("pairs"), F.lit(k).alias("need")) for p, k in zip(notices, need, strict=True)])
+
 
-    def joined(k: F.Column) -> F.Column:
-        between = F.array_join(F.slice("next", 2, F.greatest(k - 1, F.lit(0))), " ")
-        return (k == 0) | (~F.array_contains(F.slice("next", 1, k + 1), "") & (F.size(F.split(between, " ")) < REACH))
+def _present(words, among: F.Column) -> F.Column:
+    """The pairs of `among` that stand in `words`, whose words are between single spaces."""
+    return _once(words, lambda w: F.filter(among, lambda p: F.contains(w, p)))
 
-    more = F.filter(F.sequence(F.lit(0), F.size("next") - 1), joined)
-    more = F.transform(more, lambda k: F.struct(k.alias("k"), F.array_join(F.slice("next", 1, k + 1), " ").alias("words")))
-    runs = starts.select("row", "id", "paragraph", F.explode(more).alias("r"))
-    return runs.select("row", "id", "paragraph", (F.col("paragraph") + F.col("r.k")).alias("last"), F.col("r.words").alias("words"))
+
+def _confirmable(present) -> F.Column:
+    """Whether a notice has enough of its pairs among those that are present."""
+    return F.exists(_enough(), lambda n: F.size(F.array_intersect(n["pairs"], present)) >= n["need"])
+
+
+def _runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, paragraph, last, words) of each paragraph, from the line `paragraph` to `last`, that a notice can confirm."""
+    low = F.lower(F.col(text_col))
+    own = docs.where(_once(low, _has_cue)).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.split(F.regexp_replace(low, r"[^a-z0-9\n]+", " "), "\n").alias("lines"))
+    # lines bear their number, so that blocks between blank lines can be taken apart
+    numbered = F.transform("lines", lambda x, i: F.when(F.trim(x) == "", "").otherwise(F.concat(i.cast("string"), F.lit(":"), F.trim(x))))
+    every = F.array(*[F.lit(f" {p} ") for p in sorted({p for ns in NOTICES.values() for n in ns for p in pairs(n)})])
+    whole = lambda block: F.concat(F.regexp_replace(block, r"(?:^|\n)(?:[0-9]+:)?", " "), F.lit(" "))
+    blocks = F.transform(F.split(F.array_join(numbered, "\n"), "\n\n+"), lambda x: F.struct(x.alias("block"), _present(whole(x), every).alias("present")))
+    blocks = own.select("row", "id", F.explode(F.filter(blocks, lambda x: _confirmable(x["present"]))).alias("b"))
+    line = F.transform(F.filter(F.split("b.block", "\n"), lambda x: x != ""), lambda x: F.struct(F.substring_index(x, ":", 1).cast("int").alias("no"), F.substring_index(x, ":", -1).alias("words")))
+    lines = blocks.select("row", "id", "b.present", F.explode(F.array(line)).alias("l")).select("row", "id", "present", F.col("l.no").alias("no"), F.col("l.words").alias("w"))
+    # a paragraph starts and ends where a pair stands, maybe with a word of the next line or the one before
+    edge = lambda at, count: F.coalesce(F.substring_index(F.get("w", at), " ", count), F.lit(""))
+    touches = lambda words: _once(words, lambda w: F.exists("present", lambda p: F.contains(w, p)))
+    starts = F.transform("w", lambda x, i: touches(F.concat(F.lit(" "), x, F.lit(" "), edge(i + 1, 1), F.lit(" "))))
+    ends = F.transform("w", lambda x, i: touches(F.concat(F.lit(" "), edge(i - 1, -1), F.lit(" "), x, F.lit(" "))))
+    lines = lines.select("*", F.explode(F.array(F.struct(starts.alias("starts"), ends.alias("ends")))).alias("at"))
+    lines = lines.select("row", "id", "present", "no", "w", F.col("at.ends").alias("ends"), F.explode(F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("at.starts", i))).alias("i"))
+    # a line between others has a word at least, so no run has more than REACH of them
+    joined = lambda j: F.array_join(F.slice("w", F.col("i") + 1, j - F.col("i") + 1), " ")
+    between = lambda j: F.array_join(F.slice("w", F.col("i") + 2, F.greatest(j - F.col("i") - 1, F.lit(0))), " ")
+    enough = lambda j: _confirmable(_present(F.concat(F.lit(" "), joined(j), F.lit(" ")), F.col("present")))
+    last = F.filter(F.sequence("i", F.least(F.size("w") - 1, F.col("i") + REACH)), lambda j: F.get("ends", j) & (F.size(F.split(between(j), " ")) < REACH) & enough(j))
+    runs = lines.select("*", F.explode(last).alias("j"))
+    return runs.select("row", "id", F.get("no", F.col("i")).alias("paragraph"), F.get("no", F.col("j")).alias("last"), joined(F.col("j")).alias("words"))
 
 
 def _has_cue(text: F.Column) -> F.Column:
@@ -177,17 +223,18 @@ def _has_cue(text: F.Column) -> F.Column:
     for cue in CUES:
         cond = cond | F.contains(text, F.lit(cue))
     for a, b in CUE_PAIRS:
-        cond = cond | (F.contains(text, F.lit(a)) & F.contains(text, F.lit(b)))
+        cond = cond | (F.contains(text, F.lit(a)) & F.contains(text, F.lit(b)) & text.rlike(rf"(?<![a-z0-9]){a}[^a-z0-9]+{b}(?![a-z0-9])"))
     return cond
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, paragraph, family, chance, similarity) for each paragraph (its first line, counted from 0) that
-    holds a confirmed licence notice, and no shorter one of the family does; runs that overlap are one. Repeated rows give repeated rows; null and empty texts give none."""
+    holds a confirmed licence notice, and no shorter one of the family does; runs that overlap are one. Ties between
+    families go to the one that NOTICES has first. Repeated rows give repeated rows; null and empty texts and an empty
+    table give none; other columns are not looked at."""
     m = model()
     spark = docs.sparkSession
-    # word by word as in a run, a pair's words may stand on two lines: the whole text is looked at first
-    lines = cut(_runs(docs.where(_has_cue(F.lower(text_col))), id_col, text_col).where(_has_cue(F.col("words"))))
+    lines = cut(_runs(docs, id_col, text_col))
     # each different paragraph is judged once
     texts = lines.select("words").distinct().select("words", F.split("words", " ").alias("w"))
     two = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
