@@ -1,11 +1,13 @@
 import random
 import re
+import zlib
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tests.llm import brute
 from tidemill.llm import langid, licences, quality, queries
 
 
@@ -16,34 +18,66 @@ def test_language_accuracy(spark, medium):
     assert out.score.between(0, 1).all()
 
 
-def test_language_score_is_the_code_length():
-    """The table's code lengths equal a plain walk down the orders, and a context's chances add up to 1."""
-    texts = {"a": ["the cat sat on the mat and the hat " * 30], "b": ["der hund und die katze und der hut " * 30]}
-    m = langid.train(texts)
-    p = np.exp2(-m.bits.astype(float).reshape(-1, langid.SYMBOLS, 2))
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-3)
-    s = [int(m.symbol[b]) for b in b"the dog"]
-    space = int(m.symbol[32])
-    train = [int(m.symbol[b]) for b in texts["a"][0].encode()]
-    padded = [space] * 3 + train
+def plain_lengths(texts):
+    """f(text): the code length by a plain walk down the orders over 256 bytes, for one language's sample texts."""
+    seen = {}
+    for t in texts:
+        data = b"   " + t.lower().encode()
+        for i in range(3, len(data)):
+            for k in range(4):
+                own = seen.setdefault(data[i - k : i], {})
+                own[data[i]] = own.get(data[i], 0) + 1
 
     @cache
-    def chance(context, x):
-        orders = [padded[i] for i in range(3, len(padded)) if padded[i - len(context) : i] == list(context)] if context else train
-        if len(orders) < (langid.NODE_MIN if context else 1):
-            return chance(context[1:], x)
-        lower = (lambda y: chance(context[1:], y)) if context else (lambda y: 1 / langid.SYMBOLS)
-        seen = set(orders)
-        rest = sum(lower(y) for y in range(langid.SYMBOLS) if y not in seen)
-        escape = len(seen) if rest > 0 else 0
-        if x in seen:
-            return orders.count(x) / (len(orders) + escape)
-        return escape / (len(orders) + escape) * lower(x) / rest
-
-    want = sum(-np.log2(chance(tuple(([space] * 3 + s)[i : i + 3]), x)) for i, x in enumerate(s))
-    sym, context, _ = langid._symbols(pa.array(["the dog"]), m.symbol)
-    got = m.bits[:, 0][m.node[context] * langid.SYMBOLS + sym].sum()
-    assert abs(got - want) < 0.01
+    def chances(context):
+        own = seen.get(context, {})
+        total = sum(own.values())
+        lower = chances(context[1:]) if context else [1 / 256] * 256
+        if total < (langid.NODE_MIN if context else 1):
+            return lower
+        rest = sum(lower[y] for y in range(256) if y not in own)
+        escape = len(own) if len(own) < 256 else 0
+        return [own[y] / (total + escape) if y in own else escape / (total + escape) * lower[y] / rest for y in range(256)]
+
+    def length(text):
+        data = b"   " + text.lower().encode()
+        return sum(-np.log2(chances(data[i - 3 : i])[data[i]]) for i in range(3, len(data)))
+
+    return length, chances
+
+
+def test_code_lengths_are_exact():
+    """Languages of three scripts: every text's code lengths equal the plain ones, and a context's chances add up to 1."""
+    texts = {
+        "a": ["the cat sat on the mat and the hat, " * 9, "a dog, a hat " * 5], "b": ["der hund und die katze und der hut " * 12],
+        "c": ["съешь же ещё этих мягких французских булок " * 8], "d": ["敏捷的棕色狐狸跳过了懒狗 敏捷的狗 " * 9], "e": ["x"],
+    }
+    m = langid.train(texts)
+    ask = ["the dog", "", "und der hat", "булок и狗 zq\x00 ÿ", "   ", "狐狸 the", "THE MAT 99", "x" * 40, None]
+    bits, offsets = langid.code_lengths(m, pa.array(ask))
+    for i, lang in enumerate(sorted(texts)):
+        length, chances = plain_lengths(texts[lang])
+        got = [bits[lo:hi, i].sum() for lo, hi in zip(offsets, offsets[1:], strict=False)]
+        assert np.allclose(got, [length(t or "") for t in ask], rtol=1e-4, atol=1e-3), lang
+        assert all(abs(sum(chances(c.encode()[-3:])) - 1) < 1e-9 for c in ("the", " th", "же", "狗", ""))
+
+
+def test_language_query_equals_brute_force(spark, small):
+    """The whole query on the smallest table, with the trees walked one byte after the other."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    texts = langid.sample(docs.where(~queries.held_out()), "text", "lang", "doc_id")
+    plain = {x: plain_lengths(texts[x])[0] for x in sorted(texts)}
+    got = {r.doc_id: r for r in queries.op7_language_id(spark, small).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        if not any(c.isalpha() for c in r.text or ""):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        bits = {x: f(r.text) for x, f in plain.items()}
+        best = min(bits, key=bits.get)
+        assert got[r.doc_id].lang_pred == best
+        assert abs(got[r.doc_id].score - 1 / sum(2 ** -min(1000, b - bits[best]) for b in bits.values())) < 1e-3
 
 
 def test_language_edges(spark):
@@ -54,6 +88,8 @@ def test_language_edges(spark):
     nothing = langid.identify(df.select("doc_id", "text"), df.limit(0)).collect()
     assert {(r.lang_pred, r.score) for r in nothing} == {("und", 0.0)}
     assert langid.identify(df.select("doc_id", "text").limit(0), df).count() == 0
+    clash = df.select("doc_id", "text", F.lit(1).alias("score"), F.lit("x").alias("Lang_Pred"), F.lit("y").alias("a b"))
+    assert langid.identify(clash, df).columns == ["doc_id", "score", "Lang_Pred", "a b", "_lang_pred", "_score"] and langid.identify(clash, df).count() == 6
 
 
 def test_score_depends_on_its_text_only():
@@ -92,6 +128,57 @@ def test_quality_is_a_density_ratio():
     assert quality.fit(x, np.zeros(1000, int), 0.5) is None
 
 
+def plain_statistics(text):
+    """The statistics of a text, counted one by one."""
+    raw = (text or "").encode()
+    if not raw:
+        return [0.0] * len(quality.STATISTICS)
+    tokens = re.split(rb"[\x09-\x0d ]+", raw)
+    tokens = [t for t in tokens if t]
+    words = brute.words(text)
+    n, size = max(1, len(tokens)), len(raw)
+    count = lambda chars: sum(raw.count(c) for c in chars)
+    upper, lower = sum(65 <= c <= 90 for c in raw), sum(97 <= c <= 122 for c in raw)
+    lengths = [len(t) for t in tokens]
+    mean = sum(lengths) / n
+    spread = max(0, sum(x * x for x in lengths) / n - mean**2) ** 0.5
+    lines = raw.count(b"\n") + 1
+    log, root = np.log1p, np.sqrt
+    return [
+        log(len(tokens)), log(mean), log(spread), log(len(set(words))) - log(len(words)), root(sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(1, len(words))),
+        root(upper / max(1, upper + lower)), root(sum(48 <= c <= 57 for c in raw) / size), root(count(b".,;:'\"()-") / size), root(count(b"!?#$%&*+/<=>@[\\]^_`{|}~") / size), root(count(b"\t\x0b\x0c\r ") / size),
+        log(lines) - log(len(tokens)), log(len(tokens) / lines), root(count(b".!?") / n), root(sum(65 <= t[0] <= 90 for t in tokens) / n),
+    ]
+
+
+def test_quality_query_equals_brute_force(spark, small):
+    """The whole query on the smallest table: statistics counted plainly, densities by inverse and determinant."""
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet").collect(), spark.read.parquet(f"{small}/labels.parquet").collect()
+    x = {r.doc_id: np.array(plain_statistics(r.text)) for r in docs}
+    learn = {r.doc_id: r.quality for r in labels if zlib.crc32(str(r.doc_id).encode()) % 5 and r.quality in (0, 1)}
+    assert len(learn) < quality.SAMPLE_ROWS  # so that all are learnt from
+    rows, y = np.array([x[i] for i in learn if i in x]), np.array([learn[i] for i in learn if i in x])
+    centre, scale = rows.mean(axis=0), np.maximum(rows.std(axis=0), 1e-3)
+    z, dim = (rows - centre) / scale, rows.shape[1]
+    means = [z[y == k].mean(axis=0) for k in (0, 1)]
+    pooled = sum((z[y == k] - means[k]).T @ (z[y == k] - means[k]) for k in (0, 1)) / len(z)
+    prior = (sum(learn.values()) + 1) / (len(learn) + 2)
+
+    def log_density(v, k):
+        weight = quality.POOLED + (1 - quality.POOLED) * dim / (dim + (y == k).sum())
+        cov = (1 - weight) * np.cov(z[y == k].T, bias=True) + weight * pooled
+        cov = (1 - quality.DIAGONAL) * cov + quality.DIAGONAL * np.eye(dim) * np.trace(cov) / dim
+        d = (v - centre) / scale - means[k]
+        return np.log(prior if k else 1 - prior) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * d @ np.linalg.inv(cov) @ d
+
+    got = {r.doc_id: r for r in queries.op10_quality(spark, small).collect()}
+    assert set(got) == set(x)
+    for i, v in x.items():
+        odds = np.clip(log_density(v, 1) - log_density(v, 0), -quality.MOST_LOG_ODDS, quality.MOST_LOG_ODDS)
+        want = 1 / (1 + np.exp(-odds))
+        assert abs(got[i].score - want) < 1e-6 and got[i].predicted == (want >= 0.3), i
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, "good text here", 7), (2, None, 7), (None, "", 7), (1, "good text here", 7)], "doc_id bigint, text string, score int")
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 5), (None, 1)], "doc_id bigint, quality int")
@@ -99,6 +186,8 @@ def test_quality_edges(spark):
     assert len(out) == 4 and all(0 <= r.s <= 1 and r.p == (r.s >= 0.3) for r in out)
     assert {r.s for r in quality.score(docs, labels.limit(0), names=("s", "p")).collect()} == {0.5}
     assert quality.score(docs.limit(0), labels, names=("s", "p")).count() == 0
+    clash = quality.score(docs.withColumn("Predicted", F.lit("x")), labels, keep_text=True)
+    assert clash.columns == ["doc_id", "text", "score", "Predicted", "_score", "_predicted"] and clash.where("score = 7 AND _score >= 0").count() == 4
 
 
 ALL_PAIRS = {p for ns in licences.NOTICES.values() for n in ns for p in licences.pairs(n)}
@@ -233,7 +322,5 @@ def test_licence_plan_is_native(spark, medium):
 
 
 def test_folds(spark):
-    import zlib
-
     df = spark.range(50).select(F.col("id").alias("doc_id"), queries.held_out().alias("h"))
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in df.collect())

@@ -16,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tidemill.llm import textops
-from tidemill.llm.common import chunks
+from tidemill.llm.common import chunks, free_name
 
 #: Labelled rows of each class that the model is fitted on (all, if there are fewer), and the bytes of their texts at most.
 SAMPLE_ROWS = 3000
@@ -163,8 +164,11 @@ def score(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = Non
     and the texts of `learn_from` (`docs`, if not given).
 
     Null and empty texts have the statistics 0 and are scored like others. Without rows of both labels
-    every score is the smoothed share of label 1 (0.5 if there is no label).
+    every score is the smoothed share of label 1 (0.5 if there is no label). Repeated rows are scored one by one;
+    an empty table gives none. Where `docs` has columns of these names, the new ones have underscores before them.
     """
+    kept = [f for f in docs.schema if keep_text or f.name != text_col]
+    names = tuple(free_name([f.name for f in kept], x) for x in names)
     model, prior = train(learn_from or docs, labels, id_col, text_col, label_col)
     held = docs.sparkSession.sparkContext.broadcast((model, prior))
 
@@ -175,7 +179,5 @@ def score(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = Non
             columns = [i for i, c in enumerate(b.schema.names) if keep_text or c != text_col]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in columns), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*(b.schema.names[i] for i in columns), *names])
 
-    from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
-
-    schema = StructType([*(f for f in docs.schema if keep_text or f.name != text_col), StructField(names[0], DoubleType()), StructField(names[1], IntegerType())])
+    schema = StructType([*kept, StructField(names[0], DoubleType()), StructField(names[1], IntegerType())])
     return docs.mapInArrow(run, schema)
