@@ -1,8 +1,8 @@
 """Personal data: regular expressions propose spans, checksums confirm them, nearby words adjust the score.
 
-Base kinds (email, ip, card, phone) are found by fixed patterns and checks and always stay. Further kinds
-(iban, us_ssn, date of birth) are added if their checks hold and their score, raised or lowered by words
-within CONTEXT characters, reaches LEAST.
+Base kinds (email, ip, card, phone) are found by fixed patterns and checks and always stay: nearby words change
+their score, never their fate. Further kinds (iban, ssn, birth) are added if their checks hold and their score, raised
+or lowered by words within CONTEXT characters, reaches LEAST.
 """
 
 from __future__ import annotations
@@ -31,9 +31,18 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-_IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
+# fixed values: lengths of IBANs by country
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28,
+    "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
+#: Where an IBAN may start; its country's length says where it ends.
+_IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Za-z]{2})[0-9]{2}(?=[\x20-]?[A-Za-z0-9])")
+_IBAN_SIGN = re.compile(r"[\x20-]?[A-Za-z0-9]")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_BIRTH = re.compile(r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})(?![0-9])")
+_BIRTH = re.compile(r"(?<![0-9])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9])")
 #: For each kind: its score without context, words that raise it and words that lower it.
 CONTEXT_WORDS = {
     "email": (0.9, r"e-?mail|contact|kontakt|contacto|courriel", r"example|noreply"),
@@ -106,13 +115,31 @@ def _ssn_ok(text: str) -> bool:
     return area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Spans that start like an IBAN, as long as its country's are, in groups or not, with the right check digits."""
+    end = 0
+    for m in _IBAN.finditer(text):
+        left = IBAN_LENGTHS.get(m[1].upper(), 0) - 4
+        if m.start() < end or left <= 0:
+            continue
+        at = m.end()
+        while left and (sign := _IBAN_SIGN.match(text, at)):
+            at, left = sign.end(), left - 1
+        if not left and not (at < len(text) and text[at].isalnum()) and mod97(re.sub(r"[\x20-]", "", text[m.start() : at]).upper()):
+            end = at
+            yield m.start(), at
+
+
 def _birth_ok(text: str) -> bool:
+    """Whether a date of the calendar from 1900 on can be meant: year first, or last after day and month in either order."""
     part = [int(x) for x in re.split(r"[-./]", text)]
-    year, month, day = part if part[0] > 31 else (part[2], part[1], part[0])
-    try:
-        return 1900 <= date(year, month, day).year <= 2025
-    except ValueError:
-        return False
+    year, a, b = part if part[0] > 31 else (part[2], part[1], part[0])
+    for month, day in ((a, b),) if part[0] > 31 else ((a, b), (b, a)):
+        try:
+            return date(year, month, day).year >= 1900
+        except ValueError:
+            continue
+    return False
 
 
 def score(text: str, kind: str, start: int, end: int) -> float:
@@ -132,11 +159,10 @@ def spans(text: str) -> list[tuple[str, int, int]]:
 
         def free(start: int, end: int) -> bool:
             at = bisect.bisect_left(starts, end)
-            return not any(e > start for _, e in taken[max(0, at - 4) : at])
+            return not any(e > start for _, e in taken[max(0, at - len(BASE)) : at])  # of each kind at most one reaches over it
 
-        checks = (("iban", _IBAN, lambda x: 15 <= len(x := x.replace(" ", "")) <= 34 and mod97(x)), ("ssn", _SSN, _ssn_ok), ("birth", _BIRTH, _birth_ok))
-        for kind, pattern, ok in checks:
-            out += [(kind, *m.span()) for m in pattern.finditer(text) if ok(m[0]) and free(*m.span()) and score(text, kind, *m.span()) >= LEAST]
+        for kind, found in (("iban", _ibans(text)), ("ssn", (m.span() for m in _SSN.finditer(text) if _ssn_ok(m[0]))), ("birth", (m.span() for m in _BIRTH.finditer(text) if _birth_ok(m[0])))):
+            out += [(kind, *x) for x in found if free(*x) and score(text, kind, *x) >= LEAST]
     return out
 
 
