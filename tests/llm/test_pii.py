@@ -73,7 +73,7 @@ def brute_more(text):
     out = []
     base = [x[1:] for x in brute(text)]
     free = lambda a, b: not any(s < b and a < e for s, e in base)
-    near = lambda kind, a, b: (lambda n, c: c[0] + 0.4 * bool(re.search(rf"\\b(?:{c[1]})\\b", n, re.I)) - 0.3 * bool(re.search(rf"\\b(?:{c[2]})\\b", n, re.I)))(text[max(0, a - pii.CONTEXT) : a] + " " + text[b : b + pii.CONTEXT], pii.CONTEXT_WORDS[kind])
+    near = lambda kind, a, b: (lambda n, c: c[0] + 0.4 * bool(re.search(rf"\b(?:{c[1]})\b", n, re.I)) - 0.3 * bool(re.search(rf"\b(?:{c[2]})\b", n, re.I)))(text[max(0, a - pii.CONTEXT) : a] + " " + text[b : b + pii.CONTEXT], pii.CONTEXT_WORDS[kind])
     ascii_ = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     end = 0
     for a in range(len(text)):
