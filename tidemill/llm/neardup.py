@@ -41,6 +41,8 @@ SALTS = 16
 STRAYS = 960
 #: Counters by which the second round tells rare units from frequent ones.
 SLOTS = 1 << 18
+#: Pairs for each text of a block that are compared one by one; in a block with more, the texts are brought together.
+FEW = 2
 #: Closest partners that are candidates besides the forest.
 PARTNERS = 6
 #: How far, in over four standard deviations, agreement may be from similarity.
@@ -189,54 +191,65 @@ def _runs(batches: Iterator[pa.RecordBatch], by: tuple[str, ...], fields: tuple[
         yield sorted(rows)
 
 
-def _signatures(rows: list[tuple], at: int) -> np.ndarray:
-    return np.frombuffer(b"".join(r[at] for r in rows), np.uint8).reshape(len(rows), COORDINATES)
+#: A text in a block: its size and whether the block's unit is among its first ones, whether it is a stray, of the block's part, of its chunk.
+ROLES = ("words", "first", "stray", "asks", "asked")
+BLOCK = ("unit", "part", "chunk")
 
 
-def _partners(sig: np.ndarray, root: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each text i of a bucket and all later ones of other groups that agree as much. Groups that are joined in `root` meanwhile count as one."""
-    at = np.arange(len(sig))
-    for i in range(len(sig) - 1):
-        other = np.flatnonzero((root != root[i]) & (at > i))
+def _partners(rows: list[tuple], root: np.ndarray, least: int, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Each stray i of a block's part and all j of its chunk that are of other groups, of a size that can be similar
+    enough, with the unit among the first ones of the smaller, and that agree as much; two strays meet in one of their
+    two blocks. Groups that are joined in `root` meanwhile count as one."""
+    sig = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), COORDINATES)
+    size, first, stray, asks, asked = (np.array([r[k] for r in rows]) for k in range(3, 8))
+    at = np.arange(len(rows))
+    for i in np.flatnonzero(asks).tolist():
+        ok = asked & (root != root[i]) & (~stray | (at > i)) & (np.minimum(size, size[i]) >= threshold * np.maximum(size, size[i]))
+        other = np.flatnonzero(ok & ((first & (size <= size[i])) | (first[i] & (size[i] <= size))))
         other = other[(sig[other] == sig[i]).sum(axis=1) >= least]
         if len(other):
             yield i, other
 
 
-def _open(least: int):
-    """The rows of a bucket that have a partner in another group, so that their units are needed."""
+def _candidates(least: int, threshold: float):
+    """Pairs (a, b) of a block, if there are few for its texts; else the texts (b is null) that have partners, whose
+    units are then compared in the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, ("bucket",), ("key", "sig", "root", "bucket")):
-            wanted = set()
-            for i, other in _partners(_signatures(rows, 1), _groups(rows, 2), least):
-                wanted.add(i)
-                wanted.update(other.tolist())
-            if wanted:
-                key, _, root, bucket = zip(*(rows[i] for i in sorted(wanted)), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(root, pa.binary()), pa.array(bucket, pa.int64())], names=["key", "root", "bucket"])
+        for rows in _runs(batches, BLOCK, ("key", "sig", "root", *ROLES, *BLOCK)):
+            found = list(_partners(rows, _groups(rows, 2), least, threshold))
+            if not found:
+                continue
+            if sum(len(other) for _, other in found) <= FEW * len(rows):
+                out = [(min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0]), None, *rows[i][3:]) for i, other in found for j in other.tolist()]
+            else:
+                out = [(rows[i][0], None, *rows[i][2:]) for i in sorted({i for i, _ in found}.union(*(other.tolist() for _, other in found)))]
+            kinds = [*[pa.binary()] * 3, pa.int32(), *[pa.bool_()] * 4, pa.int64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=["a", "b", "root", *ROLES, *BLOCK])
 
     return run
 
 
 def _exact(least: int, threshold: float):
-    """Links (a, b) between groups of a bucket: every pair of partners is compared by its units, unless links connect it already."""
+    """Links (a, b) between groups of a block: every pair of partners is compared by its units, unless links connect it already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, ("bucket",), ("key", "sig", "root", "units")):
+        for rows in _runs(batches, BLOCK, ("key", "sig", "root", *ROLES, "units")):
             root = _groups(rows, 2)
-            units = [np.frombuffer(r[3], np.uint32) for r in rows]
+            units = [np.frombuffer(r[-1], np.uint32) for r in rows]
             size = np.array([len(u) for u in units])
             known, place = np.unique(np.concatenate(units), return_inverse=True)
             place = np.split(place.astype(np.int32), np.cumsum(size)[:-1])
             mark, out = np.zeros(len(known), np.uint8), []
-            for i, js in _partners(_signatures(rows, 1), root, least):
+            for i, other in _partners(rows, root, least, threshold):
                 mark[place[i]] = 1
-                both = np.add.reduceat(mark[np.concatenate([place[j] for j in js])], np.cumsum(size[js]) - size[js], dtype=np.int64)
-                for j in js[both >= threshold * (size[i] + size[js] - both)].tolist():
-                    if root[j] != root[i]:
-                        out.append((rows[i][0], rows[j][0]))
-                        root[root == root[j]] = root[i]
+                for at in range(0, len(other), 256):
+                    js = other[at : at + 256]
+                    both = np.add.reduceat(mark[np.concatenate([place[j] for j in js])], np.cumsum(size[js]) - size[js], dtype=np.int64)
+                    for j in js[both >= threshold * (size[i] + size[js] - both)].tolist():
+                        if root[j] != root[i]:
+                            out.append((rows[i][0], rows[j][0]))
+                            root[root == root[j]] = root[i]
                 mark[place[i]] = 0
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
@@ -275,29 +288,9 @@ def _postings(often, threshold: float):
     return run
 
 
-def _candidates(least: int, threshold: float):
-    """Pairs (a, b) of a block, a part of a unit's strays and a chunk of all texts that hold it: of different groups, of
-    sizes that can be similar enough, agreeing as much, and with the unit among the first ones of the smaller."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, ("unit", "part", "chunk"), ("key", "sig", "root", "words", "first", "stray", "asks", "asked")):
-            sig, root = _signatures(rows, 1), _groups(rows, 2)
-            size, first, stray, asks, asked = (np.array([r[k] for r in rows]) for k in range(3, 8))
-            at, out = np.arange(len(rows)), []
-            for i in np.flatnonzero(asks).tolist():
-                ok = asked & (root != root[i]) & (~stray | (at > i)) & (np.minimum(size, size[i]) >= threshold * np.maximum(size, size[i]))
-                other = np.flatnonzero(ok & ((first & (size <= size[i])) | (first[i] & (size[i] <= size))))
-                other = other[(sig[other] == sig[i]).sum(axis=1) >= least]
-                out += [(min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0])) for j in other.tolist()]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
-
-    return run
-
-
 def _confirm(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in chunks(batches, "ua"):
             keep = []
             for x, y in zip(b.column("ua").to_pylist(), b.column("ub").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
@@ -376,10 +369,14 @@ def _second_round(members: DataFrame, units: DataFrame, roots: DataFrame, least:
     several = cut(rooted.groupBy("bucket").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("open")))
     rooted = join_skewed(rooted, several, "bucket", "n").where("open").select("bucket", "key", "root", "pieces")
     rooted = cut(rooted)
-    cold = rooted.where("pieces = 1").join(units.select("key", "sig"), "key")
-    cold = cold.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_open(least), "key binary, root binary, bucket bigint")
-    cold = cold.join(units, "key").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_exact(least, threshold), "a binary, b binary")
-    links = cut(cold.unionByName(_prefix_links(rooted.where("pieces > 1").select("key", "root").distinct(), units, least, threshold)).distinct())
+    always = {"words": F.lit(0), "first": F.lit(True), "stray": F.lit(True), "asks": F.lit(True), "asked": F.lit(True), "part": F.lit(0), "chunk": F.lit(0)}
+    blocks = rooted.where("pieces = 1").withColumnRenamed("bucket", "unit").withColumns(always).select("key", "root", *ROLES, *BLOCK)
+    blocks = blocks.unionByName(_prefix_blocks(rooted.where("pieces > 1").select("key", "root").distinct(), units, threshold))
+    blocks = blocks.join(units.select("key", "sig"), "key").repartition(*BLOCK).sortWithinPartitions(*BLOCK)
+    found = cut(blocks.mapInArrow(_candidates(least, threshold), "a binary, b binary, root binary, words int, first boolean, stray boolean, asks boolean, asked boolean, unit bigint, part int, chunk int"))
+    dense = found.where("b IS NULL").drop("b").withColumnRenamed("a", "key").join(units, "key").repartition(*BLOCK).sortWithinPartitions(*BLOCK)
+    links = _links(found.where("b IS NOT NULL").select("a", "b").distinct(), units, threshold)
+    links = cut(links.unionByName(dense.mapInArrow(_exact(least, threshold), "a binary, b binary")).distinct())
     if links.isEmpty():
         return roots
     # groups take the place of their texts
@@ -390,8 +387,8 @@ def _second_round(members: DataFrame, units: DataFrame, roots: DataFrame, least:
     return cut(old.unionByName(joined.join(roots, "node", "left_anti").select("node", "root")))
 
 
-def _prefix_links(texts: DataFrame, units: DataFrame, least: int, threshold: float) -> DataFrame:
-    """The links (a, b) between texts (key, root) of different groups.
+def _prefix_blocks(texts: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
+    """Blocks (unit, part, chunk) in which any two similar `texts` (key, root) of different groups meet.
 
     A unit's strays are the texts outside of the largest group that holds it. They are dealt into parts of STRAYS, all
     texts of the unit into chunks, and each part meets each chunk in a block.
@@ -412,10 +409,7 @@ def _prefix_links(texts: DataFrame, units: DataFrame, least: int, threshold: flo
     as_asked = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), F.col("own_chunk").alias("chunk")))
     as_stray = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda c: F.struct(F.col("own_part").alias("part"), c.alias("chunk")))
     rows = rows.withColumn("block", F.explode(F.when(F.col("stray"), F.array_union(as_asked, as_stray)).otherwise(as_asked)))
-    rows = rows.select("unit", "block.part", "block.chunk", "key", "root", "words", "first", "stray", (F.col("stray") & (F.col("block.part") == F.col("own_part"))).alias("asks"), (F.col("block.chunk") == F.col("own_chunk")).alias("asked"))
-    block = ("unit", "part", "chunk")
-    pairs = rows.join(units.select("key", "sig"), "key").repartition(*block).sortWithinPartitions(*block).mapInArrow(_candidates(least, threshold), "a binary, b binary")
-    return _links(cut(pairs.distinct()), units, threshold)
+    return rows.select("key", "root", "words", "first", "stray", (F.col("stray") & (F.col("block.part") == F.col("own_part"))).alias("asks"), (F.col("block.chunk") == F.col("own_chunk")).alias("asked"), "unit", "block.part", "block.chunk")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
