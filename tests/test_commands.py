@@ -1,7 +1,7 @@
 import pytest
 
 from tidemill.__main__ import main
-from tidemill.plans.verify import assert_expected, wait_for_record, wait_for_rows
+from tidemill.plans.verify import check_parity, check_values, wait_for_record, wait_for_rows
 from tidemill.streaming import sinks
 
 H = 1_790_251_200_000
@@ -21,7 +21,9 @@ def test_end_to_end(spark, tmp_path, monkeypatch, capsys):
 
     assert sinks.written(spark, f"{tmp_path}/stream", "feature", FEATURE_DDL).count() == 5
     assert sinks.written(spark, f"{tmp_path}/stream", "late", RAW).count() == 1
-    assert sinks.Pusher(spark, f"{tmp_path}/pushed").offline().count() == 5
+    pushed = sinks.Pusher(spark, f"{tmp_path}/pushed")
+    assert pushed.offline().count() == 5
+    assert {(r.customer_id, r.total_amount_30d, r.tx_count_30d) for r in pushed.online().collect()} == {("customer-001", 60.0, 3), ("customer-002", 7.5, 1)}
 
 
 def test_waiting(spark):
@@ -34,4 +36,11 @@ def test_waiting(spark):
     with pytest.raises(TimeoutError):
         wait_for_rows(lambda: df, 7, 0.2, 0.05)
     with pytest.raises(AssertionError):
-        assert_expected(None)
+        check_values(None, 60.0, 3)
+    rows = spark.createDataFrame([("c", 60.0, 3, 7), ("c", 61.0, 3, 8)], "customer_id string, total_amount_30d double, tx_count_30d bigint, window_end_ms bigint")
+    first, second = rows.orderBy("window_end_ms").collect()
+    check_values(first, 60.0, 3)
+    assert check_parity(first, rows) == first
+    for other in (rows.where("window_end_ms = 8"), rows.withColumn("tx_count_30d", F.lit(4).cast("bigint"))):
+        with pytest.raises(AssertionError):
+            check_parity(first, other)

@@ -45,3 +45,18 @@ def test_entry(spark):
 def test_scan_is_pruned(spark, small):
     plan = catalog.QUERIES["materialize_range"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,value:double>" in plan
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_do_work_once(spark, small):
+    """One scan, and one parse of a payload; last windows without dealing tiles to windows."""
+    run = lambda name: plan(catalog.QUERIES[name](spark, small))
+    assert run("validate_valid").count("parse_json") == 1 and run("validate_invalid").count("parse_json") == 1
+    for name, exchanges in (("view_aggregates", 2), ("customer_30d", 2), ("customer_30d_tiled", 2), ("online_latest", 2), ("materialize_range", 2)):
+        text = run(name)
+        assert text.count("FileScan") == 1 and text.count("Exchange hash") <= exchanges, name
+    for name in ("online_latest", "materialize_range"):
+        assert "explode" not in run(name)

@@ -98,6 +98,44 @@ def test_pusher_is_idempotent(spark, tmp_path):
     assert push.letters().where("reason LIKE 'Missing%'").count() == 2
 
 
+def test_push_to_either_store(spark, tmp_path):
+    for to, offline, online in (("online_and_offline", 2, 1), ("online", 0, 1), ("offline", 2, 0)):
+        push = sinks.Pusher(spark, f"{tmp_path}/{to}", to=to)
+        push(messages(spark, RECORD, RECORD | {"window_end_ms": 2000, "tx_count_30d": 3}), 0)
+        assert (push.offline().count(), push.online().count()) == (offline, online)
+    push = sinks.Pusher(spark, f"{tmp_path}/online_and_offline")
+    assert push.online().first().tx_count_30d == 3
+    push(messages(spark, RECORD | {"window_end_ms": 1500, "tx_count_30d": 9}), 1)  # older than what is there
+    assert push.online().first().tx_count_30d == 3 and push.offline().count() == 3
+    with pytest.raises(ValueError):
+        sinks.Pusher(spark, str(tmp_path), to="nowhere")
+
+
+def test_poison_bytes_become_dead_letters(spark, tmp_path):
+    rows = [(b"\xff\xfe not text", "t", 3, 7), (b'{"customer_id":"\xc3"}', "t", 3, 8), (json.dumps(RECORD).encode(), "t", 3, 9), (None, "t", 3, 10)]
+    push = sinks.Pusher(spark, str(tmp_path))
+    push(spark.createDataFrame(rows, "value binary, topic string, partition int, offset bigint"), 0)
+    got = {r.source_offset: (r.reason, r.value) for r in push.letters().collect()}
+    assert got[7] == ("not a JSON object", "\ufffd\ufffd not text") and got[8][0].startswith("Missing") and got[8][1] == '{"customer_id":"\ufffd"}'
+    assert set(got) == {7, 8, 10} and push.offline().count() == 1
+
+
+def test_deliveries_are_of_bounded_size(spark, tmp_path):
+    sizes = []
+
+    def deliver(rows, batch_id):
+        own = rows.collect()
+        sizes.append(len(own))
+        return (422, "no") if any(r.window_end_ms == 5 for r in own) else (200, "ok")
+
+    push = sinks.Pusher(spark, str(tmp_path), deliver=deliver)
+    push(messages(spark, *(RECORD | {"window_end_ms": i} for i in range(250))), 0)
+    assert sorted(sizes) == [50, 100, 100]
+    refused = push.letters().count()
+    assert refused in (50, 100) and push.ledger().count() == 250 - refused
+    assert push.letters().select("reason").distinct().collect()[0][0] == "push HTTP 422: no"
+
+
 def test_refused_and_failed_pushes(spark, tmp_path):
     push = sinks.Pusher(spark, str(tmp_path), deliver=lambda rows, i: (422, "no"))
     push(messages(spark, RECORD), 0)
@@ -109,7 +147,7 @@ def test_refused_and_failed_pushes(spark, tmp_path):
     assert waits == [1, 2, 4, 8, 10] and down.ledger().count() == 0
 
 
-def test_retry_recovers():
+def test_delivery_recovers():
     answers = iter([(500, "x"), OSError("gone"), (200, "ok")])
 
     def act():
@@ -118,4 +156,77 @@ def test_retry_recovers():
             raise a
         return a
 
-    assert sinks.with_retry(act, sleep=lambda s: None) == (200, "ok")
+    assert sinks.delivered(act, sleep=lambda s: None) == (200, "ok")
+    with pytest.raises(RuntimeError, match="answer 503: down"):
+        sinks.delivered(lambda: (503, "down"), pauses=(0, 0), sleep=lambda s: None)
+
+
+def test_topics(spark, tmp_path):
+    """The topics' values, with files in place of Kafka."""
+    sink = sinks.feature_topics("nowhere", fmt="json", path=f"{tmp_path}/topics")
+    row = ("feature", None, "c", None, None, 1.5, 2, 0, 3_600_000)
+    late = ("late", "e", "c", 2.5, 7, None, None, None, None)
+    sink(spark.createDataFrame([row, late], "kind string, event_id string, customer_id string, amount double, event_timestamp_ms bigint, total_amount_30d double, tx_count_30d bigint, window_start_ms bigint, window_end_ms bigint"), 0)
+    got = {r.topic: json.loads(r.value) for r in spark.read.json(f"{tmp_path}/topics").collect()}
+    made = got["features.customer_30d.v1"]
+    assert made.pop("created_timestamp") and made == {"customer_id": "c", "total_amount_30d": 1.5, "tx_count_30d": 2, "window_start_ms": 0, "window_end_ms": 3_600_000, "event_timestamp": "1970-01-01T01:00:00Z"}
+    assert got["transactions.late.v1"] == {"event_id": "e", "customer_id": "c", "amount": 2.5, "event_timestamp_ms": 7}
+    sinks.ingest_topics("nowhere", fmt="json", path=f"{tmp_path}/invalid")(spark.createDataFrame([("invalid", "x"), ("valid", None)], "kind string, value string"), 0)
+    assert [tuple(r) for r in spark.read.json(f"{tmp_path}/invalid").select("topic", "value").collect()] == [("transactions.invalid.v1", "x")]
+
+
+def test_sums_are_exact_in_the_stream(spark, tmp_path):
+    """Amounts of all sizes come and go, and leave nothing behind."""
+    rows = [("a", "c", 1e300, H - 45 * DAY_MS), ("b", "c", 0.1, H - 40 * DAY_MS), ("d", "c", 0.2, H - 39 * DAY_MS), ("e", "c", 1e17, H - 20 * DAY_MS), ("f", "c", 5e-324, H - 12 * DAY_MS), ("w", "wd", 0.0, H + 31 * DAY_MS)]
+    features, _ = rolling(spark, tmp_path, [rows])
+    own = {r.window_end_ms: (r.total_amount_30d, r.tx_count_30d) for r in features.where("customer_id = 'c'").collect()}
+    import math
+
+    for end, got in own.items():
+        inside = [r[2] for r in rows if r[1] == "c" and end - 30 * DAY_MS <= r[3] < end]
+        assert got == (math.fsum(inside), len(inside))
+    batch = windows.rolling_sum_count(spark.createDataFrame(rows, RAW)).where(f"customer_id = 'c' AND window_end_ms <= {H + 31 * DAY_MS - HOUR_MS}")
+    assert batch.count() == len(own) and mismatches(features.where("customer_id = 'c'"), batch).count() == 0
+
+
+def test_many_late_and_early_events_equal_batch(spark, tmp_path):
+    """Random events over four batches: what a window holds when it closes is what came before."""
+    import random
+
+    rng = random.Random(3)
+    batches, rows = [], []
+    for b in range(4):
+        own = [(f"{b}-{i}", f"c{rng.randrange(3)}", round(rng.uniform(-5, 50), 4), 10**12 // HOUR_MS * HOUR_MS + rng.randrange(b * 10, b * 10 + 25) * DAY_MS + rng.randrange(DAY_MS)) for i in range(40)]
+        batches.append(own)
+    top = 10**12 // HOUR_MS * HOUR_MS
+    batches.append([("w", "wd", 0.0, top + 100 * DAY_MS)])
+    features, late = rolling(spark, tmp_path, batches)
+    rows = [r for b in batches for r in b]
+    missed = {r.event_id for r in late.collect()}
+    got = {(r.customer_id, r.window_end_ms): (r.total_amount_30d, r.tx_count_30d) for r in features.collect()}
+    # the watermark when a batch comes is that of the batches before
+    want, mark = {}, 0
+    marks = []
+    for b in batches:
+        marks.append(mark)
+        mark = max(mark, max(r[3] for r in b) - HOUR_MS)
+    for b, m in zip(batches, marks, strict=True):
+        for r in b:
+            first = r[3] // HOUR_MS * HOUR_MS + HOUR_MS
+            for end in range(first, first + 30 * DAY_MS, HOUR_MS):
+                if (not m or end > m) and end <= mark:
+                    s, n = want.get((r[1], end), (0, 0))
+                    want[(r[1], end)] = (s + r[2], n + 1)
+    assert missed == {r[0] for b, m in zip(batches, marks, strict=True) for r in b if m and r[3] // HOUR_MS * HOUR_MS + 30 * DAY_MS <= m}
+    assert got.keys() == want.keys() and all(abs(got[k][0] - want[k][0]) < 1e-6 and got[k][1] == want[k][1] for k in want)
+
+
+def test_raw_mirror(spark, tmp_path):
+    from tidemill.sources.streams import RAW_EVENTS
+
+    land(f"{tmp_path}/in", 0, payloads(spark))
+    source = StreamSource("text", f"{tmp_path}/in").read(spark)
+    runs.drain(jobs.ingest(spark, source, str(tmp_path), f"{tmp_path}/checkpoint", "1 second", sinks.raw_mirror(f"{tmp_path}/{RAW_EVENTS.batch_path}")))
+    rows = RAW_EVENTS.batch(spark, str(tmp_path))
+    assert rows.count() == 5 and rows.where("event_timestamp = created_timestamp AND unix_millis(event_timestamp) = event_timestamp_ms").count() == 5
+    assert RAW_EVENTS.batch(spark, f"{tmp_path}/none").count() == 0 and RAW_EVENTS.stream("s").topic == "raw.transactions.v1"

@@ -1,9 +1,10 @@
 """Commands of the engine: python -m tidemill COMMAND.
 
 init creates the empty tables; seed lands the six fixture events, and late-probe one of 32 days ago, as
-raw messages; ingest and features run the two streaming queries (from Kafka with --kafka, else from files)
-until stopped, or over what is there with --once; push takes the features to the stores; materialize
-computes the online table in batch; verify checks that stream and batch agree.
+raw messages; ingest and features run the two streaming queries (from and to Kafka with --kafka, else files)
+until stopped, or over what is there with --once; ingest also mirrors valid events to the raw table; push takes the features
+to the online and the offline store; materialize computes the view's online table from the raw table in batch; verify
+checks that the online values of both paths and their rows of the same window agree.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.config import BATCH_RECORDS, DAY_MS, HOUR_MS, RAW_TOPIC, Settings
+from tidemill.config import BATCH_RECORDS, CUSTOMER_30D, DAY_MS, FEATURE_TOPIC, HOUR_MS, Settings
 from tidemill.functions import forms
 from tidemill.operators import stores
-from tidemill.plans.materialize import materialize
-from tidemill.plans.verify import assert_same_window, wait_for_rows
+from tidemill.plans.materialize import materialize, publish, served
+from tidemill.plans.verify import check_parity, check_values, wait_for_rows
 from tidemill.sources.contracts import RAW
-from tidemill.sources.streams import StreamSource
+from tidemill.sources.streams import RAW_EVENTS, StreamSource
 from tidemill.sources.tables import ensure_tables, fixture_events
 from tidemill.streaming import jobs, runs, sinks
 
@@ -59,26 +60,34 @@ def main(args: list[str]) -> int:
         rows = fixture_events(spark, hour).drop("arrival") if o.command == "seed" else spark.createDataFrame([("late-" + uuid.uuid4().hex, "customer-001", 1.0, hour - 32 * DAY_MS)], RAW)
         rows.coalesce(1).select(forms.event_json().alias("value")).write.mode("append").text(at.path("raw", "messages"))
     elif o.command == "ingest":
-        source = StreamSource("kafka", at.kafka_servers, RAW_TOPIC) if o.kafka else StreamSource("text", at.path("raw", "messages"))
-        until_stopped(jobs.ingest(spark, source.read(spark), base, checkpoint("ingest"), "1 second" if o.once else "10 seconds"), o.once)
+        source = RAW_EVENTS.stream(at.kafka_servers) if o.kafka else StreamSource("text", at.path("raw", "messages"))
+        more = [sinks.raw_mirror(at.path(RAW_EVENTS.batch_path))] + ([sinks.ingest_topics(at.kafka_servers)] if o.kafka else [])
+        until_stopped(jobs.ingest(spark, source.read(spark), base, checkpoint("ingest"), "1 second" if o.once else "10 seconds", *more), o.once)
     elif o.command == "features":
-        query = jobs.rolling(spark, StreamSource("parquet", f"{base}/valid/*").read(spark), base, checkpoint("features"), None if o.once else "10 seconds")
+        more = [sinks.feature_topics(at.kafka_servers)] if o.kafka else []
+        query = jobs.rolling(spark, StreamSource("parquet", f"{base}/valid/*").read(spark), base, checkpoint("features"), None if o.once else "10 seconds", *more)
         query.awaitTermination() if o.once else until_stopped(query, False)
     elif o.command == "push":
-        made = spark.readStream.schema(jobs.FEATURE_DDL).option("maxFilesPerTrigger", BATCH_RECORDS).parquet(f"{base}/feature/*")
-        messages = forms.with_metadata(made).select(forms.feature_json().alias("value"), F.lit("").alias("topic"), F.lit(0).alias("partition"), F.lit(0).cast("bigint").alias("offset"))
+        if o.kafka:
+            messages = StreamSource("kafka", at.kafka_servers, FEATURE_TOPIC, BATCH_RECORDS).read(spark)
+        else:  # a file of features stands for a partition, its rows for the offsets
+            made = spark.readStream.schema(jobs.FEATURE_DDL).parquet(f"{base}/feature/*")
+            place = [F.lit(FEATURE_TOPIC).alias("topic"), F.regexp_extract("_metadata.file_path", "batch=([0-9]+)", 1).cast("int").alias("partition"), F.col("_metadata.row_index").alias("offset")]
+            messages = forms.with_metadata(made.select("*", *place)).select(forms.feature_json().alias("value"), "topic", "partition", "offset")
         writer = messages.writeStream.option("checkpointLocation", checkpoint("push")).foreachBatch(sinks.Pusher(spark, at.path("pushed")))
         query = (writer.trigger(availableNow=True) if o.once else writer.trigger(processingTime="1 second")).start()
         query.awaitTermination() if o.once else until_stopped(query, False)
     elif o.command == "materialize":
-        read = lambda: sinks.written(spark, base, "valid", RAW)
+        read = lambda: RAW_EVENTS.batch(spark, at.data_dir)
         wait_for_rows(read, timeout_s=max(60, o.wait_seconds))
-        online = materialize(read(), hour - 31 * DAY_MS, hour - HOUR_MS)
-        online.write.mode("overwrite").parquet(at.path("online", "customer_30d"))
+        rows = materialize(read(), hour - 31 * DAY_MS, hour - HOUR_MS)
+        publish(CUSTOMER_30D, rows, at.path("online", "customer_30d"), at.path("offline", "customer_30d_batch"))
     else:
-        batch = spark.read.parquet(at.path("online", "customer_30d"))
-        row = stores.lookup(spark.createDataFrame([("customer-001",)], "customer_id string"), batch).first()
-        print(json.dumps(assert_same_window(row, sinks.written(spark, base, "feature", jobs.FEATURE_DDL)).asDict()))
+        ask, pushed = spark.createDataFrame([("customer-001",)], "customer_id string"), sinks.Pusher(spark, at.path("pushed"))
+        batch = served(CUSTOMER_30D, ask, spark.read.parquet(at.path("online", "customer_30d")), hour).first()
+        stream = stores.lookup(ask, pushed.online(), hour).first()
+        check_values(stream, batch["total_amount_30d"], batch["tx_count_30d"])
+        print(json.dumps(check_parity(batch, pushed.offline()).asDict()))
     return 0
 
 

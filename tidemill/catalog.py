@@ -23,10 +23,11 @@ ORACLE_SQL: dict[str, str] = {}
 
 #: Shared parts of the SQL: events in the raw form, manufactured repeats and the rolling features.
 _RAW = "raw AS (SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS customer_id, value AS amount, epoch_us(ts) // 1000 AS event_timestamp_ms FROM events)"
-_TILES = "tiles AS (SELECT user_id, date_trunc('hour', ts) AS h, sum(CAST(value AS DECIMAL(18,2))) AS s, count(*) AS n FROM events GROUP BY 1, 2)"
+#: Sums of doubles depend on the order of adding in their last bits, so totals are compared to six places.
+_TILES = "tiles AS (SELECT user_id, date_trunc('hour', ts) AS h, sum(value) AS s, count(*) AS n FROM events GROUP BY 1, 2)"
 _ROLLED = _TILES + """,
 dealt AS (SELECT user_id, s, n, unnest(generate_series(h + INTERVAL 1 HOUR, h + INTERVAL 30 DAY, INTERVAL 1 HOUR)) AS we FROM tiles),
-rolled AS (SELECT CAST(user_id AS VARCHAR) AS customer_id, CAST(sum(s) AS DOUBLE) AS total_amount_30d, CAST(sum(n) AS BIGINT) AS tx_count_30d,
+rolled AS (SELECT CAST(user_id AS VARCHAR) AS customer_id, round(sum(s), 6) AS total_amount_30d, CAST(sum(n) AS BIGINT) AS tx_count_30d,
   epoch_ms(we) - 2592000000 AS window_start_ms, epoch_ms(we) AS window_end_ms FROM dealt GROUP BY user_id, we)"""
 _LATEST = _ROLLED + ", latest AS (SELECT * FROM rolled QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY window_end_ms DESC) = 1)"
 #: Exact repeats of every tenth event and conflicting ones of every twenty-fifth, arriving later.
@@ -58,8 +59,18 @@ def _query(name: str, sql: str | None):
     return add
 
 
+def _six(rows: DataFrame, *columns: str) -> DataFrame:
+    """The columns (total_amount_30d, if none is named) to six places, for comparison."""
+    return rows.withColumns({c: F.round(c, 6) for c in columns or ("total_amount_30d",)})
+
+
 def _rolled(spark: SparkSession, d: str) -> DataFrame:
-    return windows.rolling_sum_count(tables.events(spark, d))
+    return _six(windows.rolling_sum_count(tables.events(spark, d)))
+
+
+def _latest(spark: SparkSession, d: str) -> DataFrame:
+    """The row of each customer's last window."""
+    return _six(windows.latest_sum_count(tables.events(spark, d)))
 
 
 def _repeats(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +120,7 @@ def event_json(spark, d):
 
 @_query("feature_json", f"WITH {_LATEST} SELECT customer_id, total_amount_30d, tx_count_30d, window_start_ms, window_end_ms FROM latest")
 def feature_json(spark, d):
-    text = forms.with_metadata(stores.latest(_rolled(spark, d))).select(forms.feature_json().alias("j"))
+    text = forms.with_metadata(_latest(spark, d)).select(forms.feature_json().alias("j"))
     return text.select(F.from_json("j", jobs.FEATURE_DDL).alias("r")).select("r.*")
 
 
@@ -123,20 +134,20 @@ def validate_invalid(spark, d):
     return invalid(validated(_payloads(spark, d).select("value")))
 
 
-@_query("hour_tiles", f"WITH {_TILES} SELECT CAST(user_id AS VARCHAR) AS customer_id, epoch_ms(h) AS tile, CAST(s AS DOUBLE) AS s, CAST(n AS BIGINT) AS n FROM tiles")
+@_query("hour_tiles", f"WITH {_TILES} SELECT CAST(user_id AS VARCHAR) AS customer_id, epoch_ms(h) AS tile, round(s, 6) AS s, CAST(n AS BIGINT) AS n FROM tiles")
 def hour_tiles(spark, d):
-    return windows.tiles(tables.events(spark, d)).select("customer_id", "tile", F.col("s").cast("double").alias("s"), "n")
+    return _six(windows.tiles(tables.events(spark, d)), "s")
 
 
-@_query("tile_merge", f"WITH {_TILES} SELECT CAST(user_id AS VARCHAR) AS customer_id, epoch_ms(date_trunc('day', h)) AS day_ms, CAST(sum(s) AS DOUBLE) AS s, CAST(sum(n) AS BIGINT) AS n FROM tiles GROUP BY ALL")
+@_query("tile_merge", f"WITH {_TILES} SELECT CAST(user_id AS VARCHAR) AS customer_id, epoch_ms(date_trunc('day', h)) AS day_ms, round(sum(s), 6) AS s, CAST(sum(n) AS BIGINT) AS n FROM tiles GROUP BY ALL")
 def tile_merge(spark, d):
     t = windows.tiles(tables.events(spark, d))
-    return t.groupBy("customer_id", forms.floor_ms(F.col("tile"), DAY_MS).alias("day_ms")).agg(F.sum("s").cast("double").alias("s"), F.sum("n").alias("n"))
+    return t.groupBy("customer_id", forms.floor_ms(F.col("tile"), DAY_MS).alias("day_ms")).agg(F.round(F.sum("s"), 6).alias("s"), F.sum("n").alias("n"))
 
 
-@_query("agg_sum_count", "SELECT CAST(user_id AS VARCHAR) AS customer_id, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total_amount, count(*) AS tx_count FROM events GROUP BY 1")
+@_query("agg_sum_count", "SELECT CAST(user_id AS VARCHAR) AS customer_id, round(sum(value), 6) AS total_amount, count(*) AS tx_count FROM events GROUP BY 1")
 def agg_sum_count(spark, d):
-    return tables.events(spark, d).groupBy("customer_id").agg(F.sum(F.col("amount").cast(windows.EXACT)).cast("double").alias("total_amount"), F.count("*").alias("tx_count"))
+    return tables.events(spark, d).groupBy("customer_id").agg(F.round(F.sum("amount"), 6).alias("total_amount"), F.count("*").alias("tx_count"))
 
 
 @_query("customer_30d", f"WITH {_ROLLED} SELECT * FROM rolled")
@@ -144,31 +155,59 @@ def customer_30d(spark, d):
     return _rolled(spark, d)
 
 
-@_query("customer_30d_tiled", f"WITH {_ROLLED} SELECT customer_id, window_end_ms, CAST(tx_count_30d AS BIGINT) AS tx_count_30d FROM rolled")
+@_query("customer_30d_tiled", f"WITH {_ROLLED} SELECT customer_id, window_end_ms, total_amount_30d, tx_count_30d FROM rolled")
 def customer_30d_tiled(spark, d):
-    return windows.rolling_sum_count(tables.events(spark, d), kind=None).select("customer_id", "window_end_ms", "tx_count_30d")
+    """From the tiles of customers and hours that a tiled view keeps."""
+    tiled = windows.tiles(tables.events(spark, d))
+    return _six(windows.features(windows.rolling(tiled, windows.SUM_COUNT))).select("customer_id", "window_end_ms", "total_amount_30d", "tx_count_30d")
+
+
+@_query("customer_30d_cents", f"WITH {_ROLLED} SELECT * FROM rolled")
+def customer_30d_cents(spark, d):
+    """Amounts that are declared as cents go by change points."""
+    return _six(windows.rolling_sum_count(tables.events(spark, d), kind="decimal(18,2)"))
+
+
+#: Amounts of four places, and three events of an enormous amount beside a small one for every 500th.
+_WIDE = """wide AS (SELECT CAST(user_id AS VARCHAR) AS customer_id, value / 100 + event_id % 10 * 0.0001 AS amount, epoch_us(ts) // 1000 AS ms FROM events
+  UNION ALL SELECT concat('w', event_id), unnest([1e17, 0.125, 1e300]), epoch_us(ts) // 1000 + unnest([0, 86400000, 5184000000]) FROM events WHERE event_id % 500 = 0),
+wide_tiles AS (SELECT customer_id, ms // 3600000 * 3600000 AS h, sum(amount) AS s, count(*) AS n FROM wide GROUP BY 1, 2),
+wide_rolled AS (SELECT customer_id, sum(s) AS total, CAST(sum(n) AS BIGINT) AS n, we AS window_end_ms
+  FROM (SELECT customer_id, s, n, unnest(generate_series(h + 3600000, h + 2592000000, 3600000)) AS we FROM wide_tiles) GROUP BY customer_id, we)"""
+
+
+@_query("customer_30d_wide", f"WITH {_WIDE} SELECT customer_id, window_end_ms, CASE WHEN total < 1e12 THEN round(total, 6) ELSE total END AS total, n FROM wide_rolled")
+def customer_30d_wide(spark, d):
+    e = tables.read(spark, d, "events").select("event_id", "user_id", "value", F.unix_millis(F.col("ts").cast("timestamp")).alias("event_timestamp_ms"))
+    own = e.select(F.col("user_id").cast("string").alias("customer_id"), (F.col("value") / 100 + F.col("event_id") % 10 * F.lit(0.0001)).alias("amount"), "event_timestamp_ms")
+    more = F.explode(F.array(*[F.struct(F.lit(a).alias("amount"), F.lit(days * DAY_MS).alias("later")) for a, days in ((1e17, 0), (0.125, 1), (1e300, 60))]))
+    whales = e.where("event_id % 500 = 0").select(F.concat(F.lit("w"), "event_id").alias("customer_id"), "event_timestamp_ms", more.alias("m"))
+    whales = whales.select("customer_id", "m.amount", (F.col("event_timestamp_ms") + F.col("m.later")).alias("event_timestamp_ms"))
+    rows = windows.rolling_sum_count(own.unionByName(whales))
+    total = F.when(F.col("total_amount_30d") < 1e12, F.round("total_amount_30d", 6)).otherwise(F.col("total_amount_30d"))
+    return rows.select("customer_id", "window_end_ms", total.alias("total"), F.col("tx_count_30d").alias("n"))
 
 
 @_query(
     "customer_30d_orders",
-    """WITH t AS (SELECT o_custkey AS k, date_trunc('day', o_orderdate) AS h, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS s, count(*) AS n FROM orders GROUP BY 1, 2),
+    """WITH t AS (SELECT o_custkey AS k, date_trunc('day', o_orderdate) AS h, sum(o_totalprice) AS s, count(*) AS n FROM orders GROUP BY 1, 2),
 x AS (SELECT k, s, n, unnest(generate_series(h + INTERVAL 1 DAY, h + INTERVAL 30 DAY, INTERVAL 1 DAY)) AS we FROM t)
-SELECT CAST(k AS VARCHAR) AS customer_id, CAST(sum(s) AS DOUBLE) AS total_amount_30d, CAST(sum(n) AS BIGINT) AS tx_count_30d, epoch_ms(we) - 2592000000 AS window_start_ms, epoch_ms(we) AS window_end_ms FROM x GROUP BY k, we""",
+SELECT CAST(k AS VARCHAR) AS customer_id, round(sum(s), 6) AS total_amount_30d, CAST(sum(n) AS BIGINT) AS tx_count_30d, epoch_ms(we) - 2592000000 AS window_start_ms, epoch_ms(we) AS window_end_ms FROM x GROUP BY k, we""",
 )
 def customer_30d_orders(spark, d):
-    return windows.rolling_sum_count(tables.orders(spark, d), slide=DAY_MS)
+    return _six(windows.rolling_sum_count(tables.orders(spark, d), slide=DAY_MS))
 
 
 @_query("view_aggregates", f"""WITH {_TILES.replace("count(*) AS n", "count(*) AS n, min(value) AS lo, max(value) AS hi")},
 x AS (SELECT user_id, s, n, lo, hi, unnest(generate_series(date_trunc('day', h) + INTERVAL 1 DAY, date_trunc('day', h) + INTERVAL 7 DAY, INTERVAL 1 DAY)) AS we FROM tiles)
-SELECT CAST(user_id AS VARCHAR) AS customer_id, epoch_ms(we) AS window_end_ms, CAST(sum(s) AS DOUBLE) AS total_7d, CAST(sum(n) AS BIGINT) AS n_7d, min(lo) AS least_7d, max(hi) AS most_7d FROM x GROUP BY user_id, we""")
+SELECT CAST(user_id AS VARCHAR) AS customer_id, epoch_ms(we) AS window_end_ms, round(sum(s), 6) AS total_7d, CAST(sum(n) AS BIGINT) AS n_7d, min(lo) AS least_7d, max(hi) AS most_7d FROM x GROUP BY user_id, we""")
 def view_aggregates(spark, d):
     from datetime import timedelta
 
     how = {"window": timedelta(days=7), "slide": timedelta(days=1)}
     names = (("sum", "total_7d"), ("count", "n_7d"), ("min", "least_7d"), ("max", "most_7d"))
     view = FeatureView("week", Entity(), tuple(Aggregation("amount", f, name=n, **how) for f, n in names), (("amount", "double"),))
-    return plans.compute(view, tables.events(spark, d))
+    return _six(plans.compute(view, tables.events(spark, d)), "total_7d")
 
 
 @_query("iso_window_end", f"WITH {_ROLLED} SELECT DISTINCT window_end_ms, strftime(make_timestamp(window_end_ms * 1000), '%Y-%m-%dT%H:%M:%SZ') AS event_timestamp FROM rolled")
@@ -200,9 +239,9 @@ def dedup_conflicts(spark, d):
     return dedup.conflicts(_repeats(spark, d))
 
 
-@_query("dedup_total", "SELECT CAST(user_id AS VARCHAR) AS customer_id, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total_amount, count(*) AS n FROM events GROUP BY 1")
+@_query("dedup_total", "SELECT CAST(user_id AS VARCHAR) AS customer_id, round(sum(value), 6) AS total_amount, count(*) AS n FROM events GROUP BY 1")
 def dedup_total(spark, d):
-    return dedup.first_events(_repeats(spark, d)).groupBy("customer_id").agg(F.sum(F.col("amount").cast(windows.EXACT)).cast("double").alias("total_amount"), F.count("*").alias("n"))
+    return dedup.first_events(_repeats(spark, d)).groupBy("customer_id").agg(F.round(F.sum("amount"), 6).alias("total_amount"), F.count("*").alias("n"))
 
 
 @_query("union_invalid", f"WITH {_INVALID}, {_REPEATS}, {_CONFLICTS} SELECT value FROM invalid UNION ALL SELECT value FROM conflicts")
@@ -251,14 +290,14 @@ def offline_scan(spark, d):
 
 @_query("online_latest", f"WITH {_LATEST} SELECT * FROM latest")
 def online_latest(spark, d):
-    return stores.latest(_rolled(spark, d))
+    return _latest(spark, d)
 
 
-_ENTITIES = "entities AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS customer_id FROM events WHERE user_id % 2 = 0 UNION ALL SELECT 'nobody')"
+_ENTITIES = "entities AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS customer_id FROM events UNION ALL SELECT 'nobody')"
 
 
 def _entities(spark: SparkSession, d: str) -> DataFrame:
-    own = tables.read(spark, d, "events").where("user_id % 2 = 0").select(F.col("user_id").cast("string").alias("customer_id")).distinct()
+    own = tables.read(spark, d, "events").select(F.col("user_id").cast("string").alias("customer_id")).distinct()
     return own.unionByName(spark.createDataFrame([("nobody",)], "customer_id string"))
 
 
@@ -274,18 +313,18 @@ def _found_sql(values: str, rows: str) -> str:
 
 @_query("online_lookup", f"WITH {_LATEST}, {_ENTITIES} " + _found_sql("total_amount_30d tx_count_30d window_start_ms window_end_ms", "SELECT * FROM entities LEFT JOIN latest USING (customer_id)"))
 def online_lookup(spark, d):
-    return _found(stores.lookup(_entities(spark, d), stores.latest(_rolled(spark, d))))
+    return _found(stores.lookup(_entities(spark, d), _latest(spark, d)))
 
 
 _ORDERS_LATEST = """t AS (SELECT CAST(o_custkey AS VARCHAR) AS customer_id, max(epoch_ms(date_trunc('day', o_orderdate))) + 2592000000 AS window_end_ms FROM orders GROUP BY 1),
-v AS (SELECT t.customer_id, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total_amount_30d, count(*) AS tx_count_30d, window_end_ms FROM t JOIN orders ON CAST(o_custkey AS VARCHAR) = t.customer_id AND epoch_ms(o_orderdate) >= window_end_ms - 2592000000 AND epoch_ms(o_orderdate) < window_end_ms GROUP BY ALL)"""
+v AS (SELECT t.customer_id, round(sum(o_totalprice), 6) AS total_amount_30d, count(*) AS tx_count_30d, window_end_ms FROM t JOIN orders ON CAST(o_custkey AS VARCHAR) = t.customer_id AND epoch_ms(o_orderdate) >= window_end_ms - 2592000000 AND epoch_ms(o_orderdate) < window_end_ms GROUP BY ALL)"""
 
 
 @_query("online_ttl", f"""WITH {_ORDERS_LATEST}, e AS (SELECT CAST(c_custkey AS VARCHAR) AS customer_id FROM customer)
 """ + _found_sql("total_amount_30d tx_count_30d window_end_ms", """SELECT customer_id, CASE WHEN ok THEN total_amount_30d END AS total_amount_30d, CASE WHEN ok THEN tx_count_30d END AS tx_count_30d, CASE WHEN ok THEN window_end_ms END AS window_end_ms
 FROM (SELECT e.customer_id, v.* EXCLUDE (customer_id), window_end_ms >= 996624000000 - 2678400000 AS ok FROM e LEFT JOIN v ON e.customer_id = v.customer_id)"""))
 def online_ttl(spark, d):
-    online = stores.latest(windows.rolling_sum_count(tables.orders(spark, d), slide=DAY_MS)).drop("window_start_ms")
+    online = _six(windows.latest_sum_count(tables.orders(spark, d), slide=DAY_MS)).drop("window_start_ms")
     entities = tables.read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("customer_id"))
     return _found(stores.lookup(entities, online, now_ms=996_624_000_000))
 
@@ -295,17 +334,17 @@ def latest_created(spark, d):
     return stores.latest(_repeats(spark, d), key="event_id", order=("arrival",)).select("event_id", "amount", "arrival")
 
 
-@_query("parity_all", f"WITH {_ROLLED} SELECT customer_id, window_end_ms, total_amount_30d AS left_total, tx_count_30d AS left_count, total_amount_30d AS right_total, tx_count_30d AS right_count, true AS same FROM rolled WHERE window_end_ms % 86400000 = 0")
+@_query("parity_all", f"WITH {_ROLLED} SELECT customer_id, window_end_ms, total_amount_30d AS left_total, tx_count_30d AS left_count, total_amount_30d AS right_total, tx_count_30d AS right_count, true AS same FROM rolled")
 def parity_all(spark, d):
-    daily = F.col("window_end_ms") % DAY_MS == 0
-    left, right = _rolled(spark, d).where(daily), windows.rolling_sum_count(tables.events(spark, d), kind=None).where(daily)
-    return parity(left, right.withColumn("total_amount_30d", F.round("total_amount_30d", 2)))
+    """Two independent ways to the same features: sums of doubles by merging, and of cents by change points."""
+    e = tables.events(spark, d)
+    return _six(parity(windows.rolling_sum_count(e), windows.rolling_sum_count(e, kind="decimal(18,2)")), "left_total", "right_total")
 
 
-@_query("parity_mismatches", f"WITH {_ROLLED} SELECT customer_id, window_end_ms, total_amount_30d AS left_total, tx_count_30d AS left_count, total_amount_30d AS right_total, tx_count_30d + 1 AS right_count, false AS same FROM rolled WHERE customer_id = '7' AND window_end_ms % 86400000 = 0")
+@_query("parity_mismatches", f"WITH {_ROLLED} SELECT customer_id, window_end_ms, total_amount_30d AS left_total, tx_count_30d AS left_count, total_amount_30d AS right_total, tx_count_30d + 1 AS right_count, false AS same FROM rolled WHERE customer_id = '7'")
 def parity_mismatches(spark, d):
-    daily = _rolled(spark, d).where(F.col("window_end_ms") % DAY_MS == 0)
-    return mismatches(daily, daily.withColumn("tx_count_30d", F.col("tx_count_30d") + (F.col("customer_id") == "7").cast("bigint")))
+    rows = _rolled(spark, d)
+    return mismatches(rows, rows.withColumn("tx_count_30d", F.col("tx_count_30d") + (F.col("customer_id") == "7").cast("bigint")))
 
 
 @_query("parity_point", f"WITH {_ROLLED} SELECT * FROM rolled WHERE customer_id = '3' AND window_end_ms = 1705276800000")
@@ -323,7 +362,7 @@ _LEDGER = _LATEST + ", ledger AS (SELECT customer_id, window_end_ms FROM latest
 
 
 def _ledger(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    online = stores.latest(_rolled(spark, d))
+    online = _latest(spark, d)
     return online, online.where(F.col("customer_id").cast("bigint") % 3 == 0).select(*stores.LEDGER_KEY)
 
 
@@ -347,7 +386,7 @@ def ledger_upsert(spark, d):
 SELECT CAST(customer_id AS BIGINT) // 100 AS batch, 'flink_customer_30d_push' AS push_source_name, 'online_and_offline' AS "to", string_agg(customer_id, ',' ORDER BY customer_id) AS customers,
   string_agg(CAST(tx_count_30d AS VARCHAR), ',' ORDER BY customer_id) AS counts, string_agg(strftime(make_timestamp(window_end_ms * 1000), '%Y-%m-%dT%H:%M:%SZ'), ',' ORDER BY customer_id) AS times FROM latest GROUP BY 1""")
 def push_payload(spark, d):
-    rows = forms.with_metadata(stores.latest(_rolled(spark, d)))
+    rows = forms.with_metadata(_latest(spark, d))
     p = forms.push_payloads(rows, F.floor(F.col("customer_id").cast("bigint") / 100))
     return p.select("batch", "push_source_name", "to", F.array_join("df.customer_id", ",").alias("customers"), F.array_join(F.col("df.tx_count_30d").cast("array<string>"), ",").alias("counts"), F.array_join("df.event_timestamp", ",").alias("times"))
 
@@ -364,7 +403,7 @@ def push_reject(spark, d):
 
 @_query("push_merge", f"WITH {_LATEST} SELECT customer_id, CASE WHEN CAST(customer_id AS BIGINT) % 2 = 0 THEN total_amount_30d + 1 ELSE total_amount_30d END AS total_amount_30d, window_end_ms + CASE WHEN CAST(customer_id AS BIGINT) % 2 = 0 THEN 3600000 ELSE 0 END AS window_end_ms FROM latest")
 def push_merge(spark, d):
-    online = stores.latest(_rolled(spark, d))
+    online = _latest(spark, d)
     even = F.col("customer_id").cast("bigint") % 2 == 0
     newer = online.where(even).withColumns({"total_amount_30d": F.col("total_amount_30d") + 1, "window_end_ms": F.col("window_end_ms") + HOUR_MS})
     older = online.where(~even).withColumn("window_end_ms", F.col("window_end_ms") - HOUR_MS)
@@ -388,7 +427,7 @@ def first_match(spark, d):
 
 @_query("materialize_range", f"WITH {_ROLLED} SELECT * FROM rolled WHERE window_end_ms > 1704844800000 AND window_end_ms <= 1705708800000 QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY window_end_ms DESC) = 1")
 def materialize_range(spark, d):
-    return plans.materialize(tables.events(spark, d), 1_704_844_800_000, 1_705_708_800_000)
+    return _six(plans.materialize(tables.events(spark, d), 1_704_844_800_000, 1_705_708_800_000))
 
 
 @_query("count_distinct_30d", """WITH t AS (SELECT DISTINCT user_id, event_type, date_trunc('hour', ts) AS h FROM events),
@@ -399,11 +438,11 @@ def count_distinct_30d(spark, d):
     return windows.rolling_distinct(e, "event_type").select("customer_id", "window_end_ms", "n")
 
 
-@_query("asof_features", f"""WITH {_ROLLED}, e AS (SELECT CAST(user_id AS VARCHAR) AS customer_id, epoch_us(ts) // 1000 AS at_ms, event_id FROM events WHERE event_id % 5 = 0)
+@_query("asof_features", f"""WITH {_ROLLED}, e AS (SELECT CAST(user_id AS VARCHAR) AS customer_id, epoch_us(ts) // 1000 AS at_ms, event_id FROM events)
 """ + _found_sql("window_end_ms tx_count_30d", """SELECT e.customer_id, e.at_ms, e.event_id, CASE WHEN r.window_end_ms >= e.at_ms - 2678400000 THEN r.window_end_ms END AS window_end_ms, CASE WHEN r.window_end_ms >= e.at_ms - 2678400000 THEN r.tx_count_30d END AS tx_count_30d
 FROM e ASOF LEFT JOIN rolled r ON e.customer_id = r.customer_id AND e.at_ms >= r.window_end_ms"""))
 def asof_features(spark, d):
-    e = tables.events(spark, d).where(F.col("event_id").cast("bigint") % 5 == 0).select("customer_id", F.col("event_timestamp_ms").alias("at_ms"), F.col("event_id").cast("bigint").alias("event_id"))
+    e = tables.events(spark, d).select("customer_id", F.col("event_timestamp_ms").alias("at_ms"), F.col("event_id").cast("bigint").alias("event_id"))
     return _found(as_of(e, _rolled(spark, d).select("customer_id", "window_end_ms", "tx_count_30d"), 31 * DAY_MS))
 
 
@@ -419,7 +458,7 @@ def _stream(spark: SparkSession, batches: list[DataFrame]) -> str:
 
 @_query("stream_features", f"WITH {_ROLLED} SELECT rolled.* FROM rolled, (SELECT max(epoch_us(ts) // 1000) - 3600000 AS m FROM events) WHERE window_end_ms <= m")
 def stream_features(spark, d):
-    return sinks.written(spark, _stream(spark, [tables.events(spark, d)]), "feature", jobs.FEATURE_DDL)
+    return _six(sinks.written(spark, _stream(spark, [tables.events(spark, d)]), "feature", jobs.FEATURE_DDL))
 
 
 @_query("stream_late", f"WITH {_OLD} SELECT old.* FROM old, mark WHERE event_timestamp_ms // 3600000 * 3600000 + 2592000000 <= m")

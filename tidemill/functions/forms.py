@@ -41,10 +41,13 @@ def batch_rows(events: DataFrame) -> DataFrame:
     return events.withColumns({"event_timestamp": event_time(F.col("event_timestamp_ms")), "created_timestamp": event_time(F.col("event_timestamp_ms"))})
 
 
+def now_text() -> Column:
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
 def with_metadata(features: DataFrame) -> DataFrame:
     """Features with the window's end as text and the time of their making."""
-    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    return features.withColumns({"event_timestamp": iso_timestamp(F.col("window_end_ms")), "created_timestamp": now})
+    return features.withColumns({"event_timestamp": iso_timestamp(F.col("window_end_ms")), "created_timestamp": now_text()})
 
 
 def push_payloads(features: DataFrame, batch: Column) -> DataFrame:

@@ -21,26 +21,27 @@ def _kind(v: str, name: str) -> Column:
 
 def validated(events: DataFrame, value: str = "value") -> DataFrame:
     """The columns of `events`, the four typed fields and `error`, which is null for a valid payload."""
-    df = events.withColumn("_v", F.expr(f"try_parse_json(`{value}`)")).withColumn("_keys", F.expr("array_sort(map_keys(try_cast(_v AS map<string, variant>)))"))
+    # a generator's output is not worked out again by filters that are moved below it
+    df = events.withColumn("_v", F.explode(F.array(F.expr(f"try_parse_json(`{value}`)")))).withColumn("_keys", F.expr("array_sort(map_keys(try_cast(_v AS map<string, variant>)))"))
     text = {c: F.expr(f"try_variant_get(_v, '$.{c}', 'string')") for c in ("event_id", "customer_id")}
-    fields = F.array(*[F.lit(c) for c in sorted(RAW_FIELDS)])
+    names = F.array(*[F.lit(c) for c in sorted(RAW_FIELDS)])
     blank = {c: (_kind("_v", c) != "STRING") | _kind("_v", c).isNull() | ~text[c].rlike(_NOT_BLANK) for c in text}
     error = (
         F.when(F.col("_v").isNull(), "invalid JSON: malformed document")
-        .when(F.col("_keys").isNull() | (F.col("_keys") != fields), f"expected exactly these fields: {sorted(RAW_FIELDS)}")
+        .when(F.col("_keys").isNull() | (F.col("_keys") != names), f"expected exactly these fields: {sorted(RAW_FIELDS)}")
         .when(blank["event_id"], "event_id must be a non-empty string")
         .when(blank["customer_id"], "customer_id must be a non-empty string")
         .when(~_kind("_v", "amount").rlike(_NUMERIC), "amount must be numeric")
         .when(_kind("_v", "event_timestamp_ms") != "BIGINT", "event_timestamp_ms must be an int64")
     )
-    return df.select(
-        *events.columns,
+    fields = F.struct(
         text["event_id"].alias("event_id"),
         text["customer_id"].alias("customer_id"),
         F.expr("try_variant_get(_v, '$.amount', 'double')").alias("amount"),
         F.expr("try_variant_get(_v, '$.event_timestamp_ms', 'bigint')").alias("event_timestamp_ms"),
         error.alias("error"),
     )
+    return df.select(*events.columns, F.explode(F.array(fields)).alias("_f")).select(*events.columns, "_f.*")
 
 
 def valid(checked: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.config import ONLINE_TTL
@@ -46,11 +46,22 @@ def push_online(online: DataFrame, pushed: DataFrame, order: tuple[str, ...] = (
 
 
 def dead_letters(rejected: DataFrame, reason: Column) -> DataFrame:
-    """Envelopes of messages with topic, partition, offset and value; bytes that are no UTF-8 are replaced."""
-    value = F.col("value")
-    if dict(rejected.dtypes)["value"] == "binary":
-        value = F.decode(value, "UTF-8")
-    return rejected.select(reason.alias("reason"), F.col("topic").alias("source_topic"), F.col("partition").alias("source_partition"), F.col("offset").alias("source_offset"), value.alias("value"))
+    """Envelopes of messages with topic, partition, offset and value, a string or bytes."""
+    return rejected.select(reason.alias("reason"), F.col("topic").alias("source_topic"), F.col("partition").alias("source_partition"), F.col("offset").alias("source_offset"), text_of(F.col("value")).alias("value"))
+
+
+def text_of(value: Column) -> Column:
+    """A message's string or bytes as text; U+FFFD stands for what is no UTF-8."""
+    return F.make_valid_utf8(value.cast("string"))
+
+
+def numbered_batches(records: DataFrame, most: int, n: int, key: tuple[str, ...] = ("customer_id", "window_end_ms")) -> DataFrame:
+    """`records`, about `n` of them, with a column batch; no batch has more than `most`. They are dealt by a hash and numbered
+    inside of its parts, so no task numbers all."""
+    parts = max(1, n // (64 * most))
+    own = records.withColumn("_part", F.pmod(F.xxhash64(*key), F.lit(parts)))
+    row = F.row_number().over(Window.partitionBy("_part").orderBy(*key)) - 1
+    return own.withColumn("batch", F.concat_ws("-", "_part", F.floor(row / most))).drop("_part")
 
 
 def next_offsets(messages: DataFrame) -> DataFrame:

@@ -33,16 +33,19 @@ def wait_for_rows(read: Callable[[], DataFrame], least: int = 5, timeout_s: floa
         time.sleep(poll_s)
 
 
-def assert_expected(row: Row | None, total: float = 60.0, count: int = 3) -> None:
-    if row is None or not math.isclose(float(row["total_amount_30d"]), total) or int(row["tx_count_30d"]) != count:
-        raise AssertionError(f"expected total_amount_30d={total}, tx_count_30d={count}, got {row}")
+def check_values(row: Row | None, total: float, count: int) -> None:
+    """An error unless `row` has these values of a customer's features."""
+    if row is None:
+        raise AssertionError("there is no row")
+    if not math.isclose(row["total_amount_30d"] or 0.0, total) or row["tx_count_30d"] != count:
+        raise AssertionError(f"{total} in {count} transactions were wanted, but there are {row}")
 
 
-def assert_same_window(batch: Row, stream: DataFrame) -> Row:
-    """The stream's row of the batch row's customer and window end; an error if it is missing or differs."""
+def check_parity(batch: Row, stream: DataFrame) -> Row:
+    """The stream's row of the batch row's customer and window end; an error if it is missing or has other values."""
     same = (F.col("customer_id") == batch["customer_id"]) & (F.col("window_end_ms") == batch["window_end_ms"])
     found = stream.where(same).limit(1).collect()
     if not found:
-        raise AssertionError(f"no streamed aggregate of {batch['customer_id']} at window_end_ms={batch['window_end_ms']}")
-    assert_expected(found[0], float(batch["total_amount_30d"]), int(batch["tx_count_30d"]))
+        raise AssertionError(f"the stream has no window that ends at {batch['window_end_ms']} for {batch['customer_id']}")
+    check_values(found[0], batch["total_amount_30d"], batch["tx_count_30d"])
     return found[0]

@@ -31,6 +31,7 @@ def fixture_events(spark: SparkSession, hour_ms: int) -> DataFrame:
     """Six events, one of them twice, in order of `arrival`; `hour_ms` is the hour that ends them."""
     base = hour_ms - 4 * HOUR_MS
     minute = 60_000
+    # fixed values: the events that all expectations are about
     rows = [
         ("evt-001", "customer-001", 10.0, base + 10 * minute),
         ("evt-002", "customer-001", 20.0, base + 40 * minute),

@@ -8,9 +8,8 @@ one hour) but makes Spark itself drop only what is older than SHIFT.
 
 from __future__ import annotations
 
-import json
+import math
 from collections.abc import Iterator
-from decimal import Decimal
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -49,74 +48,113 @@ class Deduplicate(StatefulProcessor):
         pass
 
 
+def exact(value: float) -> tuple[int, int]:
+    """A double as a whole number of 2**-shift."""
+    top, bottom = value.as_integer_ratio()
+    return top, bottom.bit_length() - 1
+
+
+def plus(a: tuple[int, int], b: tuple[int, int], sign: int = 1) -> tuple[int, int]:
+    """Exact sums of such numbers, so that what leaves a window leaves nothing behind."""
+    shift = max(a[1], b[1])
+    return (a[0] << shift - a[1]) + sign * (b[0] << shift - b[1]), shift
+
+
+def nearest(a: tuple[int, int]) -> float:
+    """The double next to such a number; infinite beyond the largest."""
+    try:
+        return a[0] / (1 << a[1])
+    except OverflowError:
+        return math.copysign(math.inf, a[0])
+
+
 class RollingFeatures(StatefulProcessor):
-    """Keeps tiles of one slide for each customer, at most a window of them, and a timer at the next window
-    end that holds events. A window is emitted once the watermark reaches its end; an event is late if the
-    last of its windows has closed, else it counts in those still open."""
+    """Keeps tiles of one slide for each customer, at most a window of them and those after it, and the sum and count of
+    the next window end that holds events, on which a timer stands. A window is emitted once the watermark
+    reaches its end; the step to the next end adds a tile and takes one away. An event is late if the last of its
+    windows has closed, else it counts in those still open."""
 
     def __init__(self, window: int = WINDOW_MS, slide: int = HOUR_MS):
         self.window, self.slide = window, slide
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("tiles", "tiles string, armed bigint")
-
-    def _load(self) -> tuple[dict[int, list], int | None]:
-        if not self.state.exists():
-            return {}, None
-        text, armed = self.state.get()
-        return {int(h): [Decimal(s), n] for h, (s, n) in json.loads(text).items()}, armed
-
-    def _save(self, tiles: dict[int, list], armed: int | None) -> None:
-        if tiles:
-            self.state.update((json.dumps({h: [str(s), n] for h, (s, n) in tiles.items()}), armed))
-        else:
-            self.state.clear()
-
-    def _arm(self, tiles: dict[int, list], armed: int | None, mark: int) -> int | None:
-        """The next window end after the watermark that holds a tile; a timer stands there afterwards."""
-        after = (mark // self.slide + 1) * self.slide if mark > 0 else None
-        ends = [e for h in tiles if (e := h + self.slide if after is None else max(h + self.slide, after)) <= h + self.window]
-        due = min(ends, default=None)
-        if due != armed:
-            if armed is not None:
-                self.handle.deleteTimer(armed)
+        self.tiles = handle.getMapState("tiles", "tile bigint", "top string, shift int, n bigint")
+        self.due = handle.getValueState("due", "due bigint, top string, shift int, n bigint")
+
+    def _tile(self, at: int) -> tuple[tuple[int, int], int]:
+        if not self.tiles.exists() or not self.tiles.containsKey((at,)):
+            return (0, 0), 0
+        top, shift, n = self.tiles.getValue((at,))
+        return (int(top), shift), n
+
+    def _load(self) -> tuple[int | None, tuple[int, int], int]:
+        if not self.due.exists():
+            return None, (0, 0), 0
+        due, top, shift, n = self.due.get()
+        return due, (int(top), shift), n
+
+    def _save(self, before: int | None, due: int | None, total: tuple[int, int], n: int) -> None:
+        if before != due:
+            if before is not None:
+                self.handle.deleteTimer(before)
             if due is not None:
                 self.handle.registerTimer(due)
-        return due
+        if due is None:
+            self.due.clear()
+        else:
+            self.due.update((due, str(total[0]), total[1], n))
+
+    def _whole(self, end: int) -> tuple[tuple[int, int], int]:
+        """Sum and count of the window that ends at `end`, from all of its tiles."""
+        total, n = (0, 0), 0
+        for (at,), (top, shift, count) in self.tiles.iterator() if self.tiles.exists() else ():
+            if end - self.window <= at < end:
+                total, n = plus(total, (int(top), shift)), n + count
+        return total, n
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        tiles, armed = self._load()
         mark = timerValues.getCurrentWatermarkInMs()
+        new: dict[int, list] = {}
         for r in rows:
-            hour = r["event_timestamp_ms"] // self.slide * self.slide
-            if mark > 0 and hour + self.window <= mark:
+            at = r["event_timestamp_ms"] // self.slide * self.slide
+            if mark > 0 and at + self.window <= mark:
                 yield Row(kind="late", **{c: r[c] for c in RAW_FIELDS}, total_amount_30d=None, tx_count_30d=None, window_start_ms=None, window_end_ms=None)
                 continue
-            own = tiles.setdefault(hour, [Decimal(0), 0])
-            own[0] += Decimal(repr(r["amount"]))
-            own[1] += 1
-        self._save(tiles, self._arm(tiles, armed, mark))
+            own = new.setdefault(at, [(0, 0), 0])
+            own[0], own[1] = plus(own[0], exact(r["amount"])), own[1] + 1
+        if not new:
+            return
+        before, total, n = self._load()
+        open_ = (mark // self.slide + 1) * self.slide if mark > 0 else None  # the first end after the watermark
+        due = min([e for e in [before] if e is not None] + [at + self.slide if open_ is None else max(at + self.slide, open_) for at in new])
+        for at, (amount, count) in new.items():
+            old, seen = self._tile(at)
+            top, shift = plus(old, amount)
+            self.tiles.updateValue((at,), (str(top), shift, seen + count))
+            if due == before and due - self.window <= at < due:
+                total, n = plus(total, amount), n + count
+        if due != before:
+            total, n = self._whole(due)
+        self._save(before, due, total, n)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        tiles, armed = self._load()
         mark = timerValues.getCurrentWatermarkInMs()
-        if armed is not None:
-            hours, lo, hi, total, n, end = sorted(tiles), 0, 0, Decimal(0), 0, armed
-            while end <= mark:
-                while hi < len(hours) and hours[hi] + self.slide <= end:
-                    total, n, hi = total + tiles[hours[hi]][0], n + tiles[hours[hi]][1], hi + 1
-                while lo < hi and hours[lo] < end - self.window:
-                    total, n, lo = total - tiles[hours[lo]][0], n - tiles[hours[lo]][1], lo + 1
-                if n:
-                    yield Row(kind="feature", event_id=None, customer_id=key[0], amount=None, event_timestamp_ms=None, total_amount_30d=float(total), tx_count_30d=n, window_start_ms=end - self.window, window_end_ms=end)
-                    end += self.slide
-                elif hi < len(hours):
-                    end = hours[hi] + self.slide  # windows without events are not emitted
-                else:
-                    break
-            tiles = {h: v for h, v in tiles.items() if h + self.window > mark}
-            self._save(tiles, self._arm(tiles, None, mark))
+        due, total, n = self._load()
+        while due is not None and due <= mark:
+            yield Row(kind="feature", event_id=None, customer_id=key[0], amount=None, event_timestamp_ms=None, total_amount_30d=nearest(total), tx_count_30d=n, window_start_ms=due - self.window, window_end_ms=due)
+            gone, left = self._tile(due - self.window)
+            if left:
+                total, n = plus(total, gone, -1), n - left
+                self.tiles.removeKey((due - self.window,))
+            come, more = self._tile(due)
+            total, n, due = plus(total, come), n + more, due + self.slide
+            if not n:  # windows without events are not emitted
+                due = min((at for (at,) in self.tiles.keys()), default=None) if self.tiles.exists() else None
+                if due is not None:
+                    due += self.slide
+                    total, n = self._whole(due)
+        self._save(None, due, total, n)
 
     def close(self) -> None:
         pass
