@@ -54,7 +54,7 @@ def plan(df):
 def test_plans_do_work_once(spark, small):
     """One scan, and one parse of a payload; last windows without dealing tiles to windows."""
     run = lambda name: plan(catalog.QUERIES[name](spark, small))
-    assert run("validate_valid").count("parse_json") == 1 and run("validate_invalid").count("parse_json") == 1
+    assert run("validate_valid").count("parseJson") == 1 and run("validate_invalid").count("parseJson") == 1
     for name, exchanges in (("view_aggregates", 2), ("customer_30d", 2), ("customer_30d_tiled", 2), ("online_latest", 2), ("materialize_range", 2)):
         text = run(name)
         assert text.count("FileScan") == 1 and text.count("Exchange hash") <= exchanges, name

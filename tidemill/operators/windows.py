@@ -47,7 +47,8 @@ def rolling(tiled: DataFrame, merges: dict[str, str], key: str = "customer_id",
     if window % slide:
         raise ValueError("the window is a multiple of the slide")
     forth, back = Window.partitionBy(key, "block").orderBy("tile"), Window.partitionBy(key, "block").orderBy(F.desc("tile"))
-    running = lambda w: F.struct(*[MERGE[how][0](v).over(w).alias(v) for v, how in merges.items()])
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    running = lambda w: F.struct(*[MERGE[how][0](v).over(w.rowsBetween(*so_far)).alias(v) for v, how in merges.items()])
     own = tiled.withColumn("block", F.col("tile") - F.pmod("tile", F.lit(window))).repartition(key)
     own = own.select("*", running(forth).alias("to"), F.lag("tile").over(forth).alias("before"), F.lead("tile").over(forth).alias("after")).withColumn("from", running(back))
     kind = own.schema["to"].dataType
@@ -68,7 +69,7 @@ def rolling(tiled: DataFrame, merges: dict[str, str], key: str = "customer_id",
     )
     order = Window.partitionBy(key).orderBy("point", "rank")
     rows = own.select(key, F.explode(F.filter(points, lambda p: p.isNotNull())).alias("p")).select(key, "p.*")
-    rows = rows.select(key, "point", F.last("start", True).over(order).alias("start"), F.last("end", True).over(order).alias("end"), F.lead("point").over(order).alias("until"))
+    rows = rows.select(key, "point", F.last("start", True).over(order.rowsBetween(*so_far)).alias("start"), F.last("end", True).over(order.rowsBetween(*so_far)).alias("end"), F.lead("point").over(order).alias("until"))
     rows = rows.where((F.col("until") > F.col("point")) & (F.col("start.v").isNotNull() | F.col("end.v").isNotNull()))
     values = [MERGE[how][1](F.col(f"start.v.{v}"), F.col(f"end.v.{v}")).alias(v) for v, how in merges.items()]
     return rows.select(key, *values, F.explode(F.sequence("point", F.col("until") - slide, F.lit(slide).cast("bigint"))).alias("window_end_ms"))
