@@ -70,5 +70,14 @@ def test_multi_index_is_complete():
 def test_blocks_of_items_change_nothing(spark, small, monkeypatch):
     docs, items = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = sorted(map(tuple, decontam.contaminated(docs, items).collect()))
+    clean = sorted(r.doc_id for r in decontam.decontaminate(docs, items).collect())
     monkeypatch.setattr(decontam, "ITEM_BLOCK", 9)
+    assert len(decontam._item_blocks(decontam._with_text(items, "item_id", "text"))) > 2
     assert sorted(map(tuple, decontam.contaminated(docs, items).collect())) == whole
+    got = decontam.decontaminate(docs.withColumn("holds", docs.doc_id), items)
+    assert got.columns == [*docs.columns, "holds"] and sorted(r.doc_id for r in got.collect()) == clean
+
+
+def test_edges_with_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "ITEM_BLOCK", 1)
+    test_edges(spark)

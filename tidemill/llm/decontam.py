@@ -11,26 +11,32 @@ Jaccard similarity of the multisets of shingles must reach the threshold.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tidemill.llm import textops
-from tidemill.llm.common import chunks
+from tidemill.llm.common import chunks, cut, free_name
 
 RADIUS = 35
 _WIDTHS = (11,) * 8 + (10,) * 4
 _NEAR = RADIUS // len(_WIDTHS)
-#: Items, and bytes of their texts, that are searched for in one pass over the documents.
+#: Items, and bytes of their texts, that are searched for together. If there are more, one pass over the documents finds
+#: those with a shingle of any item, and only these are searched for one block after the other.
 ITEM_BLOCK = 8192
 BLOCK_BYTES = 4 << 20
 _GATE_BITS = 22
+#: Of the gate for all items, 8 MB.
+_WIDE_GATE_BITS = 26
 
 
 def _bits(shingle: np.ndarray) -> np.ndarray:
@@ -89,7 +95,7 @@ class Items:
             flips = np.array([sum(1 << b for b in c) for r in range(_NEAR + 1) for c in combinations(range(width), r)])
             value, item = (own[:, None] ^ flips).ravel(), np.repeat(items, len(flips))
             order = np.argsort(value, kind="stable")
-            out.append((value[order], item[order]))
+            out.append((value[order].astype(np.uint16), item[order].astype(np.int32)))
         return out
 
     def near(self, prints: np.ndarray, size: int) -> np.ndarray:
@@ -97,6 +103,7 @@ class Items:
         found = []
         n_items = len(self.ids)
         for (value, item), block in zip(self.tables[size], _blocks(prints), strict=True):
+            block = block.astype(np.uint16)
             lo, hi = np.searchsorted(value, block), np.searchsorted(value, block, side="right")
             n = hi - lo
             window = np.repeat(np.arange(len(prints)), n)
@@ -171,9 +178,24 @@ def _search(items: Items, column: pa.Array, threshold: float) -> list[tuple[int,
     return [(t, i, sim, word) for (t, i), (sim, word) in best.items()]
 
 
-def _matcher(block: tuple, threshold: float, schema: pa.Schema):
+#: The items of the last blocks that this worker has seen, by the block's name.
+_known: dict[str, Items] = {}
+_KNOWN = 2
+
+
+def _items_of(block: Broadcast) -> Items:
+    """The tables of a block, built once in a worker."""
+    name, *parts = block.value
+    if name not in _known:
+        while len(_known) >= _KNOWN:
+            del _known[next(iter(_known))]
+        _known[name] = Items(*parts)
+    return _known[name]
+
+
+def _matcher(block: Broadcast, threshold: float, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(*block)
+        items = _items_of(block)
         for b in chunks(batches, "text"):
             if found := _search(items, b.column("text"), threshold):
                 rows = b.column("id").take(pa.array([f[0] for f in found], pa.int64()))
@@ -182,6 +204,48 @@ def _matcher(block: tuple, threshold: float, schema: pa.Schema):
     return run
 
 
+def _cleaner(block: Broadcast, threshold: float, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = _items_of(block)
+        for b in chunks(batches, text_col):
+            dirty = {f[0] for f in _search(items, b.column(text_col), threshold)}
+            yield b.filter(pa.array([i not in dirty for i in range(b.num_rows)], pa.bool_())) if dirty else b
+
+    return run
+
+
+def _gate(items: DataFrame) -> Broadcast:
+    """A bit for each value of the first _WIDE_GATE_BITS bits of the items' shingles, however many items there are."""
+    slot = F.shiftrightunsigned("shingle", 64 - _WIDE_GATE_BITS)
+    words = items.select("text").mapInArrow(_item_shingles, "shingle bigint").select((slot / 64).cast("bigint").alias("word"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(shingle, {64 - _WIDE_GATE_BITS}) % 64 AS INT))").alias("bit"))
+    words = words.groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toArrow()
+    out = np.zeros((1 << _WIDE_GATE_BITS) // 64, np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return items.sparkSession.sparkContext.broadcast(out)
+
+
+def _holds_item_words(gate: Broadcast, text_col: str, name: str):
+    """All columns and, called `name`, whether a shingle of the text may be one of an item's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = gate.value.view(np.uint64)
+        for b in chunks(batches, text_col):
+            s = textops.shingles(textops.words(b.column(text_col)))
+            slot = s.hashes >> np.uint64(64 - _WIDE_GATE_BITS)
+            hit = (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
+            holds = np.zeros(b.num_rows, bool)
+            holds[s.text[hit == 1]] = True
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(holds)], names=[*b.schema.names, name])
+
+    return run
+
+
+def _flagged(docs: DataFrame, items: DataFrame, text_col: str) -> tuple[DataFrame, str]:
+    name = free_name(docs.columns, "holds")
+    schema = StructType([*docs.schema.fields, StructField(name, BooleanType())])
+    return docs.mapInArrow(_holds_item_words(_gate(items), text_col, name), schema), name
+
+
 def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The different shingles of each item."""
     for b in chunks(batches, "text"):
@@ -189,22 +253,31 @@ def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(s.hashes[textops.occurrences(s.text, s.hashes) == 0].view(np.int64))], names=["shingle"])
 
 
-def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple]:
+def _with_text(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+
+
+def _item_blocks(items: DataFrame) -> list[Callable[[], Broadcast | None]]:
     """Blocks of items, of about ITEM_BLOCK items and BLOCK_BYTES bytes at most, with the weights of their
-    shingles: 16 times ln(1 + items / items that hold it), counted over all items."""
-    items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    shingles: 16 times ln(1 + items / items that hold it), counted over all items. Each is made when it is called for."""
     n, size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     pieces = max(-(-n // ITEM_BLOCK), -(-(size or 0) // BLOCK_BYTES))
     holders = items.select("text").mapInArrow(_item_shingles, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n"))
-    for i in range(pieces):
+    if pieces > 1:
+        holders = cut(holders)
+
+    def block(i: int) -> Broadcast | None:
         own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(pieces)) == i)
         rows = own.collect()
         if not rows:
-            continue
+            return None
         mine = own.select("text").mapInArrow(_item_shingles, "shingle bigint").distinct()
         counts = holders.join(mine, "shingle", "left_semi").toArrow()
         weights = np.maximum(1, np.round(16 * np.log1p(n / counts["n"].to_numpy()))).astype(int).tolist()
-        yield [r["id"] for r in rows], [r["text"] for r in rows], dict(zip(counts["shingle"].to_numpy().view(np.uint64).tolist(), weights, strict=True)), max(1, round(16 * float(np.log1p(n))))
+        known = dict(zip(counts["shingle"].to_numpy().view(np.uint64).tolist(), weights, strict=True))
+        return items.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [r["id"] for r in rows], [r["text"] for r in rows], known, max(1, round(16 * float(np.log1p(n))))))
+
+    return [lambda i=i: block(i) for i in range(pieces)]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -221,7 +294,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
 
     schema = pa.schema([("id", to_arrow_type(docs.schema["id"].dataType)), ("item_id", to_arrow_type(benchmark.schema["item_id"].dataType)), ("similarity", pa.float64()), ("word", pa.int64()), ("words", pa.int64())])
     ddl = f"id {docs.schema['id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, similarity double, word bigint, words bigint"
-    parts = [docs.mapInArrow(_matcher(block, threshold, schema), ddl) for block in _item_blocks(benchmark, "item_id", "text")]
+    items = _with_text(benchmark, "item_id", "text")
+    blocks = _item_blocks(items)
+    if len(blocks) > 1:
+        docs, holds = _flagged(docs, items, "text")
+        docs = cut(docs.where(holds).drop(holds))
+    parts = [docs.mapInArrow(_matcher(block, threshold, schema), ddl) for make in blocks if (block := make())]
     found = reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], ddl)
     best = F.max(F.struct("similarity", (-F.col("word")).alias("word"), "words")).alias("best")
     return found.groupBy("id", "item_id").agg(best).select(F.col("id").alias(id_col), "item_id", "best.similarity", (-F.col("best.word")).alias("word"), "best.words")
@@ -230,16 +308,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` whose text has no window similar to an item. Decided for each row by its own
     text, so repeated ids and null ids are no matter; null texts stay."""
-    for block in _item_blocks(benchmark, "item_id", "text"):
-        docs = docs.mapInArrow(_cleaner(block, threshold, text_col), docs.schema)
-    return docs
-
-
-def _cleaner(block: tuple, threshold: float, text_col: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(*block)
-        for b in chunks(batches, text_col):
-            dirty = {f[0] for f in _search(items, b.column(text_col), threshold)}
-            yield b.filter(pa.array([i not in dirty for i in range(b.num_rows)], pa.bool_())) if dirty else b
-
-    return run
+    items = _with_text(benchmark, "item_id", "text")
+    blocks = _item_blocks(items)
+    if len(blocks) <= 1:
+        block = blocks[0]() if blocks else None
+        return docs.mapInArrow(_cleaner(block, threshold, text_col), docs.schema) if block else docs
+    rows, holds = _flagged(docs, items, text_col)
+    suspects = cut(rows.where(holds))
+    for make in blocks:
+        if block := make():
+            suspects = cut(suspects.mapInArrow(_cleaner(block, threshold, text_col), suspects.schema))
+    return rows.where(~F.col(holds)).unionByName(suspects).drop(holds)
