@@ -26,9 +26,27 @@ def test_stages_on_small_corpus(spark, small):
     assert {r.doc_id for r in mixed.collect()} <= set(after)
 
 
-def test_run(spark, small):
+def test_run(spark, small, tmp_path, monkeypatch):
+    import os
+
+    monkeypatch.setattr(pipeline, "shared_dir", lambda spark: str(tmp_path))
     out = pipeline.run(spark, small)
     assert out.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] and out.count() > 0
+    (stages,) = os.listdir(tmp_path)
+    assert os.listdir(f"{tmp_path}/{stages}") == ["mixing"]  # earlier stages are gone
+
+
+def test_release(spark):
+    import os
+
+    from tidemill.llm import common
+
+    df = common.cut(spark.range(5))
+    path = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    assert df.count() == 5 and os.path.exists(path)
+    common.release(spark)
+    assert not os.path.exists(path)
+    assert common.cut(spark.range(5)).count() == 5
 
 
 def test_odd_rows(spark, small):

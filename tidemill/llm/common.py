@@ -3,6 +3,8 @@ folders and Arrow batches of bounded size."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,10 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="checkpoints-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def release(spark: SparkSession) -> None:
+    """Removes the checkpoints of this session's cut() from the shared folder. Tables that were not written before can't
+    be read afterwards."""
+    shared_dir(spark)
+    remove(spark, spark.sparkContext._jsc.sc().getCheckpointDir().get())
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, stored in the shared folder; lost executors don't undo them."""
     shared_dir(df.sparkSession)
@@ -50,8 +65,7 @@ class Work:
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.path)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

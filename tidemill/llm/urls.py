@@ -14,6 +14,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidemill.llm.common import chunks
+
 # fixed values: rules, in the order of the list that defines them
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 STRICT = ("porn", "porno", "pornhub", "xxx", "xvideos", "hentai", "camgirls", "casino", "viagra", "cialis", "spam-farm", "cheap-pills", "warez", "escorts", "sexcam", "malware", "phishing")
@@ -96,7 +98,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, by_host = Terms(words), _by_host(rules)
-        for b in batches:
+        for b in chunks(batches, "url"):
             rows = []
             for url in b.column("url").to_pylist():
                 host, path = parts(url)
