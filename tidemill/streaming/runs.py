@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import time
 import uuid
@@ -17,7 +19,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix=f"{name}-")
+    path = tempfile.mkdtemp(prefix=f"{name}-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def use_rocksdb(spark: SparkSession) -> None:
