@@ -77,6 +77,10 @@ MARKED = [
     (f"<main><div class=sec>{P}</div><div class=sec>{P}</div><ul class=related-posts><li><a href=x>Another, story</a></li></ul></main>", f"{T}\n\n{T}"),
     (f"<body><ul><li><a href=a>one, two</a></li><li><a href=b>three</a></li></ul><div><h2>H</h2>{P}<ul><li>a</li><li>b</li></ul>{P}</div></body>", f"H\n\n{T}\n\na\n\nb\n\n{T}"),
     (f"<div class='visually-hidden'>{P}</div><div>{P}</div>", T),
+    (f"<table><tr><td><a href=1>One</a><br><a href=2>Two</a> <a href=3>Three</a></td><td><h1>T</h1>{P}{P}<p>Short end.</p></td></tr></table>", f"T\n\n{T}\n\n{T}\n\nShort end."),
+    (f"<body><div class=text><h1>T</h1><div class=body>{P}<div class=ad-slot><p>Advert, buy, now.</p></div>{P}</div><div id=disqus_thread>{P * 6}</div></div><div class='col-4 sidebar'>{P}</div></body>", f"T\n\n{T}\n\n{T}"),
+    ("<body><div class=content><dl><dt>Term</dt><dd>What it means, in short.</dd><dt>Other</dt><dd>And this one, too.</dd></dl></div></body>", "Term\n\nWhat it means, in short.\n\nOther\n\nAnd this one, too."),
+    (f"<article>{P}<ul><li><a href=1>A long title of a source that the article names</a></li><li><a href=2>Another title of a source that is as long as this</a></li><li><a href=3>The third title of a source, no shorter than those</a></li></ul></article>", f"{T}\n\nA long title of a source that the article names\n\nAnother title of a source that is as long as this\n\nThe third title of a source, no shorter than those"),
     (f"<table><tr><td class=menu><a href=x>m</a></td><td>{P}<b>in</b> cell</td></tr></table>", f"{T}\n\nin cell"),
 ]
 

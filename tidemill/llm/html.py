@@ -32,7 +32,7 @@ NOISE = frozenset(
     "comment comments commentlist respond reply replies disqus discussion notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations form search skip hidden".split()
 )
 #: Words that say where or how large an element is; they don't change what it is.
-PLACES = frozenset("left right top bottom upper lower main primary secondary inner outer wrapper wrap container box block section area list item items group col column row bar buttons button links icons post posts page site global text title body side first last small large sticky fixed".split())
+PLACES = frozenset("left right top bottom upper lower main primary secondary inner outer wrapper wrap container box block section area list item items group col column row bar buttons button links icons post posts page site global text title body side first last small large sticky fixed slot unit space zone placement frame thread".split())
 UNSEEN = frozenset("visually-hidden visuallyhidden sr-only screen-reader-text screen-reader-only d-none".split())
 _CLOSED_BY = {  # an open element: the tags whose start ends it
     "p": BLOCK - {"body", "html"},
@@ -45,7 +45,7 @@ _CELLS = frozenset("td th caption".split())
 _LISTS = frozenset("ul ol menu dir dl table td th".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TITLES = frozenset("h1 h2 h3 hgroup".split())
-_PARAGRAPHS = frozenset("p pre blockquote td".split())
+_PARAGRAPHS = frozenset("p pre blockquote td dd dt".split())
 _WHOLE = frozenset("article main".split())
 _TOP = frozenset("#root html body".split())
 
@@ -54,6 +54,8 @@ PLAIN, HINT, BESIDE, OUT = range(4)
 DISCOUNT = (1.0, 0.5, 0.1, 0.0)
 #: How many levels a paragraph's points go up.
 LEVELS = 5
+#: A block of nothing but so many links of so few code points each is a menu.
+MENU_LINKS, MENU_LENGTH = 3, 40
 
 _TOKEN = re.compile(r"<(?:!--.*?(?:-->|\Z)|(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(?P<odd>/?[a-zA-Z][^>]*>)|[!?/][^>]*>)", re.S)
 _MARK = re.compile(r"(?<![\w-])(class|id|role|style|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -69,14 +71,14 @@ _COMMAS = str.maketrans(dict.fromkeys("،、，", ","))
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "mark", "points", "length", "linked", "commas", "clean", "worth", "written")
+    __slots__ = ("tag", "parent", "kids", "mark", "points", "length", "linked", "links", "commas", "clean", "worth", "written")
 
     def __init__(self, tag: str, parent: Node | None, mark: int = PLAIN):
         self.tag, self.parent, self.mark = tag, parent, mark
         self.kids: list[Node | str] = []
         self.points, self.worth = 0.0, 1.0
         # code points of its text, of those in links and outside of marked elements; whether it holds a paragraph tag
-        self.length = self.linked = self.commas = self.clean = 0
+        self.length = self.linked = self.links = self.commas = self.clean = 0
         self.written = False
 
 
@@ -205,13 +207,14 @@ def _measure(order: list[Node]) -> list[Node]:
             elif k.mark != OUT:
                 node.length += k.length
                 node.linked += k.linked
+                node.links += k.links
                 node.commas += k.commas
                 node.written = node.written or k.written
                 node.clean += k.clean if k.mark < BESIDE else 0
         node.length += own
         node.clean += own
         if node.tag == "a":
-            node.linked = node.length
+            node.linked, node.links = node.length, 1
         node.written = node.written or (node.tag in _PARAGRAPHS and node.length > 0)
         if node.tag in _PARAGRAPHS or (own and node.tag in BLOCK and node.tag not in _HEADINGS and node.tag not in ("li", "html", "body")):
             out.append(node)
@@ -265,6 +268,8 @@ def _kept(node: Node) -> str:
         return "titles"
     if node.mark == BESIDE:
         return "nothing"
+    if node.links >= MENU_LINKS and node.linked >= 0.9 * node.length and node.linked <= MENU_LENGTH * node.links and node.tag in BLOCK and node.tag not in ("p", "pre", "blockquote") and node.tag not in _HEADINGS:
+        return "nothing"
     if node.mark == HINT and node.tag not in _HEADINGS:
         if node.tag in BLOCK and node.tag not in _PARAGRAPHS and not node.written and node.length < 80:
             return "titles"
