@@ -443,7 +443,8 @@ def count_distinct_30d(spark, d):
 FROM e ASOF LEFT JOIN rolled r ON e.customer_id = r.customer_id AND e.at_ms >= r.window_end_ms"""))
 def asof_features(spark, d):
     e = tables.events(spark, d).select("customer_id", F.col("event_timestamp_ms").alias("at_ms"), F.col("event_id").cast("bigint").alias("event_id"))
-    return _found(as_of(e, _rolled(spark, d).select("customer_id", "window_end_ms", "tx_count_30d"), 31 * DAY_MS))
+    runs_ = windows.sum_count_runs(tables.events(spark, d)).drop("total_amount_30d")
+    return _found(as_of(e, runs_, 31 * DAY_MS))
 
 
 def _stream(spark: SparkSession, batches: list[DataFrame]) -> str:

@@ -37,12 +37,17 @@ def tiles_of(events: DataFrame, values: dict[str, Column], key: str = "customer_
 
 
 def rolling(tiled: DataFrame, merges: dict[str, str], key: str = "customer_id", window: int = WINDOW_MS, slide: int = HOUR_MS) -> DataFrame:
-    """(key, window_end_ms, values): the values of tiles, merged as MERGE says.
+    """(key, values, window_end_ms): the values of tiles, merged as MERGE says, for each window."""
+    ends = F.sequence("first_end", "last_end", F.lit(slide).cast("bigint"))
+    return rolling_runs(tiled, merges, key, window, slide).select(key, *merges, F.explode(ends).alias("window_end_ms"))
+
+
+def rolling_runs(tiled: DataFrame, merges: dict[str, str], key: str = "customer_id", window: int = WINDOW_MS, slide: int = HOUR_MS) -> DataFrame:
+    """(key, first_end, last_end, values): the windows of rolling(), a row for each run of them with the same tiles.
 
     Time is cut into blocks of one window. A window is the end of one block and the start of the next, so running
     aggregates of each block, forwards and backwards, give every window by one merge. Both change at a few
-    points for each tile only; they are repeated for the window ends up to the next point, at last. Keys meet once, as
-    tiles, of which a key has no more than its time has slides.
+    points for each tile only. Keys meet once, as tiles, of which a key has no more than its time has slides.
     """
     if window % slide:
         raise ValueError("the window is a multiple of the slide")
@@ -72,7 +77,7 @@ def rolling(tiled: DataFrame, merges: dict[str, str], key: str = "customer_id",
     rows = rows.select(key, "point", F.last("start", True).over(order.rowsBetween(*so_far)).alias("start"), F.last("end", True).over(order.rowsBetween(*so_far)).alias("end"), F.lead("point").over(order).alias("until"))
     rows = rows.where((F.col("until") > F.col("point")) & (F.col("start.v").isNotNull() | F.col("end.v").isNotNull()))
     values = [MERGE[how][1](F.col(f"start.v.{v}"), F.col(f"end.v.{v}")).alias(v) for v, how in merges.items()]
-    return rows.select(key, *values, F.explode(F.sequence("point", F.col("until") - slide, F.lit(slide).cast("bigint"))).alias("window_end_ms"))
+    return rows.select(key, F.col("point").alias("first_end"), (F.col("until") - slide).alias("last_end"), *values)
 
 
 def last_windows(tiled: DataFrame, merges: dict[str, str], key: str = "customer_id", window: int = WINDOW_MS, slide: int = HOUR_MS, after_ms: int | None = None, up_to_ms: int | None = None) -> DataFrame:
@@ -124,6 +129,12 @@ def rolling_sum_count(events: DataFrame, key: str = "customer_id", window: int =
     return rolling_delta(tiles(events, key, slide, kind), key, window, slide)
 
 
+def sum_count_runs(events: DataFrame, key: str = "customer_id", window: int = WINDOW_MS, slide: int = HOUR_MS) -> DataFrame:
+    """(key, first_end, last_end, total_amount_30d, tx_count_30d): rolling_sum_count(), a row for each run of equal windows."""
+    runs = rolling_runs(tiles(events, key, slide), SUM_COUNT, key, window, slide)
+    return runs.select(key, "first_end", "last_end", F.col("s").alias("total_amount_30d"), F.col("n").alias("tx_count_30d"))
+
+
 def latest_sum_count(events: DataFrame, key: str = "customer_id", window: int = WINDOW_MS, slide: int = HOUR_MS, after_ms: int | None = None, up_to_ms: int | None = None) -> DataFrame:
     """The last row of each key that rolling_sum_count() has, see last_windows()."""
     return features(last_windows(tiles(events, key, slide), SUM_COUNT, key, window, slide, after_ms, up_to_ms), key, window)
