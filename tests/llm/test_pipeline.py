@@ -1,5 +1,9 @@
+from collections import Counter
+
 import corpus_pipeline as pipeline
 from tests.llm import brute
+from tests.llm.test_classifiers import plain_scores
+from tests.llm.test_mixing import check_plan
 from tidemill.llm import pii
 
 
@@ -12,7 +16,10 @@ def test_stages_on_small_corpus(spark, small):
         now = spark.createDataFrame(stage(spark, now, small).collect(), docs.schema)
         after = {r.doc_id: r for r in now.collect()}
         assert now.columns == docs.columns and set(after) <= {r.doc_id for r in before}
-        if name == "near_duplicates":
+        if name == "quality":
+            scores = plain_scores(before, spark.read.parquet(f"{small}/labels.parquet").collect())
+            assert set(after) == {i for i, s in scores.items() if s >= 0.3}
+        elif name == "near_duplicates":
             groups = brute.classes([(r.doc_id, r.text) for r in before])
             assert set(after) == set(groups.values())
         elif name == "decontamination":
@@ -22,8 +29,11 @@ def test_stages_on_small_corpus(spark, small):
             for r in before:
                 assert after[r.doc_id].text == pii.redact(r.text, pii.spans(r.text)) and after[r.doc_id].n_chars == len(after[r.doc_id].text)
     assert len(ids) > len(after) > 0.5 * len(ids)
-    mixed = pipeline.STAGES[-1][1](spark, now, small)
-    assert {r.doc_id for r in mixed.collect()} <= set(after)
+    mixed = pipeline.STAGES[-1][1](spark, now, small).collect()
+    plan = check_plan(now)  # the plain version of what each source's last turn takes
+    want = {r.id: r.whole * r.rows + r.part for r in plan.pieces.collect()}
+    assert {i: n for i, n in want.items() if n} == Counter(r.doc_id for r in mixed)
+    assert all(after[r.doc_id].text == r.text for r in mixed)
 
 
 def test_run(spark, small, tmp_path, monkeypatch):

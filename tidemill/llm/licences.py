@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import cut
+from tidemill.llm.common import cut, join_skewed
 
 # fixed values: notices by licence family
 NOTICES = {
@@ -236,7 +236,8 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     lines = cut(_runs(docs, id_col, text_col))
     # each different paragraph is judged once
-    texts = lines.select("words").distinct().select("words", F.split("words", " ").alias("w"))
+    counts = cut(lines.groupBy("words").agg(F.count("*").alias("n")))
+    texts = counts.select("words", F.split("words", " ").alias("w"))
     two = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
     texts = texts.select("words", F.array_distinct(F.concat("w", F.when(F.size("w") > 1, two).otherwise(F.array().cast("array<string>")))).alias("grams"))
     # the tables of weights and notices are as small as the constants above
@@ -251,7 +252,9 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     notices = F.broadcast(spark.createDataFrame([(f, sorted(pairs(s))) for f, ns in NOTICES.items() for s in ns], "family string, pairs array<string>"))
     judged = judged.join(texts, "words").join(notices, "family").select("words", "family", "chance", (F.size(F.array_intersect("pairs", "grams")) / F.size("pairs")).alias("similarity"))
     judged = judged.groupBy("words").agg(F.first("family").alias("family"), F.first("chance").alias("chance"), F.max("similarity").alias("similarity")).where(F.col("similarity") >= CONFIRM)
-    found = lines.join(judged, "words")
+    # one notice may stand in a large part of all documents that have any
+    judged = cut(judged.join(counts, "words"))
+    found = join_skewed(lines, judged, "words", "n").drop("n")
     of = Window.partitionBy("row", "family")
     inner = F.min("last").over(of.orderBy(F.desc("paragraph"), "last").rowsBetween(Window.unboundedPreceding, -1))
     found = found.withColumn("inner", inner).where("inner IS NULL OR inner > last")
