@@ -13,6 +13,13 @@ def test_end_to_end(spark, tmp_path, monkeypatch, capsys):
     for command in ("init", "seed", "ingest", "features", "push", "materialize", "verify"):
         assert main([command, "--now-ms", str(H), "--once"]) == 0
     assert '"total_amount_30d": 60.0, "tx_count_30d": 3' in capsys.readouterr().out
+    for path in ("batch", "stream"):
+        assert main(["verify", "--now-ms", str(H), "--path", path]) == 0
+        assert f'{{"{path}": {{"customer_id"' in capsys.readouterr().out
+    with pytest.raises(AssertionError):
+        main(["verify", "--now-ms", str(H), "--total", "61"])
+    with pytest.raises(TimeoutError):  # a month later the values are too old
+        main(["verify", "--now-ms", str(H + 40 * 24 * 3_600_000), "--wait-seconds", "0.1"])
     # the same events again change nothing; an old one is late
     for command in ("seed", "late-probe", "ingest", "features", "push", "verify"):
         main([command, "--now-ms", str(H), "--once"])

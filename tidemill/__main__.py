@@ -23,7 +23,7 @@ from tidemill.config import BATCH_RECORDS, CUSTOMER_30D, DAY_MS, FEATURE_TOPIC,
 from tidemill.functions import forms
 from tidemill.operators import stores
 from tidemill.plans.materialize import materialize, publish, served
-from tidemill.plans.verify import check_parity, check_values, wait_for_rows
+from tidemill.plans.verify import check_parity, check_values, wait_for_record, wait_for_rows
 from tidemill.sources.contracts import RAW
 from tidemill.sources.streams import RAW_EVENTS, StreamSource
 from tidemill.sources.tables import ensure_tables, fixture_events
@@ -50,6 +50,11 @@ def main(args: list[str]) -> int:
     parser.add_argument("--kafka", action="store_true")
     parser.add_argument("--once", action="store_true")
     parser.add_argument("--wait-seconds", type=float, default=30)
+    parser.add_argument("--interval-seconds", type=float, default=1, help="how often push takes what has come")
+    parser.add_argument("--path", choices=("batch", "stream", "both"), default="both", help="what verify looks at")
+    # what the fixture's first customer has
+    parser.add_argument("--total", type=float, default=60.0)
+    parser.add_argument("--count", type=int, default=3)
     o = parser.parse_args(args)
     spark, at = session(), Settings()
     hour = (o.now_ms if o.now_ms is not None else int(time.time() * 1000)) // HOUR_MS * HOUR_MS
@@ -75,7 +80,7 @@ def main(args: list[str]) -> int:
             place = [F.lit(FEATURE_TOPIC).alias("topic"), F.regexp_extract("_metadata.file_path", "batch=([0-9]+)", 1).cast("int").alias("partition"), F.col("_metadata.row_index").alias("offset")]
             messages = forms.with_metadata(made.select("*", *place)).select(forms.feature_json().alias("value"), "topic", "partition", "offset")
         writer = messages.writeStream.option("checkpointLocation", checkpoint("push")).foreachBatch(sinks.Pusher(spark, at.path("pushed")))
-        query = (writer.trigger(availableNow=True) if o.once else writer.trigger(processingTime="1 second")).start()
+        query = (writer.trigger(availableNow=True) if o.once else writer.trigger(processingTime=f"{o.interval_seconds} seconds")).start()
         query.awaitTermination() if o.once else until_stopped(query, False)
     elif o.command == "materialize":
         read = lambda: RAW_EVENTS.batch(spark, at.data_dir)
@@ -84,10 +89,17 @@ def main(args: list[str]) -> int:
         publish(CUSTOMER_30D, rows, at.path("online", "customer_30d"), at.path("offline", "customer_30d_batch"))
     else:
         ask, pushed = spark.createDataFrame([("customer-001",)], "customer_id string"), sinks.Pusher(spark, at.path("pushed"))
-        batch = served(CUSTOMER_30D, ask, spark.read.parquet(at.path("online", "customer_30d")), hour).first()
-        stream = stores.lookup(ask, pushed.online(), hour).first()
-        check_values(stream, batch["total_amount_30d"], batch["tx_count_30d"])
-        print(json.dumps(check_parity(batch, pushed.offline()).asDict()))
+        there = F.col("total_amount_30d").isNotNull()
+        online = {
+            "batch": lambda: served(CUSTOMER_30D, ask, spark.read.parquet(at.path("online", "customer_30d")), hour),
+            "stream": lambda: stores.lookup(ask, pushed.online(), hour),
+        }
+        rows = {name: wait_for_record(read, there, o.wait_seconds) for name, read in online.items() if o.path in (name, "both")}
+        for row in rows.values():
+            check_values(row, o.total, o.count)
+        if o.path == "both":
+            rows["stream at the batch's window"] = check_parity(rows["batch"], pushed.offline())
+        print(json.dumps({name: row.asDict() for name, row in rows.items()}))
     return 0
 
 
