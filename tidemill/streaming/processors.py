@@ -21,6 +21,8 @@ from tidemill.operators.windows import WINDOW_MS
 from tidemill.sources.contracts import RAW, RAW_FIELDS
 
 SHIFT_HOURS = 24 * 3650
+#: Window ends up to which a tile is read from the state when it is needed.
+FEW_ENDS = 8
 DEDUP_OUT = f"kind string, {RAW}, value string"
 FEATURES_OUT = f"kind string, {RAW}, total_amount_30d double, tx_count_30d bigint, window_start_ms bigint, window_end_ms bigint"
 
@@ -141,13 +143,17 @@ class RollingFeatures(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs()
         due, total, n = self._load()
+        tile = self._tile
+        if due is not None and due + FEW_ENDS * self.slide <= mark:  # many windows close at once: all tiles are read together
+            known = {at: ((int(top), shift), count) for (at,), (top, shift, count) in self.tiles.iterator()}
+            tile = lambda at: known.get(at, ((0, 0), 0))
         while due is not None and due <= mark:
             yield Row(kind="feature", event_id=None, customer_id=key[0], amount=None, event_timestamp_ms=None, total_amount_30d=nearest(total), tx_count_30d=n, window_start_ms=due - self.window, window_end_ms=due)
-            gone, left = self._tile(due - self.window)
+            gone, left = tile(due - self.window)
             if left:
                 total, n = plus(total, gone, -1), n - left
                 self.tiles.removeKey((due - self.window,))
-            come, more = self._tile(due)
+            come, more = tile(due)
             total, n, due = plus(total, come), n + more, due + self.slide
             if not n:  # windows without events are not emitted
                 due = min((at for (at,) in self.tiles.keys()), default=None) if self.tiles.exists() else None
