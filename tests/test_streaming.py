@@ -230,3 +230,29 @@ def test_raw_mirror(spark, tmp_path):
     rows = RAW_EVENTS.batch(spark, str(tmp_path))
     assert rows.count() == 5 and rows.where("event_timestamp = created_timestamp AND unix_millis(event_timestamp) = event_timestamp_ms").count() == 5
     assert RAW_EVENTS.batch(spark, f"{tmp_path}/none").count() == 0 and RAW_EVENTS.stream("s").topic == "raw.transactions.v1"
+
+
+def test_kafka_source(spark):
+    """The options and the columns of the Kafka reader, with a table in place of the connector."""
+    seen = {}
+
+    class Reader:
+        def format(self, name):
+            seen["format"] = name
+            return self
+
+        def option(self, name, value):
+            seen[name] = value
+            return self
+
+        def load(self):
+            return spark.createDataFrame([(b"k", b'{"a":1}\xff', "t", 2, 5)], "key binary, value binary, topic string, partition int, offset bigint")
+
+    class Session:
+        readStream = Reader()  # noqa: N815
+
+    from tidemill.sources.streams import RAW_EVENTS
+
+    got = RAW_EVENTS.stream("host:9092", 100).read(Session())
+    assert [tuple(r) for r in got.collect()] == [('{"a":1}�', "t", 2, 5)] and got.columns == ["value", "topic", "partition", "offset"]
+    assert seen == {"format": "kafka", "kafka.bootstrap.servers": "host:9092", "subscribe": "raw.transactions.v1", "startingOffsets": "earliest", "kafka.isolation.level": "read_committed", "maxOffsetsPerTrigger": 100}
