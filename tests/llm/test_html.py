@@ -81,6 +81,8 @@ MARKED = [
     (f"<body><div class=text><h1>T</h1><div class=body>{P}<div class=ad-slot><p>Advert, buy, now.</p></div>{P}</div><div id=disqus_thread>{P * 6}</div></div><div class='col-4 sidebar'>{P}</div></body>", f"T\n\n{T}\n\n{T}"),
     ("<body><div class=content><dl><dt>Term</dt><dd>What it means, in short.</dd><dt>Other</dt><dd>And this one, too.</dd></dl></div></body>", "Term\n\nWhat it means, in short.\n\nOther\n\nAnd this one, too."),
     (f"<article>{P}<ul><li><a href=1>A long title of a source that the article names</a></li><li><a href=2>Another title of a source that is as long as this</a></li><li><a href=3>The third title of a source, no shorter than those</a></li></ul></article>", f"{T}\n\nA long title of a source that the article names\n\nAnother title of a source that is as long as this\n\nThe third title of a source, no shorter than those"),
+    (f"<body><article><p>Short, it is.</p></article><div>{P * 3}</div></body>", "Short, it is."),
+    (f"<body><div>{P * 4}</div><article><h3>Other</h3><p>A teaser.</p></article><article><h3>More</h3><p>A teaser, too.</p></article></body>", "\n\n".join([T] * 4)),
     (f"<table><tr><td class=menu><a href=x>m</a></td><td>{P}<b>in</b> cell</td></tr></table>", f"{T}\n\nin cell"),
 ]
 

@@ -54,6 +54,8 @@ PLAIN, HINT, BESIDE, OUT = range(4)
 DISCOUNT = (1.0, 0.5, 0.1, 0.0)
 #: How many levels a paragraph's points go up.
 LEVELS = 5
+#: Points for an article or main element, and for a page's only article.
+WHOLE, ONLY = 5, 15
 #: A block of nothing but so many links of so few code points each is a menu.
 MENU_LINKS, MENU_LENGTH = 3, 40
 
@@ -236,10 +238,11 @@ def _best(order: list[Node], paragraphs: list[Node]) -> Node | None:
             node.points += points / level
             scored.add(node)
             node, level = node.parent, level + 1
+    only = sum(n.tag == "article" for n in order) == 1
     for node in scored:
         node.points *= 1 - _density(node)
         if node.tag in _WHOLE:
-            node.points = node.points * 1.25 + 5 * node.worth
+            node.points = node.points * 1.25 + (ONLY if only and node.tag == "article" else WHOLE) * node.worth
         elif node.tag in _LISTS:
             node.points *= 0.5
         elif node.tag in _TOP:
@@ -287,6 +290,8 @@ def _belongs(node: Node, best: Node, whole: bool) -> str:
         return "all" if density < 0.5 else "nothing"
     if node.tag in _HEADINGS:
         return "all" if density < 0.5 else "nothing"
+    if node.tag == "article" and node.length < 0.5 * best.length:  # another, smaller one
+        return "nothing"
     if node.tag in ("p", "pre", "blockquote") or node.written:
         return "all" if density < 0.25 else "nothing"
     return "all" if density < 0.25 and node.points >= 0.2 * best.points else "nothing"
