@@ -5,7 +5,7 @@ import pytest
 from tidemill.config import CUSTOMER_30D, DAY_MS, HOUR_MS, Aggregation, Entity, FeatureView
 from tidemill.functions import forms
 from tidemill.operators import dedup, stores, windows
-from tidemill.plans.materialize import compute, materialize
+from tidemill.plans.materialize import compute, materialize, publish, served
 from tidemill.plans.parity import mismatches
 from tidemill.sources.contracts import RAW
 from tidemill.sources.tables import ensure_tables, fixture_events
@@ -107,6 +107,51 @@ def test_materialize_and_lookup(spark):
     assert old.total_amount_30d is None
 
 
+def test_view_flags_and_time_to_live(spark, tmp_path):
+    import os
+    from dataclasses import replace
+
+    own = windows.rolling_sum_count(dedup.first_events(fixture_events(spark, H)))
+    for online, offline in ((True, False), (False, True), (True, True)):
+        view = replace(CUSTOMER_30D, online=online, offline=offline, ttl=timedelta(days=2))
+        base = f"{tmp_path}/{online}{offline}"
+        publish(view, own, f"{base}/online", f"{base}/offline")
+        assert (os.path.exists(f"{base}/online"), os.path.exists(f"{base}/offline")) == (online, offline)
+        if offline:
+            assert spark.read.parquet(f"{base}/offline").count() == own.count()
+        if online:
+            table = spark.read.parquet(f"{base}/online")
+            assert table.count() == own.select("customer_id").distinct().count()
+            last = table.where("customer_id = 'customer-001'").first().window_end_ms
+            ask = spark.createDataFrame([("customer-001",)], "customer_id string")
+            assert served(view, ask, table, last + 2 * DAY_MS).first().tx_count_30d == 1
+            assert served(view, ask, table, last + 2 * DAY_MS + 1).first().tx_count_30d is None
+
+
+def test_doubles_of_all_sizes(spark):
+    """What leaves a window leaves nothing behind, and no amount is rounded."""
+    rows = [("a", "c", 0.004, 0), ("b", "c", 0.004, 1), ("d", "c", 0.0049, 2), ("e", "c", 1e17, 31 * DAY_MS), ("f", "c", 0.5, 62 * DAY_MS), ("g", "c", 1e300, 93 * DAY_MS), ("h", "c", -0.25, 124 * DAY_MS)]
+    got = {r.window_end_ms: r.total_amount_30d for r in windows.rolling_sum_count(events(spark, rows)).collect()}
+    for end, total in got.items():
+        inside = [r[2] for r in rows if end - 30 * DAY_MS <= r[3] < end]
+        assert inside and abs(total - sum(inside)) <= 1e-15 * abs(sum(inside)) + 1e-18
+    last = windows.latest_sum_count(events(spark, rows)).first()
+    assert last.total_amount_30d == -0.25 and last.window_end_ms == max(got)
+
+
+def test_last_windows_are_the_last_of_all(spark, small):
+    from tidemill.sources.tables import events as load
+
+    own = load(spark, small)
+    every = windows.rolling_sum_count(own)
+    lo, hi = (every.agg({"window_end_ms": f}).first()[0] for f in ("min", "max"))
+    for after, up_to in ((None, None), (lo + 5 * DAY_MS, lo + 9 * DAY_MS + 1234), (hi - DAY_MS, hi + DAY_MS), (hi, hi + DAY_MS)):
+        inside = every.where((every.window_end_ms > (after or 0)) & (every.window_end_ms <= (up_to or hi)))
+        got = windows.latest_sum_count(own, after_ms=after, up_to_ms=up_to)
+        assert got.count() == inside.select("customer_id").distinct().count()
+        assert mismatches(got, stores.latest(inside)).count() == 0
+
+
 def test_offsets(spark):
     df = spark.createDataFrame([("t", 0, 0), ("t", 0, 1), ("t", 1, 5), ("u", 0, 7)], "topic string, partition int, offset bigint")
     assert {tuple(r) for r in stores.next_offsets(df).collect()} == {("t", 0, 2), ("t", 1, 6), ("u", 0, 8)}
