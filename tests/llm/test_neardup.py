@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tests.llm import brute
 from tidemill.llm import neardup, textops
@@ -67,8 +68,11 @@ def test_heavy_keys_are_dealt(spark, monkeypatch):
     assert {out[i] for i in range(300)} == {0} and {out[i] for i in (*range(400, 500), 1000)} == {400} and out[501] == 500
 
 
-def test_prefix_join_in_large_buckets(spark, monkeypatch):
-    """Families just below the threshold in split buckets, with texts of unequal sizes: the groups are the brute-force ones."""
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_prefix_join_in_large_buckets(spark, monkeypatch, few):
+    """Families just below the threshold in split buckets, with texts of unequal sizes: the groups are the brute-force ones,
+    whether pairs are compared one by one or in their blocks."""
+    monkeypatch.setattr(neardup, "FEW", few)
     monkeypatch.setattr(neardup, "BUCKET_CHUNK", 20)
     monkeypatch.setattr(neardup, "STRAYS", 7)
     rng = random.Random(6)
