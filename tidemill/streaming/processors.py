@@ -35,7 +35,8 @@ class Deduplicate(StatefulProcessor):
         self.seen = handle.getValueState("event-fingerprint", "print string", int(DEDUP_TTL.total_seconds() * 1000))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        stored = self.seen.get()[0] if self.seen.exists() else None
+        seen = self.seen.get()
+        stored = seen[0] if seen else None
         for r in rows:
             if r["message"] is not None:
                 yield Row(kind="invalid", **dict.fromkeys(RAW_FIELDS), value=r["message"])
@@ -85,16 +86,12 @@ class RollingFeatures(StatefulProcessor):
         self.due = handle.getValueState("due", "due bigint, top string, shift int, n bigint")
 
     def _tile(self, at: int) -> tuple[tuple[int, int], int]:
-        if not self.tiles.exists() or not self.tiles.containsKey((at,)):
-            return (0, 0), 0
-        top, shift, n = self.tiles.getValue((at,))
-        return (int(top), shift), n
+        own = self.tiles.getValue((at,))
+        return ((int(own[0]), own[1]), own[2]) if own else ((0, 0), 0)
 
     def _load(self) -> tuple[int | None, tuple[int, int], int]:
-        if not self.due.exists():
-            return None, (0, 0), 0
-        due, top, shift, n = self.due.get()
-        return due, (int(top), shift), n
+        own = self.due.get()
+        return (own[0], (int(own[1]), own[2]), own[3]) if own else (None, (0, 0), 0)
 
     def _save(self, before: int | None, due: int | None, total: tuple[int, int], n: int) -> None:
         if before != due:
