@@ -69,7 +69,7 @@ _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _SIZE = re.compile(r"[0-9]+(?:x[0-9]+)?")
 #: What follows these in a class says what the element has beside it or lacks, not what it is: has-sidebar, no-ads; and what comes before these, too: ad-free.
 _ABOUT, _WITHOUT = frozenset("has have with no without".split()), frozenset("free less".split())
-_COMMAS = str.maketrans(dict.fromkeys("،、，", ","))
+_COMMAS = ",،、，"
 
 
 class Node:
@@ -205,7 +205,7 @@ def _measure(order: list[Node]) -> list[Node]:
         for k in node.kids:
             if isinstance(k, str):
                 own += len(k.strip())
-                node.commas += k.translate(_COMMAS).count(",")
+                node.commas += k.count(",") if k.isascii() else sum(map(k.count, _COMMAS))
             elif k.mark != OUT:
                 node.length += k.length
                 node.linked += k.linked
