@@ -64,6 +64,11 @@ class Work:
         df.write.parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
+    def forget(self, *names: str) -> None:
+        """Removes tables that nothing reads any more."""
+        for name in names:
+            remove(self.spark, f"{self.path}/{name}")
+
     def drop(self) -> None:
         remove(self.spark, self.path)
 

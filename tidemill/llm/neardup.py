@@ -324,9 +324,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         sketches = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_sketch, f"id {docs.schema[id_col].dataType.simpleString()}, key binary, sig binary, bands array<bigint>, units binary")
         texts = work.store(sketches.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("units").alias("units")), "texts")
         bands = texts.select(F.explode("bands").alias("bucket"), "key", "id")
-        shared = cut(bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+        shared = work.store(bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "shared")
         members = join_skewed(bands, shared, "bucket", "size")
-        members = cut(members.withColumn("pieces", F.ceil(F.col("size") / BUCKET_CHUNK).cast("int")).drop("size"))
+        members = work.store(members.withColumn("pieces", F.ceil(F.col("size") / BUCKET_CHUNK).cast("int")).drop("size"), "members")
+        work.forget("shared")
         anchor = [F.min(F.when(F.pmod(F.xxhash64("key"), F.lit(ANCHORS)) == i, F.struct("id", "key"))) for i in range(ANCHORS)]
         anchors = members.where("pieces > 1").groupBy("bucket").agg(F.first("pieces").alias("pieces"), F.array(*anchor).alias("at"))
         anchors = anchors.select("bucket", "pieces", F.explode("at").alias("at")).where("at IS NOT NULL").select("bucket", "at.key", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("chunk"))
@@ -334,11 +335,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         chunked = chunked.join(texts.select("key", "sig"), "key")
         least, sure = int(np.floor(COORDINATES * (threshold - SLACK))), int(np.ceil(COORDINATES * min(1, threshold + SLACK)))
         found = chunked.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk").mapInArrow(_edges(least, sure), "a binary, b binary, agree int")
-        found = cut(found.groupBy("a", "b").agg(F.max("agree").alias("agree")))
+        found = work.store(found.groupBy("a", "b").agg(F.max("agree").alias("agree")), "found")
         wanted = found.select(F.col("a").alias("key")).unionByName(found.select(F.col("b").alias("key"))).unionByName(members.where("pieces > 1").select("key")).distinct()
-        units = cut(texts.select("key", "sig", "units").join(wanted, "key", "left_semi"))
-        roots = cut(components(_links(found, units, threshold)))
-        roots = _second_round(members, units, roots, least, threshold)
+        units = work.store(texts.select("key", "sig", "units").join(wanted, "key", "left_semi"), "units")
+        roots = components(_links(found, units, threshold))
+        work.forget("found")
+        roots = _second_round(work, members, units, roots, least, threshold)
         slim = texts.select("key", "id", "n").join(roots.withColumnRenamed("node", "key"), "key", "left")
         alone = slim.where("root IS NULL").select("key", F.col("n").alias("rows"), F.col("id").alias("class_id"), F.col("n").alias("class_rows"), F.lit(True).alias("first_key"))
         # a group may hold a large part of all texts: its row is dealt out with a salt
@@ -357,7 +359,7 @@ def _links(found: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "ua", "ub").mapInArrow(_confirm(threshold), "a binary, b binary")
 
 
-def _second_round(members: DataFrame, units: DataFrame, roots: DataFrame, least: int, threshold: float) -> DataFrame:
+def _second_round(work: Work, members: DataFrame, units: DataFrame, roots: DataFrame, least: int, threshold: float) -> DataFrame:
     """`roots` after a look at all pairs of a bucket that are still in different groups, so that no link is lost.
 
     In a bucket of one chunk they are compared one by one. The members of larger buckets are joined by prefixes: of two
@@ -365,44 +367,47 @@ def _second_round(members: DataFrame, units: DataFrame, roots: DataFrame, least:
     in common, whatever order of units is taken for that of rareness. What many texts share is not rare, so a
     page template of any number of texts costs each text a list of its own units only.
     """
-    rooted = cut(members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "pieces", F.coalesce("root", "key").alias("root")))
-    several = cut(rooted.groupBy("bucket").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("open")))
-    rooted = join_skewed(rooted, several, "bucket", "n").where("open").select("bucket", "key", "root", "pieces")
-    rooted = cut(rooted)
+    rooted = work.store(members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "pieces", F.coalesce("root", "key").alias("root")), "rooted")
+    work.forget("members")
+    several = work.store(rooted.groupBy("bucket").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("open")), "several")
+    rooted = work.store(join_skewed(rooted, several, "bucket", "n", only="open").select("bucket", "key", "root", "pieces"), "open")
+    work.forget("rooted", "several")
     always = {"words": F.lit(0), "first": F.lit(True), "stray": F.lit(True), "asks": F.lit(True), "asked": F.lit(True), "part": F.lit(0), "chunk": F.lit(0)}
     blocks = rooted.where("pieces = 1").withColumnRenamed("bucket", "unit").withColumns(always).select("key", "root", *ROLES, *BLOCK)
-    blocks = blocks.unionByName(_prefix_blocks(rooted.where("pieces > 1").select("key", "root").distinct(), units, threshold))
+    blocks = blocks.unionByName(_prefix_blocks(work, rooted.where("pieces > 1").select("key", "root").distinct(), units, threshold))
     blocks = blocks.join(units.select("key", "sig"), "key").repartition(*BLOCK).sortWithinPartitions(*BLOCK)
-    found = cut(blocks.mapInArrow(_candidates(least, threshold), "a binary, b binary, root binary, words int, first boolean, stray boolean, asks boolean, asked boolean, unit bigint, part int, chunk int"))
+    found = work.store(blocks.mapInArrow(_candidates(least, threshold), "a binary, b binary, root binary, words int, first boolean, stray boolean, asks boolean, asked boolean, unit bigint, part int, chunk int"), "candidates")
+    work.forget("postings", "live", "open")
     dense = found.where("b IS NULL").drop("b").withColumnRenamed("a", "key").join(units, "key").repartition(*BLOCK).sortWithinPartitions(*BLOCK)
     links = _links(found.where("b IS NOT NULL").select("a", "b").distinct(), units, threshold)
-    links = cut(links.unionByName(dense.mapInArrow(_exact(least, threshold), "a binary, b binary")).distinct())
+    links = work.store(links.unionByName(dense.mapInArrow(_exact(least, threshold), "a binary, b binary")).distinct(), "links")
     if links.isEmpty():
         return roots
     # groups take the place of their texts
     for end in ("a", "b"):
         links = links.join(roots.select(F.col("node").alias(end), "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
-    joined = cut(components(links))
+    joined = components(links)
     old = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("newer")), "root", "left").select("node", F.coalesce("newer", "root").alias("root"))
     return cut(old.unionByName(joined.join(roots, "node", "left_anti").select("node", "root")))
 
 
-def _prefix_blocks(texts: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
+def _prefix_blocks(work: Work, texts: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
     """Blocks (unit, part, chunk) in which any two similar `texts` (key, root) of different groups meet.
 
     A unit's strays are the texts outside of the largest group that holds it. They are dealt into parts of STRAYS, all
     texts of the unit into chunks, and each part meets each chunk in a block.
     """
     spark = texts.sparkSession
-    own = cut(texts.join(units.select("key", "units"), "key"))
+    own = work.store(texts.join(units.select("key", "units"), "key"), "own")
     # SLOTS numbers, whatever the size of the corpus
     often = np.zeros(SLOTS, np.int64)
     for r in own.select("units").mapInArrow(_slots, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow().to_batches():
         often[r.column("slot").to_numpy()] = r.column("n").to_numpy()
-    postings = cut(own.mapInArrow(_postings(spark.sparkContext.broadcast(often), threshold), "unit bigint, key binary, root binary, words int, first boolean"))
+    postings = work.store(own.mapInArrow(_postings(spark.sparkContext.broadcast(often), threshold), "unit bigint, key binary, root binary, words int, first boolean"), "postings")
+    work.forget("own")
     groups = postings.groupBy("unit", "root").agg(F.count("*").alias("n"), F.max("first").alias("first"))
     units_ = groups.groupBy("unit").agg(F.sum("n").alias("size"), F.max_by("root", F.struct("n", "root")).alias("largest"), (F.sum("n") - F.max("n")).alias("strays"), F.max("first").alias("first"))
-    units_ = cut(units_.withColumn("live", F.col("first") & (F.col("strays") > 0)).drop("first"))
+    units_ = work.store(units_.withColumn("live", F.col("first") & (F.col("strays") > 0)).drop("first"), "live")
     rows = join_skewed(postings, units_, "unit", "size", only="live").drop("live")
     rows = rows.withColumns({"stray": F.col("root") != F.col("largest"), "parts": F.ceil(F.col("strays") / STRAYS).cast("int"), "pieces": F.ceil(F.col("size") / BUCKET_CHUNK).cast("int")})
     rows = rows.withColumns({"own_part": F.pmod(F.xxhash64("key", F.lit("part")), "parts").cast("int"), "own_chunk": F.pmod(F.xxhash64("unit", "key"), "pieces").cast("int")})
