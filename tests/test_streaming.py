@@ -256,3 +256,64 @@ def test_kafka_source(spark):
     got = RAW_EVENTS.stream("host:9092", 100).read(Session())
     assert [tuple(r) for r in got.collect()] == [('{"a":1}�', "t", 2, 5)] and got.columns == ["value", "topic", "partition", "offset"]
     assert seen == {"format": "kafka", "kafka.bootstrap.servers": "host:9092", "subscribe": "raw.transactions.v1", "startingOffsets": "earliest", "kafka.isolation.level": "read_committed", "maxOffsetsPerTrigger": 100}
+
+
+class Runs:
+    """A bucket's list state, and how often it is asked."""
+
+    def __init__(self):
+        self.own, self.calls = [], 0
+
+    def getListState(self, name, schema, ttl):  # noqa: N802
+        return self
+
+    def get(self):
+        self.calls += 1
+        return iter(self.own)
+
+    def appendValue(self, value):  # noqa: N802
+        self.calls += 1
+        self.own.append(value)
+
+    def put(self, values):
+        self.calls += 1
+        self.own = list(values)
+
+
+def test_deduplication_asks_the_state_once_for_many_ids():
+    import hashlib
+
+    from tidemill.streaming import processors
+
+    state, job = Runs(), processors.Deduplicate(ttl_ms=1000)
+    job.init(state)
+
+    def told(now, *events):
+        class Clock:
+            def getCurrentProcessingTimeInMs(self):  # noqa: N802
+                return now
+
+        mark = lambda *x: b"".join(hashlib.sha256(repr(v).encode()).digest()[:16] for v in x)
+        state.calls = 0
+        out = [r["value"] or r["event_id"] for r in job.handleInputRows((0,), [(0, i, "c", a, 5, mark(i, a)) for i, a in events], Clock())]
+        assert state.calls <= 2
+        return out
+
+    ids = [str(i) for i in range(1000)]
+    assert told(0, *((i, 1.0) for i in ids)) == ids
+    assert told(1, ("7", 1.0), ("7", 2.0), ("new", 1.0), ("new", 1.0)) == ["conflicting duplicate event_id=7", "new"]
+    for k in range(40):  # runs are merged, with the times of their entries
+        assert told(500 + k, (f"k{k}", 1.0), ("8", 1.0)) == [f"k{k}"]
+    assert len(state.own) < processors.MOST_RUNS
+    assert told(999, ("8", 1.0)) == [] and told(1000, ("8", 2.0), ("new", 1.0)) == ["8"]
+    assert told(1001, ("new", 2.0), ("k39", 1.0)) == ["new"]
+    assert list(job.handleInputRows((0,), [(0, "no", None, None, None, None)], None or type("C", (), {"getCurrentProcessingTimeInMs": lambda s: 0})()))[0].value == "no"
+
+
+def test_ingest_has_no_empty_batches(spark, tmp_path):
+    """A query that is slower than its trigger settles all the same."""
+    land(f"{tmp_path}/in", 0, payloads(spark))
+    query = jobs.ingest(spark, StreamSource("text", f"{tmp_path}/in").read(spark), str(tmp_path), f"{tmp_path}/checkpoint", "0 seconds")
+    runs.drain(query)
+    assert [p["numInputRows"] for p in query.recentProgress] == [6] and not query.isActive
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == "true"
