@@ -177,3 +177,26 @@ def test_edges(spark, tmp_path):
     assert mixing.taken_words(df.limit(0)).count() == 0 and mixing.mix(df.limit(0)).count() == 0
     odd = df.withColumns({"m": F.create_map("doc_id", "text"), "mix_shard": F.lit(1)}).where("doc_id IS NOT NULL")
     assert mixing.mix(odd).columns == [*odd.columns, "_mix_shard", "mix_turn", "mix_place"] and mixing.mix(odd).count() > 0
+
+
+def test_taken_words_are_what_the_tree_deals(spark, monkeypatch):
+    """Every taken row lies in a block that the tree gave to a shard; a block that no shard gets is not taken."""
+    docs = corpus(spark, [1 + i % 40 for i in range(3000)]).unionByName(corpus(spark, [5] * 700 + [0], "b")).unionByName(corpus(spark, [0, 0], "c"))
+    whole = mixing.taken_words(docs)
+    assert whole.count() == docs.count()
+    one = {(r.doc_id, r["size"], r.source_size): r.taken for r in whole.collect()}
+    assert one == {(r.doc_id, r["size"], r.source_size): r.taken for r in mixing.taken_words(docs, shards=5).collect()}
+    split, seen = mixing.split, []
+
+    def without_the_last(quotas, shards, seed):
+        out = split(quotas, shards, seed)
+        seen.append(int(out[-1].sum()))
+        out[-1] = 0
+        return out
+
+    monkeypatch.setattr(mixing, "split", without_the_last)
+    less = mixing.taken_words(docs, shards=4)
+    lost, rows = total(less) / total(whole), mixing.mix(docs, shards=4)
+    assert seen[0] and 0.7 < lost < 0.8 and less.count() == docs.count()
+    assert rows.agg(F.sum(mixing.word_count(F.col("text")))).first()[0] == total(less)
+    assert {r.mix_shard for r in rows.select("mix_shard").distinct().collect()} == {0, 1, 2}

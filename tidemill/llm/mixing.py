@@ -232,21 +232,32 @@ class Plan:
         return out
 
     def shards(self, n: int) -> tuple[DataFrame, F.Column]:
-        """(s, turn, starts), the first block of each shard; and the number of chunks of each shard, as an array."""
+        """(s, starts), by turn the first block of each shard and the end of the last one, for each source that is
+        drawn; and the number of chunks of each shard, as an array."""
         columns = [(t["s"], turn, t["blocks"] if turn < t["turns"] else t["drawn"]) for t in self.table for turn in range(t["turns"] + 1) if turn < t["turns"] or t["drawn"]]
         if len(columns) * n > MAX_QUOTAS:
             raise ValueError(f"{len(columns)} sources and turns by {n} shards are more than {MAX_QUOTAS} quotas")
         given = split(np.array([c[2] for c in columns], np.int64), n, self.seed)
-        start = np.ascontiguousarray((np.cumsum(given, axis=0) - given).T)
+        start = np.ascontiguousarray(np.vstack([np.zeros((1, len(columns)), np.int64), np.cumsum(given, axis=0)]).T)
         chunks = np.maximum(1, -(-given.sum(axis=1) // LOCAL_BLOCKS)).tolist()
-        starts = pa.ListArray.from_arrays(pa.array(np.arange(len(columns) + 1, dtype=np.int32) * n), pa.array(start.ravel()))
-        rows = pa.table([pa.array([c[0] for c in columns], pa.int32()), pa.array([c[1] for c in columns], pa.int32()), starts], names=["s", "turn", "starts"])
+        starts = pa.ListArray.from_arrays(pa.array(np.arange(len(columns) + 1, dtype=np.int32) * (n + 1)), pa.array(start.ravel()))
+        own, at = np.unique(np.array([c[0] for c in columns], np.int32), return_index=True)
+        rows = pa.table([pa.array(own), pa.ListArray.from_arrays(pa.array(np.append(at, len(columns)).astype(np.int32)), starts)], names=["s", "starts"])
         shards = F.broadcast(self.spark.createDataFrame(rows))
         return shards, F.array(*[F.lit(int(c)) for c in chunks])
 
+    def draws(self, n: int) -> tuple[DataFrame, F.Column]:
+        """The pieces with draws: a (turn, rows, shard) for each turn that takes rows of them, where the tree has given
+        their block to a shard; and the number of chunks of each of the `n` shards."""
+        starts, chunks = self.shards(n)
+        each = lambda own, t: F.struct(t.cast("int").alias("turn"), F.when(t < F.col("whole"), F.col("rows")).otherwise(F.col("part")).alias("rows"), (F.size(F.filter(own, lambda x: x <= F.col("position"))) - 1).alias("shard"))
+        own = F.filter(F.transform(F.coalesce("starts", F.array().cast("array<array<bigint>>")), each), lambda d: (d["rows"] > 0) & (d["shard"] < n))
+        return self.pieces.join(starts, "s", "left").withColumn("draws", own).drop("starts"), chunks
 
-def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """For each row of `docs` its id, size, source_size, target and taken: the words that the mix takes of it.
+
+def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 16, **how) -> DataFrame:
+    """For each row of `docs` its id, size, source_size, target and taken: the words that the mix takes of it, in the
+    blocks that the tree deals to the shards; what no shard gets is not taken.
 
     Sources follow each other by code point, null last, with the given weights in turn. Blocks and their
     order depend on the rows and the seed alone, so reruns agree. Rows that repeat each other in all columns
@@ -255,8 +266,8 @@ def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one row more or less allows.
     """
     p = Plan(docs, id_col, text_col, source_col, **how)
-    rows = p.pieces.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))))
-    taken = F.col("size") * (F.col("whole") + (F.col("copy") <= F.col("part")).cast("bigint"))
+    rows = p.draws(shards)[0].withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))))
+    taken = F.col("size") * F.size(F.filter("draws", lambda d: F.col("copy") <= d["rows"])).cast("bigint")
     return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"))
 
 
@@ -265,7 +276,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     mix_place. Partitions hold whole chunks of shards, and a shard's rows stand there in the order of
     mix_place, which is random inside of a chunk. See taken_words() for weights and the rest."""
     p = Plan(docs, id_col, text_col, source_col, **how)
-    starts, chunks = p.shards(shards)
+    pieces, chunks = p.draws(shards)
     names = [free_name(docs.columns, x) for x in ("mix_shard", "mix_turn", "mix_place")]
     row, k1, k2, salt = (free_name([*docs.columns, *names], x) for x in ("mix_row", "mix_k1", "mix_k2", "mix_salt"))
     # one row for each text; those of many repeats once for each of the tasks that make them
@@ -276,10 +287,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         hot = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y")).isin([F.struct(F.lit(i).cast("bigint").alias("x"), F.lit(j).cast("bigint").alias("y")) for i, j in p.heavy])
         known = known.withColumn(salt, F.explode(F.when(hot(k1, k2), F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))))
         on, salted = [k1, k2, salt], F.when(hot("k1", "k2"), F.pmod("piece", F.lit(_SALTS)).cast("int")).otherwise(0)
-    times = F.flatten(F.transform(F.sequence(F.lit(0), F.col("whole")), lambda t: F.transform(F.sequence(F.lit(0), F.when(t < F.col("whole"), F.col("rows")).otherwise(F.col("part")).cast("int")), lambda i: F.struct(t.alias("turn"), i.alias("i")))))
-    drawn = p.pieces.withColumn("t", F.explode(times)).where("t.i > 0")  # a sequence from 0 is never empty; its 0 is left out
-    drawn = drawn.select("*", F.col("t.turn").alias("turn")).join(starts, ["s", "turn"])
-    drawn = drawn.withColumn("shard", F.size(F.filter("starts", lambda x: x <= F.col("position"))) - 1)
+    times = F.flatten(F.transform("draws", lambda d: F.transform(F.sequence(F.lit(1), d["rows"].cast("int")), lambda i: F.struct(d["turn"].alias("turn"), d["shard"].alias("shard"), i.alias("i")))))
+    drawn = pieces.withColumn("t", F.explode(times)).drop("draws").select("*", "t.turn", "t.shard")
     drawn = drawn.withColumn("chunk", F.pmod(F.xxhash64("s", "turn", "position", F.lit(p.seed + 2)), F.element_at(chunks, F.col("shard") + 1)).cast("bigint"))
     place = F.shiftleft("chunk", 32) + F.pmod(F.xxhash64("hash", "turn", "t.i"), F.lit(1 << 32))
     drawn = drawn.select(F.col("k1").alias(k1), F.col("k2").alias(k2), salted.alias(salt), F.col("shard").alias(names[0]), F.col("turn").alias(names[1]), place.alias(names[2]))
