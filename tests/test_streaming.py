@@ -317,3 +317,21 @@ def test_ingest_has_no_empty_batches(spark, tmp_path):
     runs.drain(query)
     assert [p["numInputRows"] for p in query.recentProgress] == [6] and not query.isActive
     assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == "true"
+
+
+def test_one_bucket_keeps_its_ids_apart(spark, tmp_path):
+    """Repeats, conflicts and malformed payloads of one bucket, over two runs."""
+    from tidemill.functions.validation import validated
+    from tidemill.streaming import processors
+
+    event = lambda i, amount: json.dumps({"event_id": i, "customer_id": "c", "amount": amount, "event_timestamp_ms": H})
+    for number, lines in enumerate(([event(f"e{i}", 1.0) for i in range(30)] + ["no"], [event("e3", 1.0), event("e4", 2.0), event("e4", 2.0), event("e30", 1.0), "no"])):
+        land(f"{tmp_path}/in", number, lines)
+        told = processors.deduplicated(validated(StreamSource("text", f"{tmp_path}/in").read(spark)), buckets=1)
+        runs.use_rocksdb(spark)
+        with runs.no_empty_batches(spark):
+            query = told.writeStream.option("checkpointLocation", f"{tmp_path}/checkpoint").foreachBatch(sinks.split_by_kind(str(tmp_path), {"valid": ["event_id"], "invalid": ["value"]})).start()
+        runs.drain(query)
+    assert sorted(r.event_id for r in sinks.written(spark, str(tmp_path), "valid", "event_id string").collect()) == sorted(f"e{i}" for i in range(31))
+    bad = "invalid JSON: malformed document; payload=no"
+    assert sorted(r.value for r in sinks.written(spark, str(tmp_path), "invalid", "value string").collect()) == ["conflicting duplicate event_id=e4"] * 2 + [bad] * 2
